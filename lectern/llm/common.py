@@ -82,3 +82,52 @@ def with_group_facts(rows: DataFrame, groups: DataFrame, key: str, size: str, to
     theirs = marked.filter(F.col(f"_hot_{size}").isNotNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in facts])
     rest = marked.filter(F.col(f"_hot_{size}").isNull()).select(*rows.columns)
     return theirs.unionByName(rest.join(cold, key, "left").select(*rows.columns, *facts))
+
+
+#: Bits of a broadcast membership filter: 2**26 are 8 MB, in 2048 buckets of 4 KB, whatever the data's size.
+FILTER_BITS = 1 << 26
+BUCKET_BITS = 32768
+PROBES = 2
+
+
+def _bits(slot: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(slot, F.lit(k)), F.lit(bits)) for k in range(PROBES)]
+
+
+def membership_filter(slots: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """A Bloom filter of the column ``slot`` as (bucket, bitmap): at most bits / BUCKET_BITS rows, computed once."""
+    bit = slots.select(F.explode(F.array(*_bits(F.col("slot"), bits))).alias("bit"))
+    own = bit.select(F.floor(F.col("bit") / BUCKET_BITS).cast("int").alias("bucket"), F.pmod("bit", F.lit(BUCKET_BITS)).alias("b"))
+    return cut(own.groupBy("bucket").agg(F.expr("bitmap_construct_agg(b)").alias("bitmap")))
+
+
+def with_probe(df: DataFrame, slot: Column, bitmap: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` with ``flag``: false only if the slot is surely not in the filter. The filter's fixed size makes it fit to broadcast."""
+    rows, maybe = df, F.lit(True)
+    for k, bit in enumerate(_bits(slot, bits)):
+        at, bucket, held = f"{flag}_b{k}", f"{flag}_u{k}", f"{flag}_m{k}"
+        rows = rows.withColumn(at, bit)
+        probe = F.broadcast(bitmap.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(held)))
+        rows = rows.join(probe, F.floor(F.col(at) / BUCKET_BITS).cast("int") == F.col(bucket), "left")
+        within = F.pmod(F.col(at), F.lit(BUCKET_BITS))
+        byte = F.conv(F.hex(F.substring(F.col(held), (within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(within, F.lit(8)))), F.lit(2)).cast("int") == 1
+        maybe = maybe & F.coalesce(is_set, F.lit(False))
+    return rows.withColumn(flag, maybe).select(*df.columns, flag)
+
+
+def without_ids(df: DataFrame, losers: DataFrame, key: str) -> DataFrame:
+    """``df`` less the rows whose ``key`` is in ``losers``; rows that a membership filter clears don't shuffle."""
+    flag = free_name(df, "suspect")
+    bitmap = membership_filter(losers.select(F.xxhash64(F.col(key)).alias("slot")))
+    marked = with_probe(df, F.xxhash64(F.col(key)), bitmap, flag)
+    suspects = marked.filter(F.col(flag)).join(losers.select(key), key, "left_anti")
+    return marked.filter(~F.col(flag)).unionByName(suspects.select(*marked.columns)).select(*df.columns)
+
+
+def only_ids(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``df`` joined with ``wanted`` on ``key``; rows that a membership filter rules out don't shuffle."""
+    flag = free_name(df, "suspect")
+    bitmap = membership_filter(wanted.select(F.xxhash64(F.col(key)).alias("slot")))
+    marked = with_probe(df, F.xxhash64(F.col(key)), bitmap, flag)
+    return marked.filter(F.col(flag)).drop(flag).join(wanted, key)

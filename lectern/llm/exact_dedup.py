@@ -12,35 +12,18 @@ that repeat the id of the one that stays are the same document and are all kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, free_name, with_group_facts
+from lectern.llm.common import FILTER_BITS, cut, free_name, membership_filter, with_group_facts, with_probe
 
-#: Bits of the broadcast filter: 2**26 are 8 MB, in 2048 buckets of 4 KB. Good up to some 10 million repeated texts.
-FILTER_BITS = 1 << 26
-BUCKET_BITS = 32768
+#: Pass 1 counts in so many slots.
 SLOTS = 1 << 44
-K = 2
-
-
-def _bits(slot: Column, bits: int) -> list[Column]:
-    """The K bit numbers of a slot."""
-    return [F.pmod(F.xxhash64(slot, F.lit(k)), F.lit(bits)) for k in range(K)]
-
-
-def _is_set(bitmap: Column, bit: Column) -> Column:
-    """Whether the bitmap (of bitmap_construct_agg) has the bit with that number within its bucket."""
-    byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.expr("1") == F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)).cast("int")
 
 
 def repeated_filter(slots: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(bucket, bitmap) of the slots (column ``slot``) that occur more than once: bits / BUCKET_BITS rows at most."""
-    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
-    bit = twice.select(F.explode(F.array(*_bits(F.col("slot"), bits))).alias("bit"))
-    own = bit.select(F.floor(F.col("bit") / BUCKET_BITS).cast("int").alias("bucket"), F.pmod("bit", F.lit(BUCKET_BITS)).alias("b"))
-    return own.groupBy("bucket").agg(F.expr("bitmap_construct_agg(b)").alias("bitmap"))
+    """The second filter: of the slots (column ``slot``) that occur more than once."""
+    return membership_filter(slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1"), bits)
 
 
 def annotate(df: DataFrame, text: str = "text", key: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
@@ -49,15 +32,8 @@ def annotate(df: DataFrame, text: str = "text", key: str = "doc_id", bits: int =
     slot, sha = free_name(df, "slot"), "text_sha256"
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slots = df.select(F.pmod(F.xxhash64(body), F.lit(SLOTS)).alias("slot"))
-    bitmap = cut(repeated_filter(slots, bits))
-    rows = df.withColumn(slot, F.pmod(F.xxhash64(body), F.lit(SLOTS)))
-    maybe = F.lit(True)
-    for k, bit in enumerate(_bits(F.col(slot), bits)):
-        rows = rows.withColumn(f"{slot}_b{k}", bit)
-        probe = F.broadcast(bitmap.select(F.col("bucket").alias(f"{slot}_u{k}"), F.col("bitmap").alias(f"{slot}_m{k}")))
-        rows = rows.join(probe, F.floor(F.col(f"{slot}_b{k}") / BUCKET_BITS).cast("int") == F.col(f"{slot}_u{k}"), "left")
-        maybe = maybe & F.coalesce(_is_set(F.col(f"{slot}_m{k}"), F.pmod(F.col(f"{slot}_b{k}"), F.lit(BUCKET_BITS))), F.lit(False))
-    rows = rows.withColumn(slot, maybe).select(*df.columns, slot).withColumn(sha, F.sha2(body, 256))
+    bitmap = repeated_filter(slots, bits)
+    rows = with_probe(df, F.pmod(F.xxhash64(body), F.lit(SLOTS)), bitmap, slot, bits).withColumn(sha, F.sha2(body, 256))
     alone = rows.filter(~F.col(slot)).drop(slot).select("*", F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     suspects = rows.filter(F.col(slot)).drop(slot)
     groups = cut(suspects.groupBy(sha).agg(F.max(key).alias("keep_id"), F.count("*").alias("group_size")))
