@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, langid, minhash, packing, quality
+from lectern.llm import exact_dedup, kd_shard, langid, minhash, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shard.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), shards=24)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op10_quality_rules)
+    f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_kd_sharding, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": quality.oracle()}
