@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, kd_shard, langid, minhash, packing, quality
+from lectern.llm import exact_dedup, kd_shard, langid, minhash, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(~langid.held_out()))
@@ -43,6 +47,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_kd_sharding, op10_quality_rules)
+    f.__name__: f for f in (op2_warc_salvage, op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_kd_sharding, op10_quality_rules)
 }
-ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {"op2_warc_salvage": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": quality.oracle()}
