@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, kd_shard, langid, minhash, packing, quality, warc
+from lectern.llm import bpe_chunks, exact_dedup, kd_shard, langid, minhash, packing, quality, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -41,12 +45,16 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shard.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), shards=24)
 
 
+def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc_salvage, op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_kd_sharding, op10_quality_rules)
+    f.__name__: f for f in (op1_token_output, op2_warc_salvage, op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_kd_sharding, op9_bpe_chunks, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {"op2_warc_salvage": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": quality.oracle()}
