@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe_chunks, exact_dedup, kd_shard, langid, minhash, packing, quality, token_output, warc
+from lectern.llm import bpe_chunks, exact_dedup, kd_shard, langid, license_scan, minhash, packing, quality, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shard.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), shards=24)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,6 +59,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_warc_salvage, op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_kd_sharding, op9_bpe_chunks, op10_quality_rules)
+    f.__name__: f for f in (op1_token_output, op2_warc_salvage, op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_kd_sharding, op8_license_scan, op9_bpe_chunks, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {"op2_warc_salvage": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": quality.oracle()}
