@@ -1 +1,6 @@
-"""See the README for what lives here."""
+"""All registered queries."""
+
+from lectern.plans import text_queries  # noqa: F401
+from lectern.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
