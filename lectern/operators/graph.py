@@ -171,7 +171,7 @@ def search_entities(roots_: DataFrame, queries: DataFrame, min_mentions: int = 2
     asked = queries.select("query_id", F.lower(F.trim("q")).alias("raw"), norm_term(F.col("q")).alias("nq"), norm_term(F.col("q"), families=False).alias("nq0"))
     held = roots_.filter(F.col("mentions") >= min_mentions).withColumn("nf", norm_term(F.col("form")))
     listed = F.to_json("forms")
-    match = (F.col("nq") == "") | F.col("nf").contains(F.col("nq")) | (F.col("nq").contains(F.col("nf")) & (F.length("nf") >= 4)) | listed.like(F.concat(F.lit("%"), F.col("raw"), F.lit("%")))
+    match = (F.col("nq") == "") | F.col("nf").contains(F.col("nq")) | (F.col("nq").contains(F.col("nf")) & (F.length("nf") >= 4)) | F.like(listed, F.concat(F.lit("%"), F.col("raw"), F.lit("%")))
     hits = held.join(F.broadcast(asked), match)  # the request's few terms
     tier = lambda f: F.when(F.lower(F.trim(f)) == F.col("raw"), 1).when((norm_term(f, families=False) == F.col("nq0")) & (F.col("nq0") != ""), 2).when((norm_term(f) == F.col("nq")) & (F.col("nq") != ""), 3).otherwise(4)
     per_query = W.partitionBy("query_id")
