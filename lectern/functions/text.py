@@ -84,7 +84,7 @@ def is_uuid(c: Column) -> Column:
 def clamp_param(c: Column, default: int, low: int, high: int) -> Column:
     """A request parameter as a whole number in [low, high]; what isn't one is the default."""
     n = F.when(c.rlike("^[+-]?[0-9]{1,18}$"), c.cast("long"))
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), n)), F.lit(default)).cast("int")
+    return F.when(n.isNull(), default).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), n))).cast("int")
 
 
 def decode_file_url(c: Column) -> Column:

@@ -48,4 +48,5 @@ def keep_entity(form: Column) -> Column:
 
 def sentences(c: Column, least: int = 25, most: int = 600) -> Column:
     """Spans that end in . ! ? … and have a fitting length."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[^.!?…]+[.!?…]+"), F.lit(0)), lambda x: F.trim(x)), lambda x: F.length(x).between(least, most))
+    spans = F.filter(F.split(c, "(?<=[.!?…])(?![.!?…])"), lambda x: x.rlike("[.!?…]$"))
+    return F.filter(F.transform(spans, lambda x: F.trim(x)), lambda x: F.length(x).between(least, most))
