@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import exact_dedup, langid, minhash, packing, quality
-from lectern.llm.common import fresh_dir
+from lectern.llm.common import filter_rows, fresh_dir
 
 #: Language ID rejects ``und`` and scores below this; chance is 1 / languages.
 LEAST_SCORE = 0.4
@@ -17,16 +17,15 @@ LEAST_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out()))
-    found = langid.predict(docs, model)
-    return found.filter((found["lang_pred"] != "und") & (found["score"] >= LEAST_SCORE)).select(*docs.columns)
+    return filter_rows(docs, ["text"], lambda d: langid.predict(d, model).filter(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.annotate(docs).filter("kept").select(*docs.columns)
+    return filter_rows(docs, ["text"], lambda d: quality.annotate(d).filter("kept"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.annotate(docs).filter("kept").select(*docs.columns)
+    return filter_rows(docs, ["doc_id", "text"], lambda d: exact_dedup.annotate(d).filter("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,13 +43,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores in front until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
+    """``name``, with underscores in front until no column's name of ``df`` begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
         name = f"_{name}"
     return name
 
 
+def filter_rows(df: DataFrame, columns: list[str], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``judge`` keeps, with all columns of ``df`` as they were, whatever they are called.
+
+    ``judge`` sees the named columns and the whole row in one more, so names that it makes can't clash.
+    """
+    row = free_name(df.select(*columns), "row")
+    packed = df.select(*columns, F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(row))
+    return judge(packed).select(f"{row}.*")
+
+
 def rank_in_groups(df: DataFrame, group: str, spread: list[str], rank: str, parts: int = 64) -> DataFrame:
     """``df`` with ``rank``, 0, 1, 2... without gaps in each ``group``, however large a group is.
 

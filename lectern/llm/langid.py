@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 #: Words longer than this are cut for scoring into parts of this many characters, so that one row of the table is bounded.
 LONGEST_WORD = 64
 SAMPLE_PER_LANGUAGE = 1500
+#: More labels than this are no languages; the model and the sampling rates stay small.
+MOST_LANGUAGES = 1000
 SMOOTHING = 0.1
 MARK = "▁"
-#: A score is the posterior after the log-likelihoods are divided by the square root of the number of words: long texts don't all score 1.
-_SEEDS = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
 def vocabulary_path() -> str:
@@ -155,7 +155,11 @@ class Scorer:
         return np.log(np.maximum(alpha[n], 1e-300)) + scale[:, None]
 
     def batch(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """(language, score) of each text."""
+        """(language, score) of each text.
+
+        A score is the posterior after the log-likelihoods are divided by the square root of the number of words, so that
+        long texts don't all score 1.
+        """
         m = self.model
         index: dict[str, int] = {}
         spans, bounds = [], [0]
@@ -193,10 +197,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     """
     path = path or vocabulary_path()
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("string").alias("lang"), F.col(key).cast("string").alias("id")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count()
-    share = F.lit(float(sample_per_language)) / F.col("count")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().take(MOST_LANGUAGES + 1)}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels")
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, sample_per_language / n)]), F.col("lang")) if sizes else F.lit(1.0)
     uniform = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.join(F.broadcast(sizes), "lang").filter(uniform < share).select("lang", "text")
+    sample = rows.filter(uniform < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(path)
