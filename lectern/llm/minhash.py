@@ -221,7 +221,7 @@ def link_groups(members: DataFrame, matcher, block: int = BLOCK) -> DataFrame:
     home = F.pmod(F.xxhash64("id"), blocks).cast("int")
     alone = members.select("grp", home.alias("blk"), "id", F.col("id").alias("part"), F.lit(False).alias("visits"), "payload")
     first = cut(_linked(alone, matcher))
-    large = members.filter(F.col("size") > block)
+    large = cut(members.filter(F.col("size") > block))
     if large.isEmpty():
         return first
     parts = components(first)
