@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.engine import Engine
 from lectern.functions import frontmatter as fm
 from lectern.functions import text as t
-from lectern.operators import chunk, extract, graph, jobs, locate, persist, search, sync, trust
+from lectern.operators import anchors, chunk, extract, graph, jobs, locate, persist, repair, search, sync, trust
 from lectern.sources import files, library
 from lectern.streaming import outbox
 
@@ -225,3 +225,31 @@ def test_partition_count_changes_nothing(spark, data):
     one = search.hybrid(asked.coalesce(1), docs.coalesce(1)).collect()
     many = search.hybrid(asked.repartition(5), docs.repartition(7)).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and QUERIES["hybrid_search"](spark, data).count() == len(one)
+
+
+def test_label_repair(spark):
+    a = spark.createDataFrame([("o", 3, "1", "4"), ("o", 9, "7", "10"), ("p", 2, "3", "9"), ("p", 5, "6", "12"), ("t", 1, "5", "6"), ("t", 9, "13", "16"), ("i", 4, "", "1"), ("i", 8, "", "5"), ("u", 1, "1", "2")], "doc string, page int, label string, truth string")
+    assert {r["doc"]: r["class"] for r in repair.offset_classes(a).collect()} == {"o": "constant-offset", "p": "reprint-start", "t": "two-range", "i": "injection", "u": "unclassifiable"}
+    spec = [(0, "", "D", 1)]
+    books = spark.createDataFrame(
+        [("o", "constant-offset", spec, [(3, 1, 4), (9, 7, 10)], []), ("t", "two-range", spec, [(1, 2, 3), (9, 10, 13)], [(4, 6), (5, 9)]), ("r", "two-range", spec, [(1, 2, 3), (9, 10, 13)], []), ("i", "injection", [], [(4, None, 3)], [(3, 2), (2, 1)])],
+        f"doc string, class string, spec array<{repair.RANGE}>, anchors array<struct<page:int,n:int,m:int>>, folio array<struct<page:int,value:int>>")
+    made = {r.doc: r for r in repair.plans(books).collect()}
+    assert [tuple(x) for x in made["o"].spec] == [(0, "", "D", 4)] and made["r"].spec is None and "0 places" in made["r"].refused
+    assert [tuple(x) for x in made["t"].spec] == [(0, "", "D", 2), (5, "", "D", 9)]
+    assert [tuple(x) for x in made["i"].spec] == [(0, "", "r", 1), (2, "", "D", 1)]
+
+
+def test_anchors(spark):
+    assert anchors.find_tolerant("a  long – winded\ntext", "long - winded text") == 3 and anchors.find_tolerant(None, "x") == -1
+    assert anchors.strip_running_head("INTRODUCTION 12 | The sentence itself is long enough to stay whole here.", "12") == "The sentence itself is long enough to stay whole here."
+    pages = spark.createDataFrame([("d", p, f"This is sentence number {p} of the text. It costs approx. ten units and goes on like that.") for p in range(6)], "doc string, page int, text string")
+    rows = anchors.sentence_rows(pages)
+    assert rows.count() == 12
+    picked = anchors.anchor_candidates(rows, 1)
+    assert {r.part for r in picked.collect()} == {"front", "middle", "back"}
+    names = spark.createDataFrame([("d", 0, "Acme"), ("d", 1, "ACME Corp"), ("d", 2, "UN"), ("d", 3, "un")], "doc string, seq int, name string")
+    known = spark.createDataFrame([("d", 0, "Acme Corporation")], "doc string, seq int, text string")
+    assert [r.entity for r in anchors.resolve_names(names, known).orderBy("seq").collect()] == ["Acme Corporation", "Acme Corporation", "UN", "UN"]
+    geometry = spark.range(1).select(anchors.is_prose_page(F.array(F.lit(300.0), F.lit(10.0), F.lit(320.0)), F.lit(500.0)), anchors.in_one_column(F.array(F.lit(10.0), F.lit(12.0), F.lit(400.0))))
+    assert tuple(geometry.first()) == (True, True)
