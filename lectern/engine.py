@@ -58,3 +58,14 @@ class Engine:
     def consolidate(self) -> dict[str, DataFrame]:
         parts = graph.consolidate(self.tables["entities"], self.tables["mentions"], self.tables["relations"])
         return dict(zip(("entities", "mentions", "relations", "archive"), parts, strict=True))
+
+    def evidence_sources(self, triples: DataFrame) -> DataFrame:
+        """(source, target, type, chunk_id, document_id, chunk_index, text) of the evidence of ``triples``."""
+        each = triples.select("source", "target", "type", F.explode("evidence").alias("chunk_id"))
+        return each.join(self._active_chunks().select("chunk_id", "document_id", "chunk_index", "text"), "chunk_id")
+
+    def propose_gold(self, queries: DataFrame, scope: DataFrame, top_n: int = 10) -> DataFrame:
+        """Search hits whose document is in a query's ``scope`` (query_id, document_id), as proposals to confirm."""
+        hits = self.search(queries, top_n)
+        owned = hits.join(self._active_chunks().select(F.col("chunk_id").alias("id"), "document_id"), "id")
+        return owned.join(scope, ["query_id", "document_id"], "left_semi").withColumn("confirmed", F.lit(False))

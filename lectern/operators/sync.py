@@ -143,3 +143,14 @@ def changed_only(stored: DataFrame, fresh: DataFrame, key: str, columns: list[st
     old = stored.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
     return fresh.join(old, key).filter(differs).select(*fresh.columns)
+
+
+def resolved_view(members: DataFrame, collection_modes: DataFrame) -> DataFrame:
+    """(collection_key, mode, document_ids in order, documents): what each selected collection holds."""
+    joined = collection_modes.join(members.distinct(), "collection_key", "left")
+    return joined.groupBy("collection_key", "mode").agg(F.sort_array(F.collect_set("document_id")).alias("document_ids"), F.count("document_id").alias("documents"))
+
+
+def active_once(snapshots: DataFrame) -> DataFrame:
+    """Attachments that break the rule of at most one active snapshot."""
+    return snapshots.filter("active").groupBy("attachment_id").agg(F.count("*").alias("n")).filter("n > 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.engine import Engine
 from lectern.functions import frontmatter as fm
 from lectern.functions import text as t
-from lectern.operators import anchors, chunk, extract, graph, jobs, locate, persist, repair, search, sync, trust
+from lectern.operators import anchors, chunk, extract, graph, jobs, locate, persist, repair, seams, search, sync, trust
 from lectern.sources import files, library
 from lectern.streaming import outbox
 
@@ -253,3 +253,25 @@ def test_anchors(spark):
     assert [r.entity for r in anchors.resolve_names(names, known).orderBy("seq").collect()] == ["Acme Corporation", "Acme Corporation", "UN", "UN"]
     geometry = spark.range(1).select(anchors.is_prose_page(F.array(F.lit(300.0), F.lit(10.0), F.lit(320.0)), F.lit(500.0)), anchors.in_one_column(F.array(F.lit(10.0), F.lit(12.0), F.lit(400.0))))
     assert tuple(geometry.first()) == (True, True)
+
+
+def test_seams(spark):
+    texts = spark.createDataFrame([(i, "bad" if i == 20 else f"t{i}") for i in range(40)], "id int, text string")
+
+    def load():
+        def model(batch):
+            if "bad" in batch:
+                raise RuntimeError
+            return [([1.0, 2.0], {"a": 1.0}) for _ in batch]
+
+        return model
+
+    got = seams.embed(texts.coalesce(1), "id", "text", load, 2).collect()
+    assert len(got) == 40 and sum(r.embedding == [0.0, 0.0] for r in got) == 16
+    pairs = spark.createDataFrame([(1, i, "q", "x" * i) for i in range(3)], "query_id int, id int, query string, text string")
+    assert [r.rerank for r in seams.rerank_scores(pairs, lambda: lambda q, t: [float(len(x)) for x in t]).orderBy("id").collect()] == [0.0, 1.0, 2.0]
+    found = spark.createDataFrame([("c", "Acme", "ORG", 3, 0.5), ("c", "Acme", "ORG", 9, 0.9), ("c", "7", "ORG", 1, 0.9), ("c", "Lee et al.", "PERSON", 1, 0.9)], "chunk_id string, text string, type string, start int, confidence double")
+    assert [(r.text, r.confidence, r.mentions) for r in seams.named_entities(found).collect()] == [("Acme", 0.9, [3, 9])]
+    modes = spark.createDataFrame([("c", "included"), ("e", "excluded")], "collection_key string, mode string")
+    members = spark.createDataFrame([("c", "2"), ("c", "1"), ("c", "1")], "collection_key string, document_id string")
+    assert [(r.document_ids, r.documents) for r in sync.resolved_view(members, modes).orderBy("collection_key").collect()] == [(["1", "2"], 2), ([], 0)]
