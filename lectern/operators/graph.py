@@ -20,6 +20,8 @@ top managements|top-managements|topmanagements|mittleres management|middle manag
 lower management|managementebene|managementebenen|mitarbeiter|mitarbeitern|mitarbeiterinnen|kunden|kunde|vorstand|führungskräfte|führungskräften
 führungskraft|unternehmer|unternehmern|geschäftsführer|geschäftsführerin|beschäftigte|arbeitnehmer|arbeitnehmerin|arbeitgeber|arbeitgebern
 mitarbeiters|arbeitgebers|vorstands|arbeitnehmers|unternehmers|geschäftsführers""".replace("\n", "|").split("|")
+#: Requests of one entity search; they are broadcast.
+MOST_REQUESTS = 1000
 PLURAL_HEADS = "stakeholders stakeholdern shareholders shareholdern anteilseignern anteilseigners anspruchsgruppen managements mitarbeitern mitarbeiterinnen kunden führungskräften arbeitgebern arbeitnehmerinnen".split()
 PLURAL_HEAD = f"^[a-zäöüß][a-zäöüß-]*( [a-zäöüß][a-zäöüß-]*){{0,2}} ({'|'.join(PLURAL_HEADS)})$"
 
@@ -168,11 +170,13 @@ def search_entities(roots_: DataFrame, queries: DataFrame, min_mentions: int = 2
 
     The pool of 3 * limit is cut by mentions before tiers, unless ``exact_first``. ``queries``: query_id, q.
     """
+    if queries.limit(MOST_REQUESTS + 1).count() > MOST_REQUESTS:
+        raise ValueError(f"at most {MOST_REQUESTS} requests at once")
     asked = queries.select("query_id", F.lower(F.trim("q")).alias("raw"), norm_term(F.col("q")).alias("nq"), norm_term(F.col("q"), families=False).alias("nq0"))
     held = roots_.filter(F.col("mentions") >= min_mentions).withColumn("nf", norm_term(F.col("form")))
     listed = F.to_json("forms")
     match = (F.col("nq") == "") | F.col("nf").contains(F.col("nq")) | (F.col("nq").contains(F.col("nf")) & (F.length("nf") >= 4)) | F.like(listed, F.concat(F.lit("%"), F.col("raw"), F.lit("%")))
-    hits = held.join(F.broadcast(asked), match)  # the request's few terms
+    hits = held.join(F.broadcast(asked), match)  # checked above
     tier = lambda f: F.when(F.lower(F.trim(f)) == F.col("raw"), 1).when((norm_term(f, families=False) == F.col("nq0")) & (F.col("nq0") != ""), 2).when((norm_term(f) == F.col("nq")) & (F.col("nq") != ""), 3).otherwise(4)
     per_query = W.partitionBy("query_id")
     tiered = hits.withColumn("tier", F.array_min(F.transform(F.concat(F.array("form"), "forms"), tier)))
