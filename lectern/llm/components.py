@@ -1,4 +1,4 @@
-"""Connected components of links, on the executors only: alternating large-star and small-star steps."""
+"""Connected components of links, on the executors only: hooking to the smallest neighbour and pointer jumping."""
 
 from __future__ import annotations
 
@@ -11,18 +11,20 @@ from lectern.llm.common import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has a link; the component is its smallest node.
 
-    Each round is cut into the shared folder. Rounds grow with the logarithm of the longest path.
+    Edges lead from a node to smaller ones. A round joins all smaller neighbours of a node to the least of them, its parent,
+    and then moves every edge's end to that end's parent. It is over when every node has one parent and no parent has one
+    itself: for links that already are stars, without any round. Parents are summed before they shuffle, so a node that
+    many link to costs no task more than others; rounds grow with the logarithm of the longest path. Each round is cut into
+    the shared folder.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
-    before = None
     while True:
-        both = edges.union(edges.select("v", "u")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = cut(hooked.select("e.u", "e.v").filter("u != v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        before = state
+        parents = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        many = not parents.filter("n > 1").isEmpty()
+        up = parents.select(F.col("u").alias("v"), F.col("m").alias("w"))
+        if not many and parents.select(F.col("m").alias("v")).distinct().join(up, "v", "left_semi").isEmpty():
+            return parents.select(F.col("u").alias("node"), F.col("m").alias("component")).union(parents.select("m", "m").distinct())
+        hooked = parents.select("u", F.col("m").alias("v"))
+        if many:
+            hooked = hooked.union(edges.join(parents.filter("n > 1"), "u").filter("v != m").select("v", "m"))
+        edges = cut(hooked.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v")).distinct())

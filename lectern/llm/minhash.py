@@ -158,8 +158,11 @@ class Sets:
 
 
 def spanning_links(similar: Callable[[int, np.ndarray], np.ndarray], known: np.ndarray, pivots: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what is similar, given components so far; each pivot meets the members of ``home`` it isn't connected with."""
-    part, out = known.copy(), []
+    """Links that connect what is similar, given components so far; each pivot meets the members of ``home`` it isn't connected with.
+
+    They are stars: in each new component, the first member of every old one is linked with the very first.
+    """
+    part = known.copy()
     for i in pivots.tolist():
         others = home[part[home] != part[i]]
         if not len(others):
@@ -167,8 +170,9 @@ def spanning_links(similar: Callable[[int, np.ndarray], np.ndarray], known: np.n
         for j in similar(i, others).tolist():
             if part[j] != part[i]:
                 part[part == part[j]] = part[i]
-                out.append((i, j))
-    return out
+    _, first = np.unique(known, return_index=True)
+    centre: dict[int, int] = {}
+    return [(centre[p], i) for i, p in sorted(zip(first.tolist(), part[first].tolist(), strict=True)) if centre.setdefault(p, i) != i]
 
 
 def _linked(rows: DataFrame, matcher) -> DataFrame:
