@@ -67,7 +67,7 @@ def token_set(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two token sets; 0 if either is empty."""
+    """Of two sets; 0 if either is empty."""
     shared = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
@@ -212,12 +212,26 @@ def hashed_sparse(c: Column, buckets: int = 1000) -> Column:
     return F.map_from_entries(last)
 
 
-def safe_filename(c: Column, longest: int = 80) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", ""), 1, longest)
+def shorten(c: Column, n: int) -> Column:
+    """At most n characters, cut at the last blank, dash, colon or comma of the second half, with an ellipsis."""
+    whole = squeeze_ends(c)
+    head = F.substring(whole, 1, n)
+    at = F.length(F.regexp_extract(head, "^(.*)[ –:,-]", 1))
+    cut = F.when(head.rlike("[ –:,-]") & (at > n // 2), head.substr(F.lit(1), at)).otherwise(head)
+    return F.when(F.length(whole) <= n, whole).otherwise(F.concat(F.regexp_replace(cut, "[ –:,-]+$", ""), F.lit("…")))
+
+
+def schema_filename(creators: Column, year: Column, title: Column, publisher: Column) -> Column:
+    """"Author - year - title.pdf": the first author's name or last name, else the publisher; nothing that breaks a path."""
+    authors = F.filter(creators, lambda x: x["creatorType"] == "author")
+    names = F.filter(F.transform(authors, lambda x: F.when(x["name"] != "", x["name"]).otherwise(x["lastName"])), lambda x: x != "")
+    head = F.coalesce(F.get(names, F.lit(0)), F.nullif(publisher, F.lit("")), F.lit("Unbekannt"))
+    whole = F.concat(head, F.lit(" - "), F.coalesce(F.when(year > 0, year.cast("string")), F.lit("")), F.lit(" - "), shorten(title, 80))
+    return F.concat(squeeze(F.regexp_replace(whole, "[/\\\\\\x00-\\x1f]", " ")), F.lit(".pdf"))
 
 
 def profile_hash(*cols: Column) -> Column:
-    """SHA-256 of the canonical JSON of the named columns."""
+    """SHA-256 of the JSON of the columns in their order."""
     return F.sha2(F.to_json(F.struct(*cols)), 256)
 
 
@@ -232,8 +246,8 @@ def backoff_seconds(attempt: Column, base: float = 5, most: float = 3600) -> Col
 
 
 #: Stop words that tell German from English.
-GERMAN = "der die das und ist nicht mit von den zu auf für ein eine im dem".split()
-ENGLISH = "the and of to in is that for with on as are this by an be".split()
+GERMAN = "der die das und ist ein eine zu in den von für mit auf des dem nicht sich auch werden als dass oder wie wird bei nach".split()
+ENGLISH = "the and is a an to in of for with on not are was that this from by be have has it or which but as can they".split()
 
 
 def detect_language(c: Column, first: int = 500) -> Column:
@@ -243,15 +257,25 @@ def detect_language(c: Column, first: int = 500) -> Column:
     return F.when(hits(GERMAN) > hits(ENGLISH), "de").otherwise("en")
 
 
-def locator_label(loc: Column) -> Column:
-    """What a reader is shown: label or PDF page (range), chapter first; an EPUB pointer; else null."""
-    first, last = loc["page_label_start"], loc["page_label_end"]
-    chapter = F.when(loc["chapter"].isNotNull(), F.concat(F.lit("Kap. "), loc["chapter"], F.lit(", "))).otherwise("")
-    span = lambda a, b: F.when(b.isNull() | (a == b), a).otherwise(F.concat(a, F.lit("–"), b))
-    by_label = F.concat(chapter, F.lit("S. "), span(first, last))
-    by_page = F.concat(chapter, F.lit("PDF-S. "), span(loc["physical_page_start"].cast("string"), loc["physical_page_end"].cast("string")))
-    page = F.when(first.isNotNull() & (first != ""), by_label).when(loc["physical_page_start"].isNotNull(), by_page)
-    return F.when(loc["type"] == "page_span", page).when(loc["type"] == "epub_cfi", F.concat(F.lit("CFI "), short_cfi(loc["cfi_start"])))
+def locator_label(loc: Column, titles: Column) -> Column:
+    """What a reader is shown; physical pages count from 0 in the locator and from 1 here.
+
+    Pages: "S. " and the label or label range; for physical_only "PDF-S. " and the physical page alone. A chapter number
+    goes in front ("Kap. 3, "), else the deepest section title ("Title · "). Everything else shows the title, if there is one.
+    """
+    title = F.coalesce(F.when(F.size(titles) > 0, F.element_at(titles, -1)), F.lit(""))
+    physical = F.coalesce((loc["physical_page_start"] + 1).cast("string"), F.lit(""))
+    only = loc["page_source"].eqNullSafe(F.lit("physical_only"))
+    first, last = F.coalesce(loc["page_label_start"], F.lit("")), F.coalesce(loc["page_label_end"], F.lit(""))
+    page = F.when(only | (first == ""), physical).otherwise(first)
+    span = F.when(~only & (last != "") & (last != first), F.concat(page, F.lit("-"), last)).otherwise(page)
+    prefix = F.when(only, "PDF-S. ").otherwise("S. ")
+    number = F.concat(F.lit("Kap. "), loc["chapter"])
+    paged = (
+        F.when(loc["chapter"].isNotNull(), F.when(span == "", number).otherwise(F.concat(number, F.lit(", "), prefix, span)))
+        .when(span == "", title).when(title == "", F.concat(prefix, span)).otherwise(F.concat(title, F.lit(" · "), prefix, span))
+    )
+    return F.when(loc["type"] == "page_span", paged).otherwise(title)
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -129,7 +129,7 @@ def sentence_rows(pages: DataFrame) -> DataFrame:
                 seq = 0
                 for m in re.finditer(r"[^.!?…]{25,600}?[.!?…](?=\s|$)", text or ""):
                     after = text[m.end() :].lstrip()[:1]
-                    if not after or re.match(r"[„“”)\[A-ZÄÖÜ0-9*]", after):
+                    if not after or re.match(r"[„“”)‖\[A-ZÄÖÜ0-9*]", after):
                         rows.append((doc, page, seq, m[0].strip()))
                         seq += 1
             yield pd.DataFrame(rows, columns=["doc", "page", "seq", "text"])

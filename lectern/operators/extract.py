@@ -41,9 +41,20 @@ def assemble(found: DataFrame) -> DataFrame:
     return found.groupBy("source", "target", relation_type(F.col("relation")).alias("type")).agg(F.max("strength").alias("strength"), F.sort_array(F.collect_set("chunk_id")).alias("evidence"))
 
 
+#: Words that name no one, and what a model's labels are called here.
+GENERIC = "firm firms workers government governments countries borrowers savers lenders households".split()
+TYPES = {"person": "PERSON", "organization": "ORGANIZATION", "location": "LOCATION", "concept": "CONCEPT", "book or journal": "WORK", "research method": "METHOD"}
+
+
 def keep_entity(form: Column) -> Column:
-    """The filter after a model: 2 to 100 characters, no ``et al.``, not only digits and marks."""
-    return F.length(F.trim(form)).between(2, 100) & ~F.lower(form).contains("et al") & form.rlike("[A-Za-z\\x{80}-\\x{10FFFF}]")
+    """The filter after a model: 2 to 100 characters, no ``et al.`` at the end, no generic word alone."""
+    text = F.trim(form)
+    return F.length(text).between(2, 100) & ~text.rlike("(?i)\\bet\\s+al\\.?$") & ~F.lower(text).isin(*GENERIC)
+
+
+def entity_type(label: Column) -> Column:
+    """The type of a model's label; null for labels that aren't used."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair]), label)
 
 
 def sentences(c: Column, least: int = 25, most: int = 600) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import frontmatter
-from lectern.functions.text import jaccard, token_set
+from lectern.functions.text import jaccard, token_set, words
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -160,8 +160,9 @@ def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def jaccard_scores(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """A deterministic stand-in for a reranker: Jaccard of token sets, six places."""
-    named = hits.join(queries.select("query_id", token_set(F.col("text")).alias("a")), "query_id").join(docs.select("id", token_set(F.col("text")).alias("b")), "id")
+    """A deterministic stand-in for a reranker: Jaccard of the sets of lower-case words, six places."""
+    bag = F.array_distinct(words(F.lower("text")))
+    named = hits.join(queries.select("query_id", bag.alias("a")), "query_id").join(docs.select("id", bag.alias("b")), "id")
     return named.select("query_id", "id", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("rerank"))
 
 
@@ -174,11 +175,11 @@ def cap_with_refill(hits: DataFrame, owner: DataFrame, cap: int) -> DataFrame:
 
 
 def fold_near_duplicates(hits: DataFrame, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Greedy in rank order: a hit folds into the first kept hit of its owner that is more similar than the threshold.
+    """Greedy in rank order: a hit folds into the first kept hit of its owner that is equal or more similar than the threshold.
 
     ``docs``: id, owner, text. A query has at most MOST hits, so one query is one bounded group. Adds ``folded``.
     """
-    full = hits.join(docs.select("id", "owner", token_set(F.col("text")).alias("tokens")), "id")
+    full = hits.join(docs.select("id", "owner", token_set(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("digest")), "id")
     id_type, query_type = dict(hits.dtypes)["id"], dict(hits.dtypes)["query_id"]
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 LEAST_RUN = 3
 STRENGTH = {"bare": 0, "eli": 1, "lseries": 1, "lead": 2, "trail": 2, "mid": 3, "roman": 4, "weak": 5}
+#: What a line in a page's top or bottom band may look like.
+NUMBER = "(?<![0-9./(])([0-9]{1,4})(?![0-9./)])"
+SERIES = "\\bL\\s*[0-9]{1,4}\\s*/\\s*([0-9]{1,4})\\b"
+PART_OF = "(?:^|\\s)([0-9]{1,4})/[0-9]{1,4}(?:\\s|$)"
+YEARS = (1900, 2030)
+LONGEST_HEAD = 90
 SOFT = ("lead", "mid", "trail", "weak")
 
 
@@ -98,20 +104,23 @@ def pick_candidates(harvest: DataFrame) -> DataFrame:
 def harvest_lines(lines: DataFrame) -> DataFrame:
     """Number candidates of page-band lines (doc, page, zone, seq, line): (doc, page, form, value, zone, seq)."""
     line = F.regexp_replace("line", "^\\s+|\\s+$", "")
-    number = F.regexp_extract_all(line, F.lit("(?<![0-9])([0-9]{1,4})(?![0-9])"), F.lit(1))
-    year = lambda v: v.cast("int").between(1900, 2099)
+    number = F.regexp_extract_all(line, F.lit(NUMBER), F.lit(1))
+    year = lambda v: v.cast("int").between(*YEARS)
     cell = lambda form, value: F.array(F.struct(form.alias("form"), value.alias("value")))
     many = lambda: F.transform(F.col("numbers"), lambda v, i: F.struct(F.when(year(v), "weak").when(F.col("line").startswith(v), F.when(v == F.col("numbers")[0], "lead").otherwise("mid")).when(F.col("line").endswith(v), F.when(v == F.element_at("numbers", -1), "trail").otherwise("mid")).otherwise("mid").alias("form"), v.alias("value")))
     roman_tail = F.regexp_extract("line", "(?i)\\s([ivxlcdm]{1,7})$", 1)
-    series = F.regexp_extract("line", "L\\s*[0-9]+/([0-9]{1,4})", 1)
+    series = F.regexp_extract("line", SERIES, 1)
+    part_of = F.regexp_extract("line", PART_OF, 1)
+    sound = lambda v: (v != "") & ~v.rlike("^0.")
     none = F.array().cast("array<struct<form:string,value:string>>")
     base = lines.withColumn("line", line).withColumn("numbers", number)
     found = (
         F.when(F.col("line") == "", none)
         .when(F.col("line").rlike("^[0-9]{1,4}$"), cell(F.when(year(F.col("line")), "weak").otherwise("bare"), F.col("line")))
         .when(F.col("line").rlike("(?i)^[ivxlcdm]{1,7}$"), cell(F.lit("roman"), F.lower("line")))
-        .when(F.length("line") > 80, none)
+        .when(F.length("line") > LONGEST_HEAD, none)
         .when(series != "", cell(F.lit("lseries"), series))
+        .when(sound(part_of) & (F.col("line").rlike("^[0-9]+/[0-9]+$") | F.lower("line").contains("eli")), cell(F.lit("eli"), part_of))
         .when((roman_tail != "") & F.col("line").rlike("\\S\\s+\\S"), cell(F.lit("roman"), F.lower(roman_tail)))
         .when((F.size("numbers") >= 2) & (F.length(F.regexp_replace("line", "[\\d\\s.,/–-]", "")) < 4), none)
         .when(F.col("line").rlike("[.!;:]$"), none)

@@ -72,7 +72,7 @@ def hybrid_search(spark, sf_dir):
     return search.hybrid(_queries(spark, sf_dir), _docs(spark, sf_dir), TOP).withColumn("score", F.round("score", 9))
 
 
-_SET = "list_distinct(" + _BAG + ")"
+_SET = "list_distinct(list_filter(string_split_regex(lower(text), '[\\x09-\\x0D\\x20]+'), lambda x: x <> ''))"
 
 
 @query(f"""WITH {ARMS}, c AS (SELECT query_id, id, rank FROM bm WHERE rank <= 30),

@@ -152,15 +152,15 @@ def gate_counts(spark, sf_dir):
     return counted.select(F.coalesce("class", F.lit("total")).alias("class"), "documents", "gated")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'CFI /6/' || p_size WHEN p_size % 4 = 1 THEN 'Kap. 2, S. ' || p_size || '–' || (p_size + 1)
-WHEN p_size % 4 = 2 THEN 'PDF-S. ' || p_size END AS label FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_brand WHEN 1 THEN 'Kap. 2, S. ' || p_size || '-' || (p_size + 1) WHEN 2 THEN p_brand || ' · PDF-S. ' || (p_size + 1) WHEN 3 THEN 'S. ' || (p_size + 1) ELSE 'Kap. 2' END AS label FROM part""")
 def locator_labels(spark, sf_dir):
     n = F.col("p_size")
-    kind = n % 4
+    kind = n % 5
+    text = lambda c: c.cast("string")
     loc = F.struct(
         F.when(kind == 0, "epub_cfi").otherwise("page_span").alias("type"),
-        F.when(kind == 1, n.cast("string")).alias("page_label_start"), F.when(kind == 1, (n + 1).cast("string")).alias("page_label_end"),
-        F.when(kind == 2, n).alias("physical_page_start"), F.when(kind == 2, n).alias("physical_page_end"),
-        F.when(kind == 1, "2").alias("chapter"), F.concat(F.lit("epubcfi(/6/"), n.cast("string"), F.lit(",/4,/5)")).alias("cfi_start"),
+        F.when(kind == 1, text(n)).when(kind == 2, "xx").alias("page_label_start"), F.when(kind == 1, text(n + 1)).alias("page_label_end"),
+        F.when(kind.isin(2, 3), n).alias("physical_page_start"), F.when(kind == 2, "physical_only").alias("page_source"), F.when(kind.isin(1, 4), "2").alias("chapter"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", t.locator_label(loc).alias("label"))
+    titles = F.when(kind == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"), F.col("p_brand")))
+    return table(spark, sf_dir, "part").select("p_partkey", t.locator_label(loc, titles).alias("label"))

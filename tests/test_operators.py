@@ -43,6 +43,15 @@ def test_small_parsers(spark):
     assert values(spark, t.hashed_sparse, ["b a b"])[0].values() and len(values(spark, t.hashed_vector, ["x"])[0]) == 3
 
 
+def test_names_and_files(spark):
+    creators = "array<struct<creatorType:string,firstName:string,lastName:string,name:string>>"
+    df = spark.createDataFrame([([("editor", "a", "E", ""), ("author", "b", "Lee", "")], 2020, "A/B  title", "P"), ([], 0, "word " * 30, "Bank"), (None, None, "t", None)], f"c {creators}, y int, t string, p string")
+    got = [r[0] for r in df.select(t.schema_filename(F.col("c"), F.col("y"), F.col("t"), F.col("p"))).collect()]
+    assert got[0] == "Lee - 2020 - A B title.pdf" and got[1].startswith("Bank - - word") and got[1].endswith("word….pdf") and got[2] == "Unbekannt - - t.pdf"
+    assert values(spark, extract.keep_entity, ["Lee et al.", "firms", "x", "Acme Corp"]) == [False, False, False, True]
+    assert values(spark, extract.entity_type, ["book or journal", "colour"]) == ["WORK", None]
+
+
 def test_front_matter(spark):
     kinds = {
         "### **Inhaltsverzeichnis**\nx": "toc", "# Literaturverzeichnis-\n- a": "bibliography", "## _Vorwort_": "preface", "> Vorwort": "preface",
@@ -135,9 +144,9 @@ def test_page_trust(spark):
     assert sorted((r.page, r.value) for r in trust.verified_folios(c).collect()) == [(4, 1), (5, 2), (6, 3), (7, 4)]
     chapters = spark.createDataFrame([("d", 0, 1), ("d", 4, 2)], "doc string, start int, ordinal int")
     assert trust.verified_folios(c, chapters).count() == 7
-    lines = spark.createDataFrame([("d", p, "top", 0, x) for p, x in enumerate(["12", "Journal 22 Vol. 3", "iv", "1999", "A heading 15", "L 333/80", "see the text."])], "doc string, page int, zone string, seq int, line string")
+    lines = spark.createDataFrame([("d", p, "top", 0, x) for p, x in enumerate(["12", "Journal 22 Vol. 3", "iv", "1999", "A heading 15", "L 333/80", "see the text.", "16/144", "Issue 3.4 of 7"])], "doc string, page int, zone string, seq int, line string")
     found = [(r.page, r.form, r.value) for r in trust.harvest_lines(lines).orderBy("page", "seq").collect()]
-    assert found == [(0, "bare", "12"), (1, "mid", "22"), (1, "trail", "3"), (2, "roman", "iv"), (3, "weak", "1999"), (4, "trail", "15"), (5, "lseries", "80")]
+    assert found == [(0, "bare", "12"), (1, "mid", "22"), (1, "trail", "3"), (2, "roman", "iv"), (3, "weak", "1999"), (4, "trail", "15"), (5, "lseries", "80"), (7, "eli", "16"), (8, "trail", "7")]
     harvest = spark.createDataFrame([("d", 0, "bare", "7", "top", 0), ("d", 1, "lead", "3", "top", 0), ("d", 1, "trail", "8", "top", 1), ("d", 2, "weak", "1999", "bot", 0)], "doc string, page int, form string, value string, zone string, seq int")
     assert [(r.page, r.value) for r in trust.pick_candidates(harvest).orderBy("page").collect()] == [(0, "7"), (1, "8"), (2, "1999")]
     pages = spark.createDataFrame([("d", 4)], "doc string, page_count int")
@@ -270,7 +279,7 @@ def test_seams(spark):
     assert len(got) == 40 and sum(r.embedding == [0.0, 0.0] for r in got) == 16
     pairs = spark.createDataFrame([(1, i, "q", "x" * i) for i in range(3)], "query_id int, id int, query string, text string")
     assert [r.rerank for r in seams.rerank_scores(pairs, lambda: lambda q, t: [float(len(x)) for x in t]).orderBy("id").collect()] == [0.0, 1.0, 2.0]
-    found = spark.createDataFrame([("c", "Acme", "ORG", 3, 0.5), ("c", "Acme", "ORG", 9, 0.9), ("c", "7", "ORG", 1, 0.9), ("c", "Lee et al.", "PERSON", 1, 0.9)], "chunk_id string, text string, type string, start int, confidence double")
+    found = spark.createDataFrame([("c", "Acme", "ORG", 3, 0.5), ("c", "Acme", "ORG", 9, 0.9), ("c", "firms", "ORG", 1, 0.9), ("c", "Lee et al.", "PERSON", 1, 0.9)], "chunk_id string, text string, type string, start int, confidence double")
     assert [(r.text, r.confidence, r.mentions) for r in seams.named_entities(found).collect()] == [("Acme", 0.9, [3, 9])]
     modes = spark.createDataFrame([("c", "included"), ("e", "excluded")], "collection_key string, mode string")
     members = spark.createDataFrame([("c", "2"), ("c", "1"), ("c", "1")], "collection_key string, document_id string")
