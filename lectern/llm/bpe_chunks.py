@@ -16,6 +16,7 @@ repeated rows, are encoded like any other; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,8 +154,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                 b = whole.slice(at, 2000)
                 owner, found = [], []
                 for i, data, ends in chunks_of(b.column(1)):
-                    begins = [0, *ends[:-1]]
-                    own = {_digest(data[x:y]) for x, y in zip(begins, ends, strict=True)}
+                    own = {_digest(data[x:y]) for x, y in itertools.pairwise([0, *ends])}
                     owner += [i] * len(own)
                     found += own
                 yield pa.record_batch([b.column(0).take(pa.array(owner, pa.int64())), pa.array(found, pa.binary())], ["id", "h"])
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                 made: dict[bytes, bytes] = {}
                 for i, data, ends in chunks_of(b.column(1)):
                     mine = set(wanted[i].as_py())
-                    for x, y in zip([0, *ends[:-1]], ends, strict=True):
+                    for x, y in itertools.pairwise([0, *ends]):
                         if (h := _digest(data[x:y])) in mine and h not in made:
                             made[h] = enc.encode_plain(data[x:y].tobytes().decode("utf-8")).astype("<u4").tobytes()
                 yield pa.record_batch([pa.array(list(made), pa.binary()), pa.array(list(made.values()), pa.binary())], ["h", "ids"])
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                             done(enc.encode(body))
                             continue
                         known = dict(zip(hs, ids, strict=True))
-                        raw = [known.get(_digest(data[x:y])) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+                        raw = [known.get(_digest(data[x:y])) for x, y in itertools.pairwise([0, *ends])]
                         done(joiner.encode(data, ends, [None if r is None else np.frombuffer(r, "<u4") for r in raw]))
                 columns = [b.column(0), *(pa.array([r[k] for r in results], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))]
                 yield pa.record_batch([*columns, *([pa.array(packed, pa.binary())] if with_ids else [])], schema.names)

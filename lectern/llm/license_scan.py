@@ -82,13 +82,14 @@ class Index:
         return self.posts[a:b]
 
 
-def align(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """(matches, first word, end word) of the best local alignment on diagonals low - BAND .. high + BAND (document - template)."""
+def align(doc: np.ndarray, template: np.ndarray, low: int, high: int, start: int = 0, stop: int | None = None) -> tuple[int, int, int]:
+    """(matches, first word, end word) of the best local alignment of doc[start:stop] on diagonals low - BAND .. high + BAND (document - template)."""
+    stop = len(doc) if stop is None else stop
     d, t = doc.tolist(), template.tolist()
     best = (0, 0, 0, 0)  # score, matches, begin, end
     none = (0, 0, -1)
     above: dict[int, tuple[int, int, int]] = {}
-    for i in range(max(0, low - BAND), min(len(d), high + BAND + len(t))):
+    for i in range(max(start, low - BAND), min(stop, high + BAND + len(t))):
         row: dict[int, tuple[int, int, int]] = {}
         for j in range(max(0, i - high - BAND), min(len(t), i - low + BAND + 1)):
             same = d[i] == t[j]
@@ -105,6 +106,19 @@ def align(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[i
     return best[1:]
 
 
+def align_all(doc: np.ndarray, template: np.ndarray, low: int, high: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """Alignments of at least ``percent`` of the template: the best one, then those before and after it."""
+    parts = [(max(0, low - BAND), min(len(doc), high + BAND + len(template)))]
+    while parts:
+        start, stop = parts.pop()
+        if 100 * (stop - start) < percent * len(template):
+            continue
+        matches, begin, end = align(doc, template, low, high, start, stop)
+        if 100 * matches >= percent * len(template):
+            yield matches, begin, end
+            parts += [(start, begin), (end, stop)]
+
+
 def scan_words(doc: np.ndarray, grams_at: np.ndarray, grams: np.ndarray, index: Index, percent: int) -> list[tuple[int, int, int, int]]:
     """(template, matches, first word, end word) of each report; ``grams_at``: places of the hits."""
     lines: dict[int, list[tuple[int, int]]] = {}
@@ -118,9 +132,7 @@ def scan_words(doc: np.ndarray, grams_at: np.ndarray, grams: np.ndarray, index:
         found, low, high = set(), hits[0][1], hits[0][1]
         for _, diagonal in [*hits[1:], (0, hits[-1][1] + 2 * BAND + len(template) + 1)]:
             if diagonal - high > BAND or diagonal - low > 2 * BAND:
-                matches, begin, end = align(doc, template, low, high)
-                if 100 * matches >= percent * len(template):
-                    found.add((-matches, begin, end))
+                found.update((-matches, begin, end) for matches, begin, end in align_all(doc, template, low, high, percent))
                 low = diagonal
             high = diagonal
         taken: list[tuple[int, int]] = []

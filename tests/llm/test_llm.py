@@ -396,7 +396,7 @@ def test_alignment_matches_brute_force():
 
 def test_licenses(spark, odd, none):
     grant = license_scan.TEMPLATES["mit-grant"]
-    texts = ["Vorwärts! " + grant.upper().replace("copy", "cpy") + " end", "x\nReleased  under the MIT-License!\ny", "nothing here", "Licensed under"]
+    texts = ["Vorwärts! " + grant.upper().replace("COPY", "CPY") + " end", "x\nReleased  under the MIT-License!\ny", "nothing here", "Licensed under"]
     got = rows(license_scan.scan(frame(spark, texts)))
     assert [(r["doc_id"], r["template"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(0, "mit-grant"), (1, "mit-name")]
     assert all(texts[r["doc_id"]][r["first_char"] : r["end_char"]].split()[0] in ("PERMISSION", "Released") for r in got)
