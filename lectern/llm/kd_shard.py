@@ -79,5 +79,6 @@ def shard_documents(docs: DataFrame, shards: int, text: str = "text", key: str =
     named = {c.lower() for c in docs.columns}
     code = lambda c: F.pmod(F.xxhash64(c), F.lit(1000)) if c in named else F.lit(0)
     points = cut(docs.select(F.col(key), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.log2(F.octet_length(body) + 8).alias("d_bytes"), code("source").alias("d_source"), code("lang").alias("d_lang")))
-    rows = rank_in_groups(assign(points, ["d_bytes", "d_source", "d_lang"], "size", [key], shards), "shard", [key, "text_crc32", "size"], "slot")
+    parts = max(64, points.count() // (shards * 200_000))
+    rows = rank_in_groups(assign(points, ["d_bytes", "d_source", "d_lang"], "size", [key], shards), "shard", [key, "text_crc32", "size"], "slot", parts)
     return rows.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
