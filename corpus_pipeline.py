@@ -7,9 +7,10 @@ deduplication keep one document of each group, and best-fit packing places what
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, langid, minhash, packing, quality
-from lectern.llm.common import filter_rows, fresh_dir
+from lectern.llm.common import filter_rows, free_name, fresh_dir
 
 #: Language ID rejects ``und`` and scores below this; chance is 1 / languages.
 LEAST_SCORE = 0.4
@@ -17,11 +18,13 @@ LEAST_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out()))
-    return filter_rows(docs, ["text"], lambda d: langid.predict(d, model).filter(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}"))
+    name, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = langid.predict(docs, model, names=(name, score))
+    return found.filter((F.col(name) != "und") & (F.col(score) >= LEAST_SCORE)).drop(name, score)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return filter_rows(docs, ["text"], lambda d: quality.annotate(d).filter("kept"))
+    return quality.keep(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

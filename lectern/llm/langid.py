@@ -226,10 +226,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return build(pieces, languages, counts)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score (columns of these names are replaced); no shuffle."""
-    df = df.drop("lang_pred", "score")
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with the language and its score under ``names`` (columns so called are replaced); no shuffle."""
+    df = df.drop(*names)
+    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
@@ -238,8 +238,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 b = whole.slice(a, 500)
-                names, scores = scorer.batch(b.column(at).to_pylist())
-                yield pa.record_batch([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+                found, scores = scorer.batch(b.column(at).to_pylist())
+                yield pa.record_batch([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
 
     return df.mapInArrow(score, schema)
 

@@ -84,19 +84,10 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, found).otherwise(F.lit(0).cast("long"))
 
 
-def annotate(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and failed_rules.
-
-    A column of ``df`` with one of these names is replaced.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    w = free_name(df, "words")
-    q = free_name(df, "facts")
-    staged = df.withColumn(w, F.array_remove(F.split(body, SPACES), ""))
-    words = F.col(w)
+def _facts(words: Column, body: Column) -> Column:
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(NOT_SPACE))
     stop = F.filter(words, lambda x: F.lower(x).isin(*STOP_WORDS))
-    facts = F.struct(
+    return F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -105,17 +96,49 @@ def annotate(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(stop).cast("long").alias("n_stop_words"),
         _repeated(words).alias("n_repeat_words"),
     )
-    staged = staged.withColumn(q, facts)
-    f = F.col(q)
-    flat = F.struct(*[f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_upper", "n_stop_words", "n_repeat_words")], f["lines"]["all"].alias("n_lines"), f["lines"]["dup"].alias("n_dup_lines"))
-    staged = staged.withColumn(q, flat)
+
+
+def _flat(f: Column) -> Column:
+    return F.struct(*[f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_upper", "n_stop_words", "n_repeat_words")], f["lines"]["all"].alias("n_lines"), f["lines"]["dup"].alias("n_dup_lines"))
+
+
+def _verdict(f: Column) -> tuple[Column, Column]:
+    """(base rule failed, names of the method's rules that are broken)."""
     failed = (f["n_words"] < 20) | (100 * f["n_repeat_words"] > 30 * f["n_words"])
-    broken = F.array_compact(F.array(*[F.when(~r.column(f), F.lit(r.name)) for r in RULES]))
+    return failed, F.array_compact(F.array(*[F.when(~r.column(f), F.lit(r.name)) for r in RULES]))
+
+
+def annotate(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and failed_rules.
+
+    A column of ``df`` with one of these names is replaced.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    w, q = free_name(df, "words"), free_name(df, "facts")
+    staged = df.withColumn(w, F.array_remove(F.split(body, SPACES), ""))
+    staged = staged.withColumn(q, _facts(F.col(w), body))
+    staged = staged.withColumn(q, _flat(F.col(q)))
+    f = F.col(q)
+    failed, broken = _verdict(f)
     out = {c: f[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     out |= {"base_failed": failed, "kept": ~failed & (F.size(broken) == 0), "failed_rules": broken}
     return staged.withColumns(out).drop(w, q)
 
 
+def keep(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``annotate`` would mark as kept, with all their columns.
+
+    The counts come out of a generator, through which a filter can't be pushed, so they are made once a row.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    w, q = free_name(df, "words"), free_name(df, "facts")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    staged = df.withColumn(w, F.array_remove(F.split(body, SPACES), ""))
+    made = staged.select(*own, F.explode(F.array(_facts(F.col(w), body))).alias(q))
+    failed, broken = _verdict(_flat(F.col(q)))
+    return made.filter(~failed & (F.size(broken) == 0)).select(*own)
+
+
 def oracle(table: str = "documents") -> str:
     """The same in DuckDB's SQL; doc_id must be unique there."""
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)

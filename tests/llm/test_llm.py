@@ -86,6 +86,8 @@ def test_quality(spark, odd, none):
         for r in rows(quality.annotate(df)):
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(r["text"])
             assert r["kept"] == (not r["base_failed"] and not r["failed_rules"])
+        kept = quality.annotate(df).filter("kept").select("doc_id").collect()
+        assert sorted(map(str, kept)) == sorted(map(str, quality.keep(df).select("doc_id").collect())) and quality.keep(df).columns == df.columns
     assert quality.annotate(none).count() == 0
     good = "the cat of the house and a dog in the garden was on the road to the town with that old man from by"
     assert rows(quality.annotate(frame(spark, [good, good.upper(), good.replace(" ", "## ")])))[0]["kept"]
