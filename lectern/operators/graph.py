@@ -25,6 +25,8 @@ PLURAL_HEAD = f"^[a-zäöüß][a-zäöüß-]*( [a-zäöüß][a-zäöüß-]*){{0,
 
 #: Requests of one entity search; they are broadcast.
 MOST_REQUESTS = 1000
+#: Parts of each entity's mentions in ``expand``.
+SALTS = 16
 
 
 def typing_rule(form: Column, kind: Column) -> Column:
@@ -206,11 +208,13 @@ def browse(model: DataFrame, roots_: DataFrame, min_mentions: int = 2, limit: in
 def expand(seeds: DataFrame, mentions: DataFrame, stable: DataFrame, limit: int = 10) -> DataFrame:
     """Chunks that share stable entities with a query's seed chunks: (query_id, id, rank, links); seeds themselves are out.
 
-    ``seeds``: query_id, chunk_id; ``stable``: entity_id.
+    ``seeds``: query_id, chunk_id; ``stable``: entity_id. Each entity's mentions are dealt over SALTS parts, so a frequent one
+    isn't one task's work.
     """
-    held = mentions.join(stable, "entity_id", "left_semi").select("entity_id", "chunk_id").distinct()
-    known = seeds.join(held, "chunk_id").select("query_id", "entity_id").distinct()
-    reached = known.join(held, "entity_id").join(seeds, ["query_id", "chunk_id"], "left_anti")
+    held = mentions.select("entity_id", "chunk_id").distinct().withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+    known = seeds.join(held, "chunk_id").select("query_id", "entity_id").distinct().join(stable.distinct(), "entity_id", "left_semi")
+    dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    reached = dealt.join(held, ["entity_id", "salt"]).join(seeds, ["query_id", "chunk_id"], "left_anti")
     links = reached.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.count("*").alias("links"))  # pairs are distinct
     order = W.partitionBy("query_id").orderBy(F.desc("links"), "id")
     return links.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

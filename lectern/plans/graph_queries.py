@@ -210,6 +210,21 @@ def graph_expand(spark, sf_dir):
     return graph.expand(seeds, m, stable)
 
 
+@query(f"""WITH {BASE}, fm AS (SELECT form AS f, chunk_id FROM tok), st AS (SELECT f FROM fm GROUP BY f HAVING count(DISTINCT chunk_id) >= 2),
+held AS (SELECT DISTINCT f, chunk_id FROM fm WHERE f IN (SELECT f FROM st)),
+seed AS (SELECT doc_id AS query_id, min(chunk_id) AS chunk_id FROM tok WHERE doc_id % 100 = 0 GROUP BY doc_id),
+kn AS (SELECT DISTINCT query_id, f FROM seed JOIN held USING (chunk_id)),
+lk AS (SELECT query_id, h.chunk_id AS id, count(*) AS links FROM kn JOIN held h USING (f) WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.query_id = kn.query_id AND s.chunk_id = h.chunk_id) GROUP BY ALL)
+SELECT query_id, id, links, row_number() OVER (PARTITION BY query_id ORDER BY links DESC, id)::INT AS rank FROM lk QUALIFY rank <= 10""")
+def graph_expand_all(spark, sf_dir):
+    """``graph_expand`` over every stable entity, frequent ones too."""
+    named = extract.entity_mentions(lines(spark, sf_dir))
+    m = named.select(F.col("form").alias("entity_id"), "chunk_id").distinct()
+    stable = m.groupBy("entity_id").agg(F.count("*").alias("n")).filter("n >= 2").select("entity_id")
+    seeds = named.filter("doc_id % 100 = 0").groupBy(F.col("doc_id").alias("query_id")).agg(F.min("chunk_id").alias("chunk_id"))
+    return graph.expand(seeds, m, stable)
+
+
 @query(f"""WITH {BASE}, gated AS (SELECT chunk_id FROM lines WHERE chunk_index = 0), kept AS (SELECT * FROM men WHERE chunk_id NOT IN (SELECT chunk_id FROM gated)),
 gone AS (SELECT DISTINCT entity_id FROM men WHERE entity_id NOT IN (SELECT entity_id FROM kept)),
 re AS (SELECT source, target, list_filter(evidence, lambda x: x NOT LIKE '%:0') AS evidence FROM rel)

@@ -10,6 +10,7 @@ from lectern.engine import Engine
 from lectern.functions import frontmatter as fm
 from lectern.functions import text as t
 from lectern.operators import anchors, chunk, extract, graph, jobs, locate, persist, repair, seams, search, sync, trust
+from lectern.plans import graph_queries
 from lectern.sources import files, library
 from lectern.streaming import outbox
 
@@ -284,3 +285,10 @@ def test_seams(spark):
     modes = spark.createDataFrame([("c", "included"), ("e", "excluded")], "collection_key string, mode string")
     members = spark.createDataFrame([("c", "2"), ("c", "1"), ("c", "1")], "collection_key string, document_id string")
     assert [(r.document_ids, r.documents) for r in sync.resolved_view(members, modes).orderBy("collection_key").collect()] == [(["1", "2"], 2), ([], 0)]
+
+
+def test_expansion_follows_frequent_entities(spark, tmp_path):
+    docs = [(100, "Alpha rare"), (7, "\n".join(["Alpha"] * 60)), (8, "Other")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = graph_queries.graph_expand_all(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r.query_id, r.id, r.links) for r in got] == [(100, i, 1) for i in sorted(f"7:{i}" for i in range(60))[:10]]
