@@ -10,7 +10,7 @@ from lectern.operators import graph, locate, search
 
 
 class Engine:
-    """Tables by name: chunks (chunk_id, document_id, attachment_id, chunk_index, text, snapshot_id, active), entities, mentions, relations."""
+    """Tables by name: chunks (chunk_id, document_id, attachment_id, chunk_index, text, snapshot_id, active), entities, mentions, relations, and vectors (chunk_id, vector) for dense search."""
 
     def __init__(self, tables: dict[str, DataFrame]):
         self.tables = tables
@@ -18,13 +18,24 @@ class Engine:
     def _active_chunks(self) -> DataFrame:
         return self.tables["chunks"].filter("active")
 
-    def search(self, queries: DataFrame, top_n: int = 10, document_ids: list | None = None, cap: int = 2) -> DataFrame:
-        """``queries``: query_id, text. Scope filters apply before scoring."""
-        chunks = self._active_chunks()
+    def search(self, queries: DataFrame, top_n: int = 10, document_ids: list | None = None, cap: int = 2, query_vectors: DataFrame | None = None, graph_arm: bool = False, rerank_scores: search.Arm | None = None) -> DataFrame:
+        """``queries``: query_id, text. Scope filters apply before scoring.
+
+        The dense arm runs if ``query_vectors`` (query_id, vector) are given, against the table vectors (chunk_id, vector); the
+        graph arm on request.
+        """
+        chunks = active = self._active_chunks()
         if document_ids is not None:
             chunks = chunks.filter(F.col("document_id").isin(*document_ids))
         docs = chunks.select(F.col("chunk_id").alias("id"), F.col("document_id").alias("owner"), "text")
-        return search.hybrid(queries, docs, top_n, cap)
+        rows = None if query_vectors is None else self.tables["vectors"].select(F.col("chunk_id").alias("id"), "vector")
+
+        def linked(seeds: DataFrame) -> DataFrame:
+            mentions = self.tables["mentions"].join(active.select("chunk_id"), "chunk_id", "left_semi")
+            stable = mentions.groupBy("entity_id").agg(F.countDistinct("chunk_id").alias("n")).filter("n >= 2").select("entity_id")
+            return graph.expand(seeds, mentions.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), stable, search.fetch_count(top_n))
+
+        return search.hybrid(queries, docs, top_n, cap, query_vectors, rows, linked if graph_arm else None, rerank_scores)
 
     def passage(self, ids: DataFrame) -> DataFrame:
         """``ids``: chunk_id. The chunks with the texts before and after, and their state."""
@@ -64,8 +75,8 @@ class Engine:
         each = triples.select("source", "target", "type", F.explode("evidence").alias("chunk_id"))
         return each.join(self._active_chunks().select("chunk_id", "document_id", "chunk_index", "text"), "chunk_id")
 
-    def propose_gold(self, queries: DataFrame, scope: DataFrame, top_n: int = 10) -> DataFrame:
+    def propose_gold(self, queries: DataFrame, scope: DataFrame, top_n: int = 10, **arms) -> DataFrame:
         """Search hits whose document is in a query's ``scope`` (query_id, document_id), as proposals to confirm."""
-        hits = self.search(queries, top_n)
+        hits = self.search(queries, top_n, **arms)
         owned = hits.join(self._active_chunks().select(F.col("chunk_id").alias("id"), "document_id"), "id")
         return owned.join(scope, ["query_id", "document_id"], "left_semi").withColumn("confirmed", F.lit(False))

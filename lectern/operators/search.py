@@ -5,7 +5,7 @@ Hits are rows (query_id, id, rank, score); rank starts at 1 and every order ends
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from lectern.functions.text import jaccard, token_set, words
 K1, B = 1.2, 0.75
 RRF = 60
 OVERFETCH, MOST = 3, 64
+Arm = Callable[[DataFrame], DataFrame]
 
 
 def terms(c: Column) -> Column:
@@ -177,7 +178,7 @@ def cap_with_refill(hits: DataFrame, owner: DataFrame, cap: int) -> DataFrame:
 def fold_near_duplicates(hits: DataFrame, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Greedy in rank order: a hit folds into the first kept hit of its owner that is equal or more similar than the threshold.
 
-    ``docs``: id, owner, text. A query has at most MOST hits, so one query is one bounded group. Adds ``folded``.
+    ``docs``: id, owner, text. A query has at most MOST hits an arm, so one query is one bounded group. Adds ``folded``.
     """
     full = hits.join(docs.select("id", "owner", token_set(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("digest")), "id")
     id_type, query_type = dict(hits.dtypes)["id"], dict(hits.dtypes)["query_id"]
@@ -198,12 +199,30 @@ def fold_near_duplicates(hits: DataFrame, docs: DataFrame, threshold: float = 0.
     return full.groupBy("query_id").applyInPandas(fold, f"query_id {query_type}, id {id_type}, rank int, score double, folded int")
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, top_n: int = 10, cap: int = 2) -> DataFrame:
-    """BM25 and sparse arms, fused; front matter out; at most ``cap`` hits an owner first; ``top_n`` hits a query.
+def hybrid(
+    queries: DataFrame, docs: DataFrame, top_n: int = 10, cap: int = 2, query_vectors: DataFrame | None = None, row_vectors: DataFrame | None = None,
+    graph_arm: Arm | None = None, rerank_scores: Arm | None = None, fold: bool = True,
+) -> DataFrame:
+    """Dense, BM25, sparse and graph arms, fused; front matter out; reranked; near copies folded; at most ``cap`` hits an owner first; ``top_n`` hits a query.
 
-    ``queries``: query_id, text; ``docs``: id, owner, text.
+    ``queries``: query_id, text; ``docs``: id, owner, text. The dense arm needs ``query_vectors`` (query_id, vector) and
+    ``row_vectors`` (id, vector). ``graph_arm`` makes hits from the fused top (query_id, chunk_id), ``rerank_scores`` makes
+    (query_id, id, rerank) from the hits. ``fold`` is off only where a query's SQL has no fold.
     """
     n = fetch_count(top_n)
-    fused = rrf([bm25(queries, docs, n), sparse_by_counts(queries, docs, n)])
-    clean = drop_front_matter(fused, docs)
-    return cap_with_refill(clean, docs.select("id", "owner"), cap).filter(F.col("rank") <= top_n)
+    if (query_vectors is None) != (row_vectors is None):
+        raise ValueError("the dense arm needs vectors of queries and of rows")
+    arms = [bm25(queries, docs, n), sparse_by_counts(queries, docs, n)]
+    if query_vectors is not None:
+        arms.insert(0, knn(query_vectors, row_vectors.join(docs.select("id"), "id", "left_semi"), n))
+    fused = rrf(arms)
+    if graph_arm is not None:
+        seeds = fused.filter(F.col("rank") <= (top_n if top_n > 0 else 10)).select("query_id", F.col("id").alias("chunk_id"))
+        found = graph_arm(seeds).join(docs.select("id"), "id", "left_semi").filter(F.col("rank") <= n)
+        fused = rrf([*arms, found.select("query_id", "id", "rank", F.col("links").cast("double").alias("score"))])
+    hits = drop_front_matter(fused, docs)
+    if rerank_scores is not None:
+        hits = rerank(hits, rerank_scores(hits))
+    if fold:
+        hits = fold_near_duplicates(hits, docs).drop("folded")
+    return cap_with_refill(hits, docs.select("id", "owner"), cap).filter(F.col("rank") <= top_n)

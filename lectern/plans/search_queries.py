@@ -68,7 +68,13 @@ def diversify(spark, sf_dir):
 
 @query(f"WITH {ARMS} SELECT query_id, id, rank, round(score, 9) AS score FROM spread WHERE rank <= {TOP}")
 def hybrid_search(spark, sf_dir):
-    """No document of the test tables is front matter, so the filter between fusion and cap leaves all."""
+    """No document of the test tables is front matter, so the filter between fusion and cap leaves all. Its SQL folds no near copies."""
+    return search.hybrid(_queries(spark, sf_dir), _docs(spark, sf_dir), TOP, fold=False).withColumn("score", F.round("score", 9))
+
+
+@query()
+def hybrid_search_folded(spark, sf_dir):
+    """``hybrid_search`` with near copies of one owner folded before the cap."""
     return search.hybrid(_queries(spark, sf_dir), _docs(spark, sf_dir), TOP).withColumn("score", F.round("score", 9))
 
 

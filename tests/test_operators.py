@@ -292,3 +292,23 @@ def test_expansion_follows_frequent_entities(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = graph_queries.graph_expand_all(spark, str(tmp_path)).orderBy("rank").collect()
     assert [(r.query_id, r.id, r.links) for r in got] == [(100, i, 1) for i in sorted(f"7:{i}" for i in range(60))[:10]]
+
+
+def test_hybrid_uses_every_arm_and_folds(spark):
+    copy = "apple one two three four five six seven eight"
+    docs = spark.createDataFrame([("a1", "A", copy), ("a2", "A", copy), ("a3", "A", "apple pear nine"), ("b", "B", "dense only"), ("c", "C", "linked only")], "id string, owner string, text string")
+    q = spark.createDataFrame([(1, "apple one")], "query_id int, text string")
+    found = lambda **arms: [r.id for r in search.hybrid(q, docs, **arms).orderBy("rank").collect()]
+    assert found() == ["a1", "a3"] and found(fold=False) == ["a1", "a2", "a3"]
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
+    vectors = spark.createDataFrame([("b", [1.0, 0.0]), ("gone", [1.0, 0.0])], "id string, vector array<double>")
+    assert set(found(query_vectors=asked, row_vectors=vectors)) == {"a1", "a3", "b"}
+    mentions = spark.createDataFrame([("e", "a1"), ("e", "c")], "entity_id string, chunk_id string")
+    linked = lambda seeds: graph.expand(seeds, mentions, mentions.select("entity_id").distinct())
+    assert set(found(graph_arm=linked)) == {"a1", "a3", "c"}
+    assert found(rerank_scores=lambda hits: hits.select("query_id", "id", F.when(F.col("id") == "a3", 1.0).otherwise(0.5).alias("rerank")))[0] == "a3"
+    chunks = docs.select(F.col("id").alias("chunk_id"), F.col("owner").alias("document_id"), "text", F.lit(True).alias("active"))
+    engine = Engine({"chunks": chunks, "mentions": mentions, "vectors": vectors.withColumnRenamed("id", "chunk_id")})
+    assert {r.id for r in engine.search(q, query_vectors=asked, graph_arm=True).collect()} == {"a1", "a3", "b", "c"}
+    with pytest.raises(ValueError, match="vectors"):
+        search.hybrid(q, docs, query_vectors=asked)
