@@ -3,9 +3,13 @@
 Texts and templates are sequences of words: runs of ASCII letters and digits and of non-ASCII characters, A-Z folded. Every
 template's k-word hashes are winnowed (the least of each window) into an inverted index from hash to (template, place); the
 index is as large as the templates, so each task has it whole. Every k-word hash of every document is looked up, which finds
-any shared run of K + WINDOW - 1 words. Hits of one template on nearby diagonals make a candidate, which is aligned in a band
-around them (match 1, mismatch and gap -1). A candidate is reported if the words matched are at least ``percent`` of the
-template's.
+any shared run of K + WINDOW - 1 words. Of templates below LONG words every hash is indexed, of pairs of words where ``percent``
+of the words may hold no whole run of K. Hits of one template on nearby diagonals make a candidate, which is aligned in a band
+around them (match 1, mismatch and gap -1) unless too few of its words occur in the band at all. A candidate is reported if
+the words matched are at least ``percent`` of the template's.
+
+Names of licenses differ by a word or two, and so do their headers and texts. Of reports of one of these kinds that lie mostly
+in each other the one with more matches stays, then the one that covers more of its template.
 
 Null and empty texts give no rows, like texts without a match; ties between alignments go to the leftmost; of overlapping
 reports of one template the one with more matches stays, then the leftmost. Repeated rows are reported as often as they occur.
@@ -14,6 +18,8 @@ reports of one template the one with more matches stays, then the leftmost. Repe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +31,11 @@ from lectern.llm import wordhash
 
 K, WINDOW, BAND = 3, 3, 8
 PERCENT = 70
+LONG = 100
 
-#: Public license notices.
+#: Kinds of templates, by the end of their names, of which only one is right for a place.
+KINDS = ("name", "header", "conditions", "text")
+#: Public license notices; whole texts, headers and parts are in the folder ``licenses``.
 TEMPLATES = {
     "mit-name": "Released under the MIT License.",
     "apache-2.0-name": "Licensed under the Apache License, Version 2.0.",
@@ -36,7 +45,28 @@ TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
+    "isc-name": "Released under the ISC License.",
+    "bsd-name": "Released under the BSD License.",
+    "bsd-2-clause-name": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause-name": "Licensed under the BSD 3-Clause License.",
+    "mpl-2.0-name": "Licensed under the Mozilla Public License, Version 2.0.",
+    "gpl-2.0-name": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-name": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-name": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-name": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "cc0-1.0-name": "Released under the CC0 1.0 Universal Public Domain Dedication.",
+    "cc-by-4.0-name": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-name": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-name": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-name": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-name": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-4.0-header": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-header": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd-4.0-header": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-4.0-header": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-4.0-header": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4.0-header": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+} | {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
@@ -60,26 +90,50 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
 class Index:
     """The inverted index of the templates."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], percent: int = PERCENT):
         self.names = sorted(templates)
         self.words = [word_hashes(templates[n]) for n in self.names]
         short = [n for n, w in zip(self.names, self.words, strict=True) if len(w) < K]
         if short:
             raise ValueError(f"templates of fewer than {K} words: {short}")
-        entries = sorted((int(h), t, p) for t, w in enumerate(self.words) for grams in [wordhash.shingles(w, K)] for p in winnow(grams) for h in [grams[p]])
-        self.keys = np.array([e[0] for e in entries], np.uint64)
-        self.posts = [(t, p) for _, t, p in entries]
+        entries: dict[int, list[tuple[int, int, int]]] = {K: [], K - 1: []}
+        for t, w in enumerate(self.words):
+            k = seed_size(len(w), percent)
+            grams = wordhash.shingles(w, k)
+            entries[k] += [(int(grams[p]), t, p) for p in (range(len(grams)) if len(w) < LONG else winnow(grams))]
+        self.seeds = {k: (np.array([e[0] for e in sorted(es)], np.uint64), [e[1:] for e in sorted(es)]) for k, es in entries.items() if es}
+
+    def hits(self, k: int, grams: np.ndarray) -> np.ndarray:
+        """Places in ``grams``, of k words each, that the index has."""
+        keys = self.seeds[k][0]
+        at = np.searchsorted(keys, grams)
+        return np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == grams)
+
+    def postings(self, k: int, gram: np.uint64) -> list[tuple[int, int]]:
+        keys, posts = self.seeds[k]
+        return posts[np.searchsorted(keys, gram, "left") : np.searchsorted(keys, gram, "right")]
+
+
+def seed_size(n: int, percent: int) -> int:
+    """K, or one less for a template of ``n`` words whose wrong words can break up every run of K."""
+    wrong = n * (100 - percent) // 100
+    return K if n >= LONG or n - wrong > (K - 1) * (wrong + 1) else K - 1
 
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Places in ``grams`` that the index has."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64)
-        at = np.searchsorted(self.keys, grams)
-        return np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == grams)
 
-    def postings(self, gram: np.uint64) -> list[tuple[int, int]]:
-        a, b = np.searchsorted(self.keys, gram, "left"), np.searchsorted(self.keys, gram, "right")
-        return self.posts[a:b]
+@lru_cache(maxsize=4)
+def _index(templates: tuple[tuple[str, str], ...], percent: int) -> Index:
+    return Index(dict(templates), percent)
+
+
+def most_matches(doc: np.ndarray, template: np.ndarray, low: int, high: int, start: int, stop: int) -> int:
+    """No alignment in the band matches more: words of the template that the band has at all."""
+    first, n, width = low - BAND, len(template), high - low + 2 * BAND + 1
+    a, z = max(first, start), min(first + n + width - 1, stop)
+    part, there = np.zeros(n + width - 1, np.uint64), np.zeros(n + width - 1, bool)
+    if z > a:
+        part[a - first : z - first], there[a - first : z - first] = doc[a:z], True
+    windows = np.lib.stride_tricks.sliding_window_view
+    return int(((windows(part, width) == template[:, None]) & windows(there, width)).any(axis=1).sum())
 
 
 def align(doc: np.ndarray, template: np.ndarray, low: int, high: int, start: int = 0, stop: int | None = None) -> tuple[int, int, int]:
@@ -111,7 +165,7 @@ def align_all(doc: np.ndarray, template: np.ndarray, low: int, high: int, percen
     parts = [(max(0, low - BAND), min(len(doc), high + BAND + len(template)))]
     while parts:
         start, stop = parts.pop()
-        if 100 * (stop - start) < percent * len(template):
+        if 100 * (stop - start) < percent * len(template) or 100 * most_matches(doc, template, low, high, start, stop) < percent * len(template):
             continue
         matches, begin, end = align(doc, template, low, high, start, stop)
         if 100 * matches >= percent * len(template):
@@ -119,11 +173,11 @@ def align_all(doc: np.ndarray, template: np.ndarray, low: int, high: int, percen
             parts += [(start, begin), (end, stop)]
 
 
-def scan_words(doc: np.ndarray, grams_at: np.ndarray, grams: np.ndarray, index: Index, percent: int) -> list[tuple[int, int, int, int]]:
-    """(template, matches, first word, end word) of each report; ``grams_at``: places of the hits."""
+def scan_words(doc: np.ndarray, seeds: list[tuple[int, int, np.uint64]], index: Index, percent: int) -> list[tuple[int, int, int, int]]:
+    """(template, matches, first word, end word) of each report; ``seeds``: (words, place, hash) of the hits."""
     lines: dict[int, list[tuple[int, int]]] = {}
-    for p in grams_at.tolist():
-        for t, q in index.postings(grams[p]):
+    for k, p, gram in seeds:
+        for t, q in index.postings(k, gram):
             lines.setdefault(t, []).append((p, p - q))
     out = []
     for t, hits in sorted(lines.items()):
@@ -140,7 +194,20 @@ def scan_words(doc: np.ndarray, grams_at: np.ndarray, grams: np.ndarray, index:
             if all(end <= a or begin >= b for a, b in taken):
                 taken.append((begin, end))
                 out.append((t, -matches, begin, end))
-    return sorted(out, key=lambda x: (x[2], x[0]))
+    return sorted(best_of_kind(out, index), key=lambda x: (x[2], x[0]))
+
+
+def best_of_kind(found: list[tuple[int, int, int, int]], index: Index) -> list[tuple[int, int, int, int]]:
+    """Without reports that lie by more than half in a better one of their kind."""
+    out: list[tuple[int, int, int, int]] = []
+    kept: dict[str, list[tuple[int, int]]] = {}
+    for t, matches, begin, end in sorted(found, key=lambda x: (-x[1], len(index.words[x[0]]), x[0], x[2])):
+        kind = index.names[t].rpartition("-")[2]
+        spans = kept.setdefault(kind, [])
+        if kind not in KINDS or all(2 * (min(end, z) - max(begin, a)) <= end - begin for a, z in spans):
+            spans.append((begin, end))
+            out.append((t, matches, begin, end))
+    return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -153,7 +220,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = _index(tuple(sorted(templates.items())), percent)
         for b in batches:
             owner: list[int] = []
             found: list[tuple] = []
@@ -162,15 +229,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
                 hashes, start, end, first = wordhash.words_of(data, bounds)
                 if len(hashes) < K:
                     continue
-                grams = wordhash.shingles(hashes, K)
-                hits = index.hits(grams)
-                doc_of = np.searchsorted(first, hits, "right") - 1
-                inside = hits + K <= first[doc_of + 1]
-                hits, doc_of = hits[inside], doc_of[inside]
-                for i in np.unique(doc_of).tolist():
+                seeds: dict[int, list[tuple[int, int, np.uint64]]] = {}
+                for k in index.seeds:
+                    grams = wordhash.shingles(hashes, k)
+                    hits = index.hits(k, grams)
+                    doc_of = np.searchsorted(first, hits, "right") - 1
+                    inside = hits + k <= first[doc_of + 1]
+                    for p, i in zip(hits[inside].tolist(), doc_of[inside].tolist(), strict=True):
+                        seeds.setdefault(i, []).append((k, p - int(first[i]), grams[p]))
+                for i in sorted(seeds):
                     a, z = int(first[i]), int(first[i + 1])
-                    own = hits[doc_of == i] - a
-                    for t, matches, begin, stop in scan_words(hashes[a:z], own, grams[a:z], index, percent):
+                    for t, matches, begin, stop in scan_words(hashes[a:z], seeds[i], index, percent):
                         c0, c1 = int(start[a + begin]), int(end[a + stop - 1])
                         before = int(((raw[bounds[i] : c0] & 0xC0) != 0x80).sum())
                         span = int(((raw[c0:c1] & 0xC0) != 0x80).sum())

@@ -410,6 +410,19 @@ def test_licenses(spark, odd, none):
         license_scan.Index({"short": "two words"})
 
 
+def test_license_texts_and_short_variants(spark):
+    whole = ["gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "mpl-2.0", "apache-2.0", "mit", "isc", "bsd-2-clause", "bsd-3-clause", "cc-by-sa-4.0", "cc0-1.0"]
+    texts = [f"Before.\n{license_scan.TEMPLATES[n + '-text']}\nAfter" for n in whole]
+    texts += ["Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC 4.0.", "Released under the FOO License.", "Released under an MIT License.", license_scan.TEMPLATES["mit-warranty"]]
+    got = {}
+    for r in rows(license_scan.scan(frame(spark, texts))):
+        got.setdefault(r["doc_id"], {})[r["template"]] = r["coverage"]
+    for i, n in enumerate(whole):
+        assert [(t, c) for t, c in got[i].items() if t.endswith("-text")] == [(n + "-text", 1.0)], n
+    i = len(whole)
+    assert [set(got[j]) for j in (i, i + 1, i + 3, i + 4)] == [{"cc-by-sa-4.0-name"}, {"cc-by-nc-4.0-name"}, {"mit-name"}, {"mit-warranty"}]
+
+
 # pipeline
 
 def test_pipeline(spark, data, odd, none, library):
