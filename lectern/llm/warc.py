@@ -6,11 +6,14 @@ Smaller payloads are all responses. Null payloads are empty. Rows without an id
 
 Reader: each member must decompress with a good check sum, begin with a version line, and agree with its Content-Length,
 block digest and payload digest. After a failed check it searches for the next gzip member or version line from which a whole
-record can be read, goes on there, and returns the bytes in between as a quarantined gap with the reason.
+record can be read, goes on there, and returns the bytes in between as a quarantined gap with the reason. Inside a member it
+does the same over the decompressed bytes, those before a cut or a gzip error too; such a gap names them and has the member's
+place. From a member with a gzip error come only records with a good block digest that aren't all of it, as no digest covers
+headers.
 
 Files are written under a name of their own for each task attempt, and only the names that successful tasks returned are
 read, so a lost executor leaves at most files that nobody reads. A file ends after about ``FILE_BYTES``; readers hold one
-record and one window of it at a time.
+member or record and one window of it at a time.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ from lectern.llm.common import cut, fresh_dir, with_group_facts
 REVISIT_FROM = 100
 FILE_BYTES = 64 << 20
 WINDOW = 1 << 20
-LONGEST_HEAD = 1 << 16
+HEAD = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 _MEMBER = re.compile(rb"\x1f\x8b\x08")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 
 
 def record_uri(page_id: int | None) -> str:
@@ -118,13 +122,13 @@ class Damaged(Exception):
     pass
 
 
-def _check(data: bytes, offset: int, end: int) -> tuple[Record, int]:
-    """The record at the start of ``data``, and its length there."""
-    split = re.search(rb"\r?\n\r?\n", data[:LONGEST_HEAD])
-    if not _LINE.match(data) or not split:
+def _check(data: bytes, offset: int, end: int, at: int = 0) -> tuple[Record, int]:
+    """The record at ``at`` in ``data``, and where it ends there."""
+    split = _HEAD_END.search(data, at)
+    if not _LINE.match(data, at) or not split:
         raise Damaged("no version line or header end")
     headers = {}
-    for line in data[: split.start()].split(b"\n")[1:]:
+    for line in data[at : split.start()].split(b"\n")[1:]:
         name, colon, value = line.decode("utf-8", "replace").partition(":")
         if colon:
             headers[name.strip().lower()] = value.strip()
@@ -152,28 +156,64 @@ def _check(data: bytes, offset: int, end: int) -> tuple[Record, int]:
     return Record(offset, end, headers.get("warc-type", ""), headers, payload, http), stop
 
 
-def _member(src: Source, offset: int) -> tuple[bytes, int]:
-    """The bytes of the gzip member at ``offset`` and where it ends."""
+def _member(src: Source, offset: int) -> tuple[bytes, int, str, bool]:
+    """What the gzip member at ``offset`` holds, where it ends, why it ends too early ('' if it doesn't), and whether by a gzip error."""
     z, out, at = zlib.decompressobj(31), [], offset
     while not z.eof:
         part = src.read(at, min(1 << 16, src.size - at))
         if not part:
-            raise Damaged("cut off")
+            return b"".join(out), at, "cut off", False
+        before = z.copy()
         try:
             out.append(z.decompress(part))
-        except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from None
+        except zlib.error:
+            for k in range(len(part)):  # again by bytes, for what comes before the error
+                try:
+                    out.append(before.decompress(part[k : k + 1]))
+                except zlib.error as e:
+                    return b"".join(out), at + k, f"gzip: {e}", True
         at += len(part)
-    return b"".join(out), at - len(z.unused_data)
+    return b"".join(out), at - len(z.unused_data), "", False
+
+
+def _inside(data: bytes, offset: int, end: int, doubtful: bool) -> list[Record | Gap]:
+    """Whole records of a member's bytes in order, and a gap for each run between them; of ``doubtful`` bytes only those with digests."""
+    out: list[Record | Gap] = []
+    at, bad, why = 0, None, ""
+    while at < len(data):
+        try:
+            one, stop = _check(data, offset, end, at)
+            if doubtful and not one.headers.get("warc-block-digest", "").startswith("sha256:"):
+                raise Damaged("no block digest in a damaged member")
+            if doubtful and not at and stop == len(data):
+                raise Damaged("the only record of a damaged member")
+        except Damaged as e:
+            if bad is None:
+                bad, why = at, str(e)
+            m = _LINE.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if bad is not None:
+            out.append(Gap(offset, end, f"decompressed bytes {bad} to {at}: {why}"))
+            bad = None
+        out.append(one)
+        at = stop
+    if bad is not None:
+        out.append(Gap(offset, end, f"decompressed bytes {bad} to {at}: {why}"))
+    return out
 
 
 def _plain(src: Source, offset: int) -> tuple[bytes, int]:
-    head = src.read(offset, min(LONGEST_HEAD, src.size - offset))
-    if m := re.search(rb"(?im)^content-length:\s*(\d+)", head):
-        split = re.search(rb"\r?\n\r?\n", head)
-        if split:
-            n = split.end() + int(m[1]) + 4
-            return src.read(offset, min(n, src.size - offset)), offset
+    n = HEAD
+    while True:
+        head = src.read(offset, min(n, src.size - offset))
+        split = _HEAD_END.search(head)
+        if split or len(head) >= src.size - offset:
+            break
+        n *= 2
+    if split and (m := re.search(rb"(?im)^content-length:\s*(\d+)", head[: split.end()])):
+        n = split.end() + int(m[1]) + 4
+        return src.read(offset, min(n, src.size - offset)), offset
     return head, offset
 
 
@@ -182,22 +222,19 @@ def salvage(file, size: int) -> Iterator[Record | Gap]:
     src = Source(file, size)
     at, bad, why = 0, None, ""
     while at < size:
+        early = ""
         try:
             lead = src.read(at, min(16, size - at))
             if _MEMBER.match(lead):
-                data, end = _member(src, at)
-                records, used = [], 0
-                while used < len(data):
-                    one, n = _check(data[used:], at, end)
-                    records.append(one)
-                    used += n
-                if not records:
-                    raise Damaged("empty member")
+                data, end, early, doubtful = _member(src, at)
+                found = _inside(data, at, end, doubtful)
+                if not any(isinstance(x, Record) for x in found):
+                    raise Damaged(early or (found[0].reason if found else "empty member"))
             elif _LINE.match(lead):
                 data, start = _plain(src, at)
                 one, n = _check(data, at, 0)
                 end = one.end = start + n
-                records = [one]
+                found = [one]
             else:
                 raise Damaged("neither a member nor a version line")
         except Damaged as e:
@@ -208,8 +245,13 @@ def salvage(file, size: int) -> Iterator[Record | Gap]:
         if bad is not None:
             yield Gap(bad, at, why)
             bad = None
-        yield from records
-        at = end
+        yield from found
+        if early:  # the next member may begin before the error shows
+            at = min(src.find(_MEMBER, at + 1), src.find(_LINE, end))
+            if end < at:
+                bad, why = end, early
+        else:
+            at = end
     if bad is not None:
         yield Gap(bad, size, why)
 

@@ -275,6 +275,40 @@ def test_salvage():
     assert list(warc.salvage(io.BytesIO(b""), 0)) == []
 
 
+def test_salvage_inside_members():
+    random.seed(5)
+    bodies = [bytes(random.randrange(256) for _ in range(900)) for _ in range(12)]
+    parts = [warc.record_bytes(i, "http://x/", b, hashlib.sha256(b).hexdigest(), None) for i, b in enumerate(bodies)]
+
+    def found(data):
+        out = list(warc.salvage(io.BytesIO(data), len(data)))
+        return [bodies.index(x.payload) for x in out if isinstance(x, warc.Record)], [x for x in out if isinstance(x, warc.Gap)]
+
+    hurt = bytearray(b"".join(parts))
+    hurt[len(parts[0]) * 3 + 900] ^= 0xFF
+    kept, gaps = found(warc.gzip_member(bytes(hurt)) + warc.gzip_member(parts[3]))
+    assert kept == [0, 1, 2, *range(4, 12), 3] and len(gaps) == 1 and "block digest" in gaps[0].reason
+    kept, gaps = found(warc.gzip_member(b"".join([*parts[:5], b"junk between", *parts[5:]])))
+    assert kept == list(range(12)) and len(gaps) == 1
+    whole = warc.gzip_member(b"".join(parts))
+    kept, gaps = found(whole[: len(whole) // 2])
+    assert kept == list(range(len(kept))) and len(kept) in (5, 6) and gaps
+    torn = bytearray(whole)
+    torn[len(whole) // 2 : len(whole) // 2 + 200] = bytes([255]) * 200
+    kept, gaps = found(bytes(torn) + warc.gzip_member(parts[11]))
+    assert kept[:5] == [0, 1, 2, 3, 4] and kept[-1] == 11 and gaps
+    torn = bytearray(whole)
+    torn[-6] ^= 0xFF
+    assert found(bytes(torn))[0] == list(range(12))
+
+
+@pytest.mark.parametrize("pack", [warc.gzip_member, bytes])
+def test_salvage_reads_long_headers(pack):
+    data = pack(warc.record_bytes(1, "data:" + "x" * 200_000, b"body", hashlib.sha256(b"body").hexdigest(), None))
+    (one,) = warc.salvage(io.BytesIO(data), len(data))
+    assert one.payload == b"body" and len(one.headers["warc-target-uri"]) == 200_005
+
+
 def test_warc_round_trip(spark):
     big, small = "é" * 5000, "tiny"
     pages = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, None, big), (4, "a\r\nb", big), (5, "u", small), (6, "u", small), (None, "u", big), (4, "u", big)], "page_id long, url string, html string").withColumn("digest", F.lit("own"))
