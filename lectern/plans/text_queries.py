@@ -147,11 +147,26 @@ def frontmatter_class(spark, sf_dir):
 @query("""WITH c AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'toc' WHEN 1 THEN 'preface' WHEN 2 THEN 'toc' WHEN 3 THEN 'toc' WHEN 4 THEN 'bibliography' WHEN 5 THEN 'index' ELSE '' END AS class FROM documents)
 SELECT coalesce(class, 'total') AS class, count(*) AS documents, (count(*) FILTER (class <> '')) AS gated FROM c GROUP BY ROLLUP (class)""")
 def gate_counts(spark, sf_dir):
-    c = frontmatter_class(spark, sf_dir)
+    return _gated(frontmatter_class(spark, sf_dir))
+
+
+def _gated(c):
     counted = c.rollup("class").agg(F.count("*").alias("documents"), F.count_if(F.col("class") != "").alias("gated"))
     return counted.select(F.coalesce("class", F.lit("total")).alias("class"), "documents", "gated")
 
 
+@query()
+def frontmatter_class_texts(spark, sf_dir):
+    """``frontmatter_class`` of every document's own text."""
+    return table(spark, sf_dir, "documents").select("doc_id", fm.front_matter_class(F.col("text")).alias("class"), fm.is_front_matter(F.col("text")).alias("front_matter"))
+
+
+@query()
+def gate_counts_texts(spark, sf_dir):
+    """``gate_counts`` of every document's own text."""
+    return _gated(frontmatter_class_texts(spark, sf_dir))
+
+
 @query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_brand WHEN 1 THEN 'Kap. 2, S. ' || p_size || '-' || (p_size + 1) WHEN 2 THEN p_brand || ' · PDF-S. ' || (p_size + 1) WHEN 3 THEN 'S. ' || (p_size + 1) ELSE 'Kap. 2' END AS label FROM part""")
 def locator_labels(spark, sf_dir):
     n = F.col("p_size")

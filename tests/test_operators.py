@@ -10,7 +10,7 @@ from lectern.engine import Engine
 from lectern.functions import frontmatter as fm
 from lectern.functions import text as t
 from lectern.operators import anchors, chunk, extract, graph, jobs, locate, persist, repair, seams, search, sync, trust
-from lectern.plans import graph_queries
+from lectern.plans import graph_queries, text_queries
 from lectern.sources import files, library
 from lectern.streaming import outbox
 
@@ -312,3 +312,13 @@ def test_hybrid_uses_every_arm_and_folds(spark):
     assert {r.id for r in engine.search(q, query_vectors=asked, graph_arm=True).collect()} == {"a1", "a3", "b", "c"}
     with pytest.raises(ValueError, match="vectors"):
         search.hybrid(q, docs, query_vectors=asked)
+
+
+def test_front_matter_queries_read_the_texts(spark, tmp_path):
+    toc, cited = "\n".join(f"{i}.2 Markt ..... {20 + i}" for i in range(1, 6)), "\n".join(f"- Lee, A. ({1990 + i}): Title, In: Verlag X, S. {i + 3}" for i in range(6))
+    texts = [(0, "Plain prose."), (1, cited), (4, "# Vorwort-\nx"), (5, "Plain prose."), (6, toc), (13, "Kapital 41, Markt 51 Umsatz, 161\nErtrag 7, 9 Gewinn 11 Kosten 12")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r["class"], r.front_matter) for r in text_queries.frontmatter_class_texts(spark, str(tmp_path)).collect()}
+    assert got == {0: ("", False), 1: ("bibliography", True), 4: ("preface", True), 5: ("", False), 6: ("toc", True), 13: ("index", False)}
+    counts = {r["class"]: (r.documents, r.gated) for r in text_queries.gate_counts_texts(spark, str(tmp_path)).collect()}
+    assert counts == {"": (2, 0), "bibliography": (1, 1), "preface": (1, 1), "toc": (1, 1), "index": (1, 1), "total": (6, 4)}
