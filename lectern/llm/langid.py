@@ -3,7 +3,7 @@
 Each language has one probability a vocabulary piece. A text's likelihood is the sum over all segmentations of its words
 into pieces of the product of the pieces' probabilities (a forward algorithm); white space begins a new word, as in the
 vocabulary, so words are scored once each and their logarithms added. Distinct words of a batch are scored together with
-array operations, longest pieces included. Case is folded. A character that no piece covers costs the same in every language.
+array operations, longest pieces included; words of any length are summed whole, in windows that carry the last sums on. Case is folded. A character that no piece covers costs the same in every language.
 
 The model is fitted on a bounded sample (``sample_per_language`` expected rows a language, by a hash of the id); everything
 else sees all rows and whole texts. Only text is scored.
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words longer than this are cut for scoring into parts of this many characters, so that one row of the table is bounded.
-LONGEST_WORD = 64
+#: Words are scored together up to about so many characters, and a longer word in windows of so many; nothing is cut.
+GROUP_CHARS = 1 << 17
 SAMPLE_PER_LANGUAGE = 1500
 #: More labels than this are no languages; the model and the sampling rates stay small.
 MOST_LANGUAGES = 1000
@@ -103,13 +103,12 @@ class Scorer:
         bucket = model.keys >> self.shift
         self.first = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.deepest = int(np.diff(self.first).max(initial=0))
-        self.cache: dict[str, np.ndarray] = {}
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Row of the model's table, or -1."""
         bucket = (hashes >> self.shift).astype(np.int64)
         at, end = self.first[bucket], self.first[bucket + 1]
-        out = np.full(len(hashes), -1, np.int64)
+        out = np.full(len(hashes), -1, np.int32)
         for k in range(self.deepest):
             live = np.flatnonzero(at + k < end)
             if not len(live):
@@ -120,39 +119,65 @@ class Scorer:
         return out
 
     def words(self, words: list[str]) -> np.ndarray:
-        """log P(word | language), [word, language]: forward sums over all segmentations."""
+        """log P(word | language), [word, language]: forward sums over all segmentations of whole words, however long."""
         out = np.zeros((len(words), len(self.model.languages)))
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, rows in by_length.items():
-            step = max(1, (1 << 20) // ((n + 1) * 8))
-            for a in range(0, len(rows), step):
-                part = rows[a : a + step]
-                out[part] = self._equal_length([words[i] for i in part], n)
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        group, held = [], 0
+        for i in order:
+            if group and held + len(words[i]) > GROUP_CHARS:
+                out[group] = self._forward([words[k] for k in group])
+                group, held = [], 0
+            group.append(i)
+            held += len(words[i])
+        if group:
+            out[group] = self._forward([words[i] for i in group])
         return out
 
-    def _equal_length(self, words: list[str], n: int) -> np.ndarray:
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).T
-        m, langs = self.model, len(self.model.languages)
-        alpha = np.zeros((n + 1, len(words), langs))
+    def _pieces(self, parts: list[str], low: int) -> tuple[np.ndarray, ...]:
+        """(end, length, word, row) of each piece in ``parts``, by end; ends at or before ``low`` are left out."""
+        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        word = np.repeat(np.arange(len(parts)), sizes)
+        place = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = sizes[word] - place
+        live, rolled, found = np.arange(len(chars)), np.zeros(len(chars), np.uint64), []
+        for n in range(1, self.model.longest + 1):
+            stay = left[live] >= n
+            live, rolled = live[stay], rolled[stay]
+            if not len(live):
+                break
+            rolled = _roll(rolled, chars[live + n - 1])
+            rows = self._find(_finish(rolled))
+            hit = np.flatnonzero((rows >= 0) & (place[live] + n > low))
+            found.append((place[live[hit]] + n, np.full(len(hit), n), word[live[hit]], rows[hit]))
+        columns = [np.concatenate([f[k] for f in found]) for k in range(4)] if found else [np.zeros(0, np.int64)] * 4
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(c[order] for c in columns)
+
+    def _forward(self, words: list[str]) -> np.ndarray:
+        """``words`` from long to short. Only as many rows of the sums are kept as a piece is long; characters come in windows."""
+        m, ring = self.model, self.model.longest + 1
+        sizes = np.array([len(w) for w in words])
+        alpha = np.zeros((ring, len(words), len(m.languages)))
         alpha[0] = 1.0
-        scale = np.zeros(len(words))
-        rolled = np.zeros((n, len(words)), np.uint64)  # rolled[s]: of the piece that began at s
-        for t in range(n):
-            low = max(0, t + 1 - m.longest)
-            rolled[low : t + 1] = _roll(rolled[low : t + 1], chars[t])
-            alpha[t + 1] += alpha[t] * m.unknown
-            found = self._find(_finish(rolled[low : t + 1]).ravel()).reshape(t + 1 - low, -1)
-            for s in range(low, t + 1):
-                hit = np.flatnonzero(found[s - low] >= 0)
-                if len(hit):
-                    alpha[t + 1, hit] += alpha[s, hit] * m.table[found[s - low, hit]]
-            if t % 16 == 15:  # keep the numbers in range; pieces reach back at most ``longest``
-                top = alpha[t + 1].max(axis=1)
-                alpha[max(0, t + 1 - m.longest) : t + 2] /= top[:, None]
-                scale += np.log(top)
-        return np.log(np.maximum(alpha[n], 1e-300)) + scale[:, None]
+        scale, out, active = np.zeros(alpha.shape[1:]), np.zeros(alpha.shape[1:]), len(words)
+        for low in range(0, int(sizes[0]), GROUP_CHARS):
+            high = min(int(sizes[0]), low + GROUP_CHARS)
+            back = max(0, low - m.longest + 1)
+            ends, lengths, word, rows = self._pieces([w[back:high] for w in words[:active]], low - back)
+            bounds = np.searchsorted(ends, np.arange(low - back + 1, high - back + 2))
+            for t in range(low + 1, high + 1):
+                a, z = bounds[t - low - 1], bounds[t - low]
+                new = alpha[(t - 1) % ring, :active] * m.unknown
+                np.add.at(new, word[a:z], alpha[(t - lengths[a:z]) % ring, word[a:z]] * m.table[rows[a:z]])
+                alpha[t % ring, :active] = new
+                if t % 16 == 0:  # keep the numbers in range
+                    scale[:active] += np.log(new)
+                    alpha[:, :active] /= new
+                while active and sizes[active - 1] == t:
+                    active -= 1
+                    out[active] = np.log(alpha[t % ring, active]) + scale[active]
+        return out
 
     def batch(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text.
@@ -165,8 +190,6 @@ class Scorer:
         spans, bounds = [], [0]
         for text in texts:
             words = text.lower().split() if text else []
-            if any(len(w) > LONGEST_WORD for w in words):
-                words = [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
             spans.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
             bounds.append(bounds[-1] + len(words))
         total = np.zeros((len(texts), len(m.languages)))

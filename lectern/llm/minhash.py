@@ -8,11 +8,17 @@
 3. Within each cluster the full sets confirm links: 100 * intersection >= percent * union.
 4. Components of the confirmed links are the groups; the smallest id names them.
 
-Bands are as many and as narrow as makes the chance that a pair at the threshold shares none at most ``MISS``.
+Bands are as many and as narrow as makes the chance that a pair at the threshold shares fewer than two at most ``MISS``.
 
 No group meets in one task: groups above ``BLOCK`` are dealt into blocks. Blocks are linked alone first; then only members
 outside a group's largest component visit the other blocks, so a group of similar texts costs in proportion to its size and
 no pair that could add a link is skipped. Pairs already connected aren't compared, and only links are emitted, not pairs.
+A band group in which that would be more than ``CROWD`` visits a member (many texts that aren't similar share the band) is
+crowded: its pairs meet in one of the other bands that they share. Where all of these are crowded too, they meet in the group of
+those that share two crowded bands; there every visit is made.
+
+The full sets are compared within clusters in the same way, without the rule for crowded groups: n texts that the signatures
+can't tell from similar ones but whose sets are not make about n * n / BLOCK visits.
 
 Rows with a null id get a null group and aren't kept; rows that share an id are one document. An empty table gives no rows.
 """
@@ -33,19 +39,21 @@ from lectern.llm import wordhash
 from lectern.llm.common import cut, only_ids, with_group_facts, without_ids
 from lectern.llm.components import components
 
-HASHES = 192
+HASHES = 224
 BATCH = 32
 MISS = 1e-6
 BLOCK = 512
+CROWD = 1
 _rng = np.random.default_rng(411)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
 def banding(percent: int, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
-    """(bands, places a band): the widest bands that a pair at the threshold misses all of with probability ``miss`` at most."""
+    """(bands, places a band): the widest bands of which a pair at the threshold shares fewer than two with probability ``miss`` at most."""
     s = percent / 100
-    fitting = [r for r in range(1, hashes + 1) if (1 - s**r) ** (hashes // r) <= miss]
+    few = lambda p, n: (1 - p) ** n + n * p * (1 - p) ** (n - 1)
+    fitting = [r for r in range(1, hashes + 1) if few(s**r, hashes // r) <= miss]
     rows = max(fitting, default=1)
     return hashes // rows, rows
 
@@ -89,7 +97,7 @@ def sketch(docs: DataFrame, k: int, percent: int, text: str, key: str) -> DataFr
                 for _, s in wordhash.document_shingles(b.column(1), k):
                     least = signature(s)
                     sizes.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     places.append((least >> np.uint32(16)).astype("<u2").tobytes())
                     grid = least[: bands * rows].reshape(bands, rows).astype(np.uint64)
                     keys.append(wordhash.mix((grid * weights[:, :rows]).sum(axis=1, dtype=np.uint64) + weights[:, rows]).view(np.int64))
@@ -219,8 +227,11 @@ def _linked(rows: DataFrame, matcher) -> DataFrame:
     return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def link_groups(members: DataFrame, matcher, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect the similar members of each group; ``members``: grp, size (of the group), id, payload."""
+def link_groups(members: DataFrame, matcher, block: int = BLOCK, banded: bool = False) -> DataFrame:
+    """Links (a, b) that connect the similar members of each group; ``members``: grp, size (of the group), id, payload.
+
+    ``banded``: groups are bands, so those that are crowded need no visits (see above).
+    """
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     home = F.pmod(F.xxhash64("id"), blocks).cast("int")
     alone = members.select("grp", home.alias("blk"), "id", F.col("id").alias("part"), F.lit(False).alias("visits"), "payload")
@@ -231,12 +242,29 @@ def link_groups(members: DataFrame, matcher, block: int = BLOCK) -> DataFrame:
     parts = components(first)
     placed = large.join(parts, large["id"] == parts["node"], "left").select("grp", "size", "id", "payload", F.coalesce("component", "id").alias("part"))
     shares = placed.groupBy("grp", "part").agg(F.count("*").alias("n"))
-    core = cut(shares.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("core")))
-    known = placed.join(core, "grp").withColumn("apart", F.col("part") != F.col("core"))
-    at_home = known.select("grp", home.alias("blk"), "id", "part", F.lit(False).alias("visits"), "payload")
-    guests = known.filter("apart").select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"), "id", "part", home.alias("own"), "payload").filter("blk != own")
-    visits = guests.select("grp", "blk", "id", "part", F.lit(True).alias("visits"), "payload")
-    return first.union(cut(_linked(at_home.unionByName(visits), matcher)))
+    visits = F.col("apart") * F.ceil(F.col("all") / F.lit(block))
+    core = shares.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("core"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("apart"))
+    core = cut(core.select("grp", "core", "all", (F.lit(banded) & (visits > CROWD * F.col("all"))).alias("crowded")))
+    total = core.agg(F.sum("all")).first()[0]
+    known = with_group_facts(placed, core, "grp", "all", total, ["id"]).withColumn("apart", F.col("part") != F.col("core"))
+    calm = known.filter("NOT crowded")
+    at_home = calm.select("grp", home.alias("blk"), "id", "part", F.lit(False).alias("visits"), "payload")
+    guests = calm.filter("apart").select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"), "id", "part", home.alias("own"), "payload").filter("blk != own")
+    visiting = guests.select("grp", "blk", "id", "part", F.lit(True).alias("visits"), "payload")
+    links = first.union(cut(_linked(at_home.unionByName(visiting), matcher)))
+    if not banded or core.filter("crowded").isEmpty():
+        return links
+    several = known.filter("crowded").groupBy("id").agg(F.sort_array(F.collect_set("grp")).alias("grps"), F.first("payload").alias("payload")).filter("size(grps) > 1")
+    several = cut(several)  # a text has as many groups as there are bands, at most
+    pairs = several.select("id", F.explode(F.flatten(F.transform("grps", lambda g, i: F.transform(F.slice("grps", i + 2, F.size("grps")), lambda h: F.xxhash64(g, h))))).alias("grp"))
+    return links.union(link_groups(_sized(pairs).join(several.select("id", "payload"), "id").select("grp", "size", "id", "payload"), matcher, block))
+
+
+def _sized(banded: DataFrame) -> DataFrame:
+    """(grp, id, size) of the groups of two and more."""
+    shared = cut(banded.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1"))
+    total = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return with_group_facts(banded, shared, "grp", "size", total, ["id"], inner=True)
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -245,16 +273,15 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", k
     rows = cut(sketch(docs, k, percent, text, key))
     usable = rows.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = cut(usable.groupBy("digest").agg(F.min("id").alias("rid"), F.count("*").alias("copies"), F.min_by(F.struct("places", "bands"), "id").alias("s")).select("digest", "rid", "copies", "s.places", "s.bands"))
-    banded = classes.select("rid", F.explode("bands").alias("grp"))
-    shared = cut(banded.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1"))
-    members = banded.join(shared, "grp").join(classes.select("rid", "places"), "rid").select("grp", "size", F.col("rid").alias("id"), F.col("places").alias("payload"))
-    clusters = cut(components(link_groups(members, Signatures(percent), block)))
-    sizes = cut(clusters.groupBy("component").agg(F.count("*").alias("size")))
-    wanted = clusters.join(sizes, "component").select(F.col("node").alias(key), F.col("component").alias("grp"), "size")
+    banded = _sized(classes.select(F.col("rid").alias("id"), F.explode("bands").alias("grp")))
+    members = banded.join(classes.select(F.col("rid").alias("id"), F.col("places").alias("payload")), "id").select("grp", "size", "id", "payload")
+    clusters = cut(components(link_groups(members, Signatures(percent), block, banded=True)))
+    wanted = cut(_sized(clusters.select(F.col("node").alias("id"), F.col("component").alias("grp"))).select(F.col("id").alias(key), "grp", "size"))
     full = only_ids(docs, wanted, key).select("grp", "size", F.col(key).alias("id"), F.col(text).alias("payload"))
     final = components(link_groups(full, Sets(percent, k), block))
     named = cut(classes.join(final, classes["rid"] == final["node"], "left").select("digest", "copies", F.coalesce("component", "rid").alias("component_id")))
-    out = with_group_facts(rows.select("id", "n_shingles", "digest"), named, "digest", "copies", rows.count())
+    total = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    out = with_group_facts(rows.select("id", "n_shingles", "digest"), named, "digest", "copies", total, ["id"])
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
@@ -262,4 +289,4 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", k
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id. Rows without an id stay too."""
     losers = cut(groups(docs, k, percent, text, key).filter(~F.col("kept") & F.col(key).isNotNull()).select(key).distinct())
-    return without_ids(docs, losers, key)
+    return without_ids(docs, losers, [key])

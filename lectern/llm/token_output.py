@@ -6,7 +6,7 @@ segments of all rows with each row's share of them, and a bit a place that says
 shuffles, memory is bounded by the block, and every block but the last of a task is packed almost full.
 
 Files have a name of their own for each task attempt and only names that successful tasks returned are read back.
-Null text counts as empty (its end id alone). Repeated rows are packed as often as they occur; an empty table gives no rows.
+Null text counts as empty (its end id alone); a very long one is cut into pieces. Repeated rows are packed as often as they occur; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import tokens
-from lectern.llm.common import cut, fresh_dir
+from lectern.llm.common import fresh_dir, pin
 
 CAPACITY = 2048
 BLOCK_IDS = 1 << 22
@@ -185,7 +185,6 @@ def read(files: DataFrame, base: str, key: str = "doc_id") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Write the packed files into the shared folder, and what they hold."""
+    """Write the packed files into the shared folder, and what they hold; each is read where it was written, so nothing shuffles."""
     base = fresh_dir(docs.sparkSession, "tokens")
-    files = cut(write(docs, base, capacity, text, key))
-    return read(files.repartition(max(1, files.count()), "path"), base, key)
+    return read(pin(write(docs, base, capacity, text, key)), base, key)

@@ -55,15 +55,47 @@ def brute_exact(docs):
 
 
 @pytest.mark.parametrize("bits", [1 << 15, 1 << 22])
-def test_exact_dedup(spark, odd, none, bits):
+@pytest.mark.parametrize("form", [exact_dedup.annotate, exact_dedup.decide])
+def test_exact_dedup(spark, odd, none, bits, form):
     def found(df):
-        return sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"])) for r in rows(exact_dedup.annotate(df, bits=bits)))
+        return sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"])) for r in rows(form(df, most_bits=bits)))
 
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     assert found(odd) == brute_exact(docs)
     assert found(none) == []
     hot = frame(spark, ["hot" if i % 3 == 0 else f"t{i // 2}" for i in range(4000)])
     assert found(hot) == brute_exact([(r.doc_id, r.text) for r in hot.collect()])
+    clash = hot.withColumns({c: F.lit(1) for c in ("_k", "hot_key", "salt", "_salt", "bitmap", "a.b")})
+    assert found(clash) == found(hot) and set(clash.columns) - {"kept", "keep_id"} <= set(exact_dedup.annotate(clash).columns)
+
+
+def test_filters_clear_strangers(spark):
+    """A filter follows the count of its members, so that few others shuffle; one that is full flags all."""
+    held = common.cut(spark.range(200_000).select(F.col("id").alias("slot")))
+    others = spark.range(1_000_000, 1_100_000)
+    flagged = lambda f, df: common.with_probe(df, F.col("id"), f, "flag").filter("flag").count()
+    sized = common.membership_filter(held)
+    assert flagged(sized, spark.range(200_000)) == 200_000 and flagged(sized, others) < 3_000
+    full = common.membership_filter(held, most_bits=1 << 15)
+    assert flagged(full, spark.range(200_000)) == 200_000 and flagged(full, others) > 90_000
+
+
+def test_group_facts_and_losers(spark):
+    """One key with a third of all rows, null keys, missing groups, and losers by two keys."""
+    data = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 and i % 2 else f"k{i // 2}") for i in range(6000)]
+    df = spark.createDataFrame(data, "id long, k string").withColumn("salt", F.lit("own"))
+    sizes = {}
+    for _, k in data:
+        sizes[k] = sizes.get(k, 0) + 1
+    groups = df.filter("k IS NOT NULL AND k <> 'k1'").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    got = {r["id"]: (r["k"], r["n"], r["salt"]) for r in rows(common.with_group_facts(df, groups, "k", "n", 6000, ["id"]))}
+    assert got == {i: (k, None if k in (None, "k1") else sizes[k], "own") for i, k in data}
+    inner = common.with_group_facts(df, groups, "k", "n", 6000, ["id"], inner=True)
+    assert inner.count() == sum(k not in (None, "k1") for _, k in data)
+    losers = common.cut(df.filter("id % 5 = 0").select("id", "k"))
+    want = sum(not (i % 5 == 0 and k is not None) for i, k in data)  # a null key is in no list
+    assert common.without_ids(df, losers, ["id", "k"]).count() == want
+    assert sorted(r["id"] for r in rows(common.without_ids(df, losers, ["id"]))) == [i for i, _ in data if i % 5]
 
 
 # quality rules
@@ -123,7 +155,32 @@ def test_language_scores_sum_all_segmentations():
 
     words = ["▁ab", "▁aba", "▁bbab", "▁zab"]
     assert np.allclose(np.exp(scorer.words(words)), [[total(w, k) for k in (0, 1)] for w in words], rtol=1e-9)
-    assert np.isfinite(scorer.words(["▁" + "ab" * 500])).all()
+
+
+def test_language_sums_long_words_whole(monkeypatch):
+    pieces = ["", "▁", "a", "b", "ab", "▁a", "ba", "日本", "日", "abab"]
+    rng = np.random.default_rng(1)
+    model = langid.build(pieces, ["p", "q"], rng.integers(0, 9, (len(pieces), 2)))
+    at = {p: i for i, p in enumerate(pieces) if p}
+
+    def plain(word):
+        alpha, logs = [np.ones(2)], np.zeros(2)
+        for t in range(1, len(word) + 1):
+            new = alpha[-1] * model.unknown
+            for n in range(1, min(t, len(alpha), model.longest) + 1):
+                if word[t - n : t] in at:
+                    new = new + alpha[-n] * model.table[at[word[t - n : t]]]
+            logs += np.log(new)
+            alpha = [x / new for x in [*alpha, new]][-model.longest :]
+        return logs
+
+    random.seed(3)
+    words = ["▁" + "".join(random.choice("ab日本z") for _ in range(n)) for n in (1, 64, 65, 66, 300, 1000, 5000)]
+    words += ["▁" + "ab" * 1200, "▁b"]
+    want = np.array([plain(w) for w in words])
+    assert np.allclose(langid.Scorer(model).words(words), want, rtol=1e-9)
+    monkeypatch.setattr(langid, "GROUP_CHARS", 37)
+    assert np.allclose(langid.Scorer(model).words(words), want, rtol=1e-9)
 
 
 def test_language(spark, data, odd, none):
@@ -302,6 +359,69 @@ def test_salvage_inside_members():
     assert found(bytes(torn))[0] == list(range(12))
 
 
+@pytest.mark.parametrize("hold", [0, 1 << 24])
+def test_salvage_at_every_cut(monkeypatch, hold):
+    """Members of three records, cut off or hurt anywhere, then a whole one: what isn't touched comes back."""
+    monkeypatch.setattr(warc, "HOLD", hold)
+    random.seed(6)
+    bodies = [bytes(random.randrange(256) for _ in range(80)) for _ in range(4)]
+    parts = [warc.record_bytes(i, "http://x/", b, hashlib.sha256(b).hexdigest(), None) for i, b in enumerate(bodies)]
+    whole, tail = b"".join(parts[:3]), warc.gzip_member(parts[3])
+    ends = list(itertools.accumulate(map(len, parts[:3])))
+
+    def found(data):
+        return [bodies.index(x.payload) for x in warc.salvage(io.BytesIO(data), len(data)) if isinstance(x, warc.Record)]
+
+    for cut_at in range(0, len(whole), 13):  # inside the plain bytes, then compressed
+        hurt = bytearray(whole)
+        hurt[cut_at] ^= 0x55
+        got = found(warc.gzip_member(bytes(hurt)) + tail)
+        touched = next(i for i, e in enumerate(ends) if cut_at < e)
+        assert [i for i in got if i != touched] == [i for i in (0, 1, 2, 3) if i != touched]
+        assert found(bytes(hurt) + parts[3]).count(3) == 1
+        assert found(warc.gzip_member(whole[:cut_at]) + tail) == [*range(sum(e <= cut_at + 4 for e in ends)), 3]
+    packed = warc.gzip_member(whole)
+    for cut_at in range(0, len(packed), 7):
+        got = found(packed[:cut_at] + tail)
+        assert got[-1] == 3 and got[:-1] == list(range(len(got) - 1))
+        hurt = bytearray(packed)
+        hurt[cut_at] ^= 0x55
+        got = found(bytes(hurt) + tail)
+        assert got[-1] == 3 and got == sorted(set(got))
+
+
+def test_salvage_is_linear_and_bounded():
+    import time
+
+    body = random.Random(1).randbytes(1500)
+    one = warc.gzip_member(warc.record_bytes(1, "u", body, hashlib.sha256(body).hexdigest(), None))
+    hurt = bytearray(one)
+    hurt[len(hurt) // 2] ^= 0xFF
+    took = {}
+    for mb in (4, 16):
+        data = bytes(hurt) * ((mb << 20) // len(hurt))
+        began = time.perf_counter()
+        (gap,) = warc.salvage(io.BytesIO(data), len(data))
+        took[mb] = time.perf_counter() - began
+        assert (gap.offset, gap.end) == (0, len(data))
+    assert took[16] < 10 * took[4]
+
+
+def test_digest_labels():
+    import base64
+
+    for label, f in (("sha1", hashlib.sha1), ("SHA-256", hashlib.sha256), ("md5", hashlib.md5)):
+        good, bad = f(b"x").digest(), f(b"y").digest()
+        for code in (lambda d: d.hex(), lambda d: base64.b32encode(d).decode()):
+            assert warc._digest_of(f"{label}:{code(good)}", b"x") is True and warc._digest_of(f"{label}:{code(bad)}", b"x") is False
+    assert warc._digest_of("blake3:00", b"x") is None and warc._digest_of("", b"x") is None
+    text = warc.record_bytes(1, "u", b"body", hashlib.sha256(b"body").hexdigest(), None).replace(b"WARC-Payload-Digest: sha256:", b"WARC-Payload-Digest: crc9:")
+    (one,) = warc.salvage(io.BytesIO(text), len(text))
+    assert one.unchecked == "warc-payload-digest"
+    wrong = text.replace(b"WARC-Payload-Digest: crc9:", b"WARC-Payload-Digest: sha1:" + b"A" * 32 + b"\r\nX: ")
+    assert [type(x) for x in warc.salvage(io.BytesIO(wrong), len(wrong))] == [warc.Gap]
+
+
 @pytest.mark.parametrize("pack", [warc.gzip_member, bytes])
 def test_salvage_reads_long_headers(pack):
     data = pack(warc.record_bytes(1, "data:" + "x" * 200_000, b"body", hashlib.sha256(b"body").hexdigest(), None))
@@ -317,6 +437,9 @@ def test_warc_round_trip(spark):
     want = [(1, 0, sha(""), "response", None), (2, 0, sha(""), "response", None), (3, 10000, sha(big), "response", None), (4, 10000, sha(big), "revisit", 3), (4, 10000, sha(big), "revisit", 3), (5, 4, sha(small), "response", None), (6, 4, sha(small), "response", None), (None, 10000, sha(big), "response", None)]
     assert found == sorted(map(str, want))
     assert warc.round_trip(pages.filter("page_id > 99")).count() == 0
+    named = spark.createDataFrame([("a b", "u", big), ("ü/1", "u", big), ("c", "u", LONG * 8), (None, None, None)], "page_id string, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows(warc.round_trip(named))}
+    assert got == {"a b": (10000, "response", None), "ü/1": (10000, "revisit", "a b"), "c": (8 * len(LONG), "response", None), None: (0, "response", None)}
 
 
 # near-duplicates
@@ -362,9 +485,53 @@ def test_near_dedup(spark, odd, none, block):
 
 
 def test_bayes_and_bands():
-    assert minhash.banding(85) == (32, 6) and minhash.banding(80) == (38, 5)
+    assert minhash.banding(85) == (37, 6) and minhash.banding(80) == (44, 5)
     least = minhash.least_matches(85)
-    assert least == sorted(least) and least[-1] < 0.85 * 192
+    assert least == sorted(least) and least[-1] < 0.85 * minhash.HASHES
+
+
+def test_crowded_bands(spark, monkeypatch):
+    """Texts that differ but share a band cost about one visit each; links within it are found by another shared band."""
+    rng = np.random.default_rng(8)
+    n, block = 640, 16
+    places = [rng.integers(0, 1 << 16, minhash.HASHES).astype("<u2") for _ in range(n)]
+    pairs = [(i, i + 320) for i in range(0, 40, 2)]
+    for i, j in pairs:
+        places[j] = places[i].copy()
+        places[j][::40] = 7
+    bands = {i: [1] + ([100 + i, 2] if any(i in p for p in pairs) else []) for i in range(n)}
+    for i, j in pairs:
+        bands[j] = [1, 100 + i, 2]
+    for i in range(41, 300, 2):
+        bands[i].append(2)
+    for i in range(300, 312):  # these pairs share crowded bands only
+        places[i + 320] = places[i].copy()
+        bands[i], bands[i + 320] = [1, 2], [1, 2]
+        pairs.append((i, i + 320))
+    flat = [(g, i, bytearray(places[i].tobytes())) for i in range(n) for g in bands[i]]
+    members = minhash._sized(spark.createDataFrame(flat, "grp long, id long, payload binary").select("grp", "id"))
+    members = members.join(spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(places)], "id long, payload binary"), "id").select("grp", "size", "id", "payload")
+    seen, plain = [], minhash._linked
+    monkeypatch.setattr(minhash, "_linked", lambda df, m: (seen.append(df.filter("visits").count()), plain(df, m))[1])
+    found = minhash.link_groups(members, minhash.Signatures(85), block, banded=True)
+    root = {i: i for i in range(n)} | {r.node: r.component for r in components.components(found).collect()}
+    assert all(root[i] == root[j] for i, j in pairs) and len(set(root.values())) == n - len(pairs)
+    assert sum(seen) < members.count() * 3 < n * n // block
+
+
+def test_registered_near_dedup_against_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    want = brute_near({r.doc_id: r.text for r in docs.collect()}, 3, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows(queries.QUERIES["op5_minhash_near_dedup"](spark, data))}
+    assert got == want
+
+
+def test_components_of_large_stars(spark):
+    """A centre that is smaller, or larger, than all it is linked with."""
+    edges = [(0, i) for i in range(1, 3000)] + [(9000, i) for i in range(3000, 6000)] + [(2999, 3000)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(found.values()) == {0} and len(found) == 6001
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_components(spark):
@@ -394,6 +561,29 @@ def test_word_hashes_respect_documents():
 
 # sharding
 
+def brute_kd(points, shards, first=0):
+    """The tree by sorting: points are (id, size, values, tie); the ranges of the whole table come with the first call."""
+    span = [(max(p[2][d] for p in points) - min(p[2][d] for p in points)) or 1.0 for d in range(3)]
+
+    def split(held, first, shards):
+        if shards == 1 or not held:
+            return {p[0]: first for p in held}
+        low = [min(p[2][d] for p in held) for d in range(3)]
+        wide = [max(p[2][d] for p in held) - low[d] for d in range(3)]
+        d = max(range(3), key=lambda d: wide[d] / span[d])
+        key = lambda p: (int((p[2][d] - low[d]) / (wide[d] or 1.0) * float((1 << kd_shard.GRID_BITS) - 1)), p[3])
+        held = sorted(held, key=key)
+        goal, upto = sum(p[1] for p in held) * (shards // 2) / shards, 0
+        for k, p in enumerate(held):
+            upto += p[1]
+            if upto >= goal:
+                k += upto - goal <= goal - (upto - p[1])
+                break
+        return split(held[:k], first, shards // 2) | split(held[k:], first + shards // 2, shards - shards // 2)
+
+    return split(points, first, shards)
+
+
 def test_kd_sharding(spark, data, odd, none):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for df, n in ((docs, 5), (odd, 3)):
@@ -409,6 +599,28 @@ def test_kd_sharding(spark, data, odd, none):
     same = frame(spark, ["equal text"] * 64)
     assert [sum(r["shard"] == s for r in rows(kd_shard.shard_documents(same, 8))) for s in range(8)] == [8] * 8
     assert kd_shard.shards_for(same.withColumn("w", F.lit(10)), "w", 100) == 7
+    assert {r["shard"] for r in rows(kd_shard.shard_to_target(same, 18 * 16))} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("shards", [2, 7, 24])
+def test_kd_splits_match_sorting(spark, data, shards):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    body, code = F.coalesce("text", F.lit("")), lambda c: F.pmod(F.xxhash64(c), F.lit(1000))
+    order = [F.shiftrightunsigned(F.xxhash64(body), 64 - kd_shard.NEAR_BITS), F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64(body)), 64 - kd_shard.TIE_BITS)]
+    points = docs.select("doc_id", F.octet_length(body) + 8, F.log2(F.octet_length(body) + 8), code("source"), code("lang"), *order).collect()
+    want = brute_kd([(r[0], r[1], r[2:5], r[5:]) for r in points], shards)
+    assert {r["doc_id"]: r["shard"] for r in rows(kd_shard.shard_documents(docs, shards))} == want
+
+
+def test_kd_keeps_equal_texts_together(spark):
+    """Copies with the same metadata part only where a median falls among them: at most once a level on each side."""
+    random.seed(2)
+    texts = [f"text {i % 200} " + "x" * (i % 200) for i in range(2000)]
+    got = rows(kd_shard.shard_documents(frame(spark, texts), 8))
+    homes = {}
+    for r in got:
+        homes.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert sum(len(s) > 1 for s in homes.values()) <= 7
 
 
 # licenses
