@@ -606,7 +606,7 @@ def test_kd_sharding(spark, data, odd, none):
 def test_kd_splits_match_sorting(spark, data, shards):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     body, code = F.coalesce("text", F.lit("")), lambda c: F.pmod(F.xxhash64(c), F.lit(1000))
-    order = [F.shiftrightunsigned(F.xxhash64(body), 64 - kd_shard.NEAR_BITS), F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64(body)), 64 - kd_shard.TIE_BITS)]
+    order = [F.shiftrightunsigned(F.xxhash64(F.xxhash64(body)), 64 - kd_shard.NEAR_BITS), F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64(body)), 64 - kd_shard.TIE_BITS)]
     points = docs.select("doc_id", F.octet_length(body) + 8, F.log2(F.octet_length(body) + 8), code("source"), code("lang"), *order).collect()
     want = brute_kd([(r[0], r[1], r[2:5], r[5:]) for r in points], shards)
     assert {r["doc_id"]: r["shard"] for r in rows(kd_shard.shard_documents(docs, shards))} == want
