@@ -1,8 +1,8 @@
 """K-d tree sharding with DataFrame functions only: nodes split at distributed weighted medians along their widest dimension.
 
 A node that must hold s shards splits where its left part weighs floor(s/2)/s of it, along the dimension whose range in the
-node is widest in relation to the whole table's. Points are ordered by (value on a grid of 2**20, hash of the ``near`` columns,
-hash of the tie columns), so ties of any size, a third of all rows too, split evenly. The place is found by five rounds of 8192
+node is widest in relation to the whole table's. Points are ordered by (value on a grid of 2**16, hash of the ``near`` columns,
+hash of the tie columns), so ties of any size, a third of all rows too, split evenly. The place is found by four rounds of 8192
 bins: weights are summed by (node, bin) before they shuffle. Sizes then differ from the mean by about one row.
 
 What the driver and a broadcast hold is one row a node of the level, so at most ``MOST_SHARDS`` rows of a few numbers. Each level
@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from lectern.llm.common import cut, free_name, named, rank_in_groups
 
-GRID_BITS, NEAR_BITS, TIE_BITS, BIN_BITS = 20, 20, 23, 13
+GRID_BITS, NEAR_BITS, TIE_BITS, BIN_BITS = 16, 18, 18, 13
 MOST_SHARDS = 100_000
 
 

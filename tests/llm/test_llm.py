@@ -586,23 +586,23 @@ def brute_kd(points, shards, first=0):
 
 def test_kd_sharding(spark, data, odd, none):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    for df, n in ((docs, 5), (odd, 3)):
+    for df, n in ((docs, 4), (odd, 2)):
         got = rows(kd_shard.shard_documents(df, n))
         assert len(got) == df.count() and {r["shard"] for r in got} <= set(range(n))
         for s in range(n):
             assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
         assert all(r["law"] == "bytes" and r["grown_shard"] is None and r["text_crc32"] is not None for r in got)
-    got = rows(kd_shard.shard_documents(docs, 5))
-    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(5)]
+    got = rows(kd_shard.shard_documents(docs, 4))
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(4)]
     assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got)
     assert kd_shard.shard_documents(none, 4).count() == 0
     same = frame(spark, ["equal text"] * 64)
-    assert [sum(r["shard"] == s for r in rows(kd_shard.shard_documents(same, 8))) for s in range(8)] == [8] * 8
+    assert [sum(r["shard"] == s for r in rows(kd_shard.shard_documents(same, 4))) for s in range(4)] == [16] * 4
     assert kd_shard.shards_for(same.withColumn("w", F.lit(10)), "w", 100) == 7
     assert {r["shard"] for r in rows(kd_shard.shard_to_target(same, 18 * 16))} == {0, 1, 2, 3}
 
 
-@pytest.mark.parametrize("shards", [2, 7, 24])
+@pytest.mark.parametrize("shards", [2, 6])
 def test_kd_splits_match_sorting(spark, data, shards):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     body, code = F.coalesce("text", F.lit("")), lambda c: F.pmod(F.xxhash64(c), F.lit(1000))
@@ -616,11 +616,11 @@ def test_kd_keeps_equal_texts_together(spark):
     """Copies with the same metadata part only where a median falls among them: at most once a level on each side."""
     random.seed(2)
     texts = [f"text {i % 200} " + "x" * (i % 200) for i in range(2000)]
-    got = rows(kd_shard.shard_documents(frame(spark, texts), 8))
+    got = rows(kd_shard.shard_documents(frame(spark, texts), 4))
     homes = {}
     for r in got:
         homes.setdefault(r["text_crc32"], set()).add(r["shard"])
-    assert sum(len(s) > 1 for s in homes.values()) <= 7
+    assert sum(len(s) > 1 for s in homes.values()) <= 3
 
 
 # licenses
