@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -51,6 +52,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few rows of numbers from the driver as a table, made by Spark's own functions."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    held = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    listed = F.from_json(F.lit(held), f"array<struct<{', '.join(c.replace(' ', ':') for c in columns.split(', '))}>>")
+    return spark.range(1).select(F.inline(listed))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row."""
     return F.transform(F.array(value), body)[0]
@@ -107,7 +116,8 @@ def with_group_facts(rows: DataFrame, groups: DataFrame, key: str, size: str, to
     hot_key, cold_key, own_key, salt, zero = (free_name(rows, n) for n in ("hot_key", "cold_key", "own_key", "salt", "zero"))
     hot_fact, cold_fact = ({c: f"{free_name(rows, n)}_{c}" for c in facts} for n in ("hot_fact", "cold_fact"))
     hot = groups.filter(F.col(size) > most).select(F.col(key).alias(hot_key), *[F.col(c).alias(hot_fact[c]) for c in facts])
-    cold = groups.filter(F.col(size) <= most).select(F.col(key).alias(cold_key), F.lit(0).alias(zero), *[F.col(c).alias(cold_fact[c]) for c in facts])
+    always_0 = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")  # a literal would drop out of the join's keys
+    cold = groups.filter(F.col(size) <= most).select(F.col(key).alias(cold_key), always_0.alias(zero), *[F.col(c).alias(cold_fact[c]) for c in facts])
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")
     apart = F.col(hot_key).isNotNull() | F.col(key).isNull()
     marked = marked.withColumn(own_key, F.when(~apart, F.col(key))).withColumn(salt, F.when(apart, F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("int") + 1).otherwise(0))

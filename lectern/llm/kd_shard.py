@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.llm.common import cut, free_name, named, rank_in_groups
+from lectern.llm.common import cut, free_name, named, rank_in_groups, small_table
 
 GRID_BITS, NEAR_BITS, TIE_BITS, BIN_BITS = 16, 18, 18, 13
 MOST_SHARDS = 100_000
@@ -43,11 +43,11 @@ def assign(df: DataFrame, dimensions: list[str], weight: str, tie: list[str], sh
     low = F.shiftrightunsigned(F.xxhash64(*tie), 64 - TIE_BITS)
     if near:
         low = low + F.shiftleft(F.shiftrightunsigned(F.xxhash64(*near), 64 - NEAR_BITS), TIE_BITS)
-    state = df.withColumn(name, F.lit(0))
+    state = df.withColumn(name, F.pmod(F.xxhash64(*tie), F.lit(1)).cast("int"))  # 0; a literal would make the joins nested loops
     spans = df.agg(*[(F.max(v) - F.min(v)).alias(f"s{i}") for i, v in enumerate(values)]).first()
     live = {0: shards}  # a node's name is its first shard
     while live := {n: s for n, s in live.items() if s > 1}:
-        nodes = spark.createDataFrame([(n,) for n in live], f"{node} int")
+        nodes = small_table(spark, [(n,) for n in live], f"{node} int")
         inside = state.join(F.broadcast(nodes), F.col(name) == F.col(node)).drop(node)
         facts = [f(v).alias(f"{k}{i}") for i, v in enumerate(values) for k, f in (("lo", F.min), ("hi", F.max))]
         plan = {}  # node: (dimension, its least value, its range, goal of the left part's weight)
@@ -59,7 +59,7 @@ def assign(df: DataFrame, dimensions: list[str], weight: str, tie: list[str], sh
             break
 
         def placed(rows: DataFrame, plan=plan) -> DataFrame:
-            told = spark.createDataFrame([(n, *p[:3]) for n, p in plan.items()], f"{node} int, {node}_d int, {node}_lo double, {node}_span double")
+            told = small_table(spark, [(n, *p[:3]) for n, p in plan.items()], f"{node} int, {node}_d int, {node}_lo double, {node}_span double")
             value = F.element_at(F.array(*values), F.col(f"{node}_d") + 1)
             grid = F.floor((value - F.col(f"{node}_lo")) / F.col(f"{node}_span") * F.lit(float((1 << GRID_BITS) - 1))).cast("long")
             at = F.shiftleft(grid, NEAR_BITS + TIE_BITS) + low
@@ -69,7 +69,7 @@ def assign(df: DataFrame, dimensions: list[str], weight: str, tie: list[str], sh
         start, before, last = dict.fromkeys(plan, 0), dict.fromkeys(plan, 0), {}
         for shift in range(GRID_BITS + NEAR_BITS + TIE_BITS - BIN_BITS, -BIN_BITS, -BIN_BITS):
             shift = max(0, shift)
-            told = spark.createDataFrame([(n, start[n], float(plan[n][3] - before[n])) for n in plan], "n int, start long, goal double")
+            told = small_table(spark, [(n, start[n], float(plan[n][3] - before[n])) for n in plan], "n int, start long, goal double")
             binned = keyed.join(F.broadcast(told), F.col(node) == F.col("n")).withColumn("bin", F.shiftright(F.col(order) - F.col("start"), shift)).filter(f"bin >= 0 AND bin < {1 << BIN_BITS}")
             summed = binned.groupBy(F.col("n"), F.col("bin"), F.col("goal")).agg(F.sum(weighed).alias("w"))
             sums = summed.withColumn("upto", F.sum("w").over(W.partitionBy("n").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
@@ -81,7 +81,7 @@ def assign(df: DataFrame, dimensions: list[str], weight: str, tie: list[str], sh
         ends = []
         for n, p in plan.items():  # the row on the line goes where it leaves less over
             ends.append((n, start[n] + (before[n] + last[n] - p[3] <= p[3] - before[n]), n + live[n] // 2))
-        told = spark.createDataFrame(ends, f"{node}_n int, {node}_end long, {node}_right int")
+        told = small_table(spark, ends, f"{node}_n int, {node}_end long, {node}_right int")
         split = placed(state).join(F.broadcast(told), F.col(node) == F.col(f"{node}_n"), "left")
         side = F.when(F.col(order) < F.col(f"{node}_end"), F.col(name)).otherwise(F.coalesce(f"{node}_right", name))
         state = cut(split.select(*own, side.cast("int").alias(name)))

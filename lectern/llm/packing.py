@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import cut, rank_in_groups
+from lectern.llm.common import cut, rank_in_groups, small_table
 
 CAPACITY = 1024
 PLAN = "length long, low long, high long, base long, per long, place long"
@@ -53,7 +53,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", key: str
     pieces = cut(tokens.piece_table(docs, capacity, text, key, path=path))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     total = sum(histogram.values())
-    planned = pieces.sparkSession.createDataFrame(plan(histogram, capacity), PLAN)
+    planned = small_table(pieces.sparkSession, plan(histogram, capacity), PLAN)
     ranked = rank_in_groups(pieces, "length", [key, "piece", "start", "ids_crc32"], "rank", parts=max(16, min(4096, total // 100_000)))
     own = F.col("rank") - F.col("low")
     joined = ranked.join(F.broadcast(planned.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
