@@ -10,7 +10,7 @@
    A place is safe where an ASCII graphic character precedes ASCII white space: no pre-token spans it.
 
 A chunk that a third of the documents share is no hot key: counts are summed before they shuffle, and the ids of the at most 1,000
-chunks above 1/1000 of all uses (32 KB each at most) reach their documents by broadcast. A document's chunks are as many as it has.
+chunks above 1/1000 of all uses (32 KB each at most; ids travel in two bytes where the vocabulary allows it) reach their documents by broadcast. A document's chunks are as many as it has.
 
 Texts that hold a special token's text are encoded whole. Null and empty texts have no ids. Rows with a null id, and
 repeated rows, are encoded like any other; an empty table gives no rows.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import tokens, wordhash
-from lectern.llm.common import cut, free_name, membership_filter, with_group_facts, with_probe
+from lectern.llm.common import cut, free_name, membership_filter, only_ids, with_group_facts, with_probe
 
 MIN_CHUNK, MAX_CHUNK, MASK = 256, 8192, np.uint32(0x3FF << 20)
 _GEAR = np.random.default_rng(61).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -150,6 +150,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     id_field = rows.schema["id"]
     special = list(tokens.encoder(path).special)
+    width = "<u2" if len(tokens.encoder(path).bytes_of) <= 1 << 16 else "<u4"  # of ids that travel
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -183,11 +184,11 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                     mine = set(wanted[i].as_py())
                     for x, y in itertools.pairwise([0, *ends]):
                         if (h := _digest(data[x:y])) in mine and h not in made:
-                            made[h] = enc.encode_plain(data[x:y].tobytes().decode("utf-8")).astype("<u4").tobytes()
+                            made[h] = enc.encode_plain(data[x:y].tobytes().decode("utf-8")).astype(width).tobytes()
                 yield pa.record_batch([pa.array(list(made), pa.binary()), pa.array(list(made.values()), pa.binary())], ["h", "ids"])
 
-    owned = shared.groupBy(F.col("owner").alias("id")).agg(F.collect_list("h").alias("hs"))
-    table = cut(sharing.join(owned, "id").select("id", "text", "hs").mapInArrow(encode_owned, "h binary, ids binary").groupBy("h").agg(F.first("ids").alias("ids")).join(shared.select("h", "n"), "h"))
+    owned = cut(shared.groupBy(F.col("owner").alias("id")).agg(F.collect_list("h").alias("hs")))
+    table = cut(only_ids(rows, owned, "id").select("id", "text", "hs").mapInArrow(encode_owned, "h binary, ids binary").groupBy("h").agg(F.first("ids").alias("ids")).join(shared.select("h", "n"), "h"))
     needed = with_group_facts(uses, table, "h", "n", total, ["id"], inner=True).groupBy("id").agg(F.collect_list("h").alias("hs"), F.collect_list("ids").alias("ids"))
     schema = T.StructType([T.StructField(key, id_field.dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
@@ -216,7 +217,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                             continue
                         known = dict(zip(hs, ids, strict=True))
                         raw = [known.get(_digest(data[x:y])) for x, y in itertools.pairwise([0, *ends])]
-                        done(joiner.encode(data, ends, [None if r is None else np.frombuffer(r, "<u4") for r in raw]))
+                        done(joiner.encode(data, ends, [None if r is None else np.frombuffer(r, width) for r in raw]))
                 columns = [b.column(0), *(pa.array([r[k] for r in results], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))]
                 yield pa.record_batch([*columns, *([pa.array(packed, pa.binary())] if with_ids else [])], schema.names)
 
