@@ -38,8 +38,8 @@ class Engine:
         return search.hybrid(queries, docs, top_n, cap, query_vectors, rows, linked if graph_arm else None, rerank_scores)
 
     def passage(self, ids: DataFrame) -> DataFrame:
-        """``ids``: chunk_id. The chunks with the texts before and after, and their state."""
-        with_sides = locate.neighbors(self.tables["chunks"], "attachment_id", "chunk_index", "text")
+        """``ids``: chunk_id. The chunks with the texts before and after, all of the active generation, and their state."""
+        with_sides = locate.neighbors(self._active_chunks(), "attachment_id", "chunk_index", "text")
         known = self.tables["chunks"].groupBy("chunk_id").agg(F.max("active").alias("a"))
         told = F.when(F.col("a").isNull(), "unknown").when(F.col("a"), "active").otherwise("superseded")
         state = ids.join(known, "chunk_id", "left").select("chunk_id", told.alias("state"))

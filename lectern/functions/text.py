@@ -67,7 +67,7 @@ def token_set(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets; 0 if either is empty."""
+    """Of two sets; 0 if either is empty. Whether the texts are equal is for the caller to ask first."""
     shared = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 

@@ -180,7 +180,7 @@ def fold_near_duplicates(hits: DataFrame, docs: DataFrame, threshold: float = 0.
 
     ``docs``: id, owner, text. A query has at most MOST hits an arm, so one query is one bounded group. Adds ``folded``.
     """
-    full = hits.join(docs.select("id", "owner", token_set(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("digest")), "id")
+    full = hits.join(docs.select("id", "owner", token_set(F.coalesce("text", F.lit(""))).alias("tokens"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")), "id")
     id_type, query_type = dict(hits.dtypes)["id"], dict(hits.dtypes)["query_id"]
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
@@ -189,7 +189,7 @@ def fold_near_duplicates(hits: DataFrame, docs: DataFrame, threshold: float = 0.
             tokens = set(r.tokens)
             for k in kept:
                 union = len(tokens | k[2])
-                if k[1] == r.owner and union and len(tokens & k[2]) / union > threshold:
+                if k[1] == r.owner and (k[0].digest == r.digest or union and len(tokens & k[2]) / union > threshold):
                     k[3] += 1
                     break
             else:

@@ -75,6 +75,9 @@ def test_fusion_cap_and_fold(spark):
     docs = spark.createDataFrame([("b1", "A", "one two three four five six"), ("b2", "A", "one two three four five six"), ("b3", "B", "one two three four five six"), ("b4", "A", "else")], "id string, owner string, text string")
     folded = search.fold_near_duplicates(hits, docs).orderBy("rank").collect()
     assert [(r.id, r.folded) for r in folded] == [("b1", 1), ("b3", 0), ("b4", 0)]
+    bare = spark.createDataFrame([("b1", "A", "!!! ???"), ("b2", "A", "!!! ???"), ("b3", "B", "!!! ???"), ("b4", "A", "..."), ("b5", "A", None)], docs.schema)
+    folded = search.fold_near_duplicates(hits, bare).orderBy("rank").collect()
+    assert [(r.id, r.folded) for r in folded] == [("b1", 1), ("b3", 0), ("b4", 0), ("b5", 0)]
     scores = spark.createDataFrame([(1, "x", 0.1), (1, "y", 0.9)], "query_id int, id string, rerank double")
     assert [r.id for r in search.rerank(a, scores).orderBy("rank").collect()] == ["y", "x"]
     assert [r.id for r in search.rerank(a, scores.filter("id = 'y'")).orderBy("rank").collect()] == ["x", "y"]
@@ -117,6 +120,9 @@ def test_relations_and_browse(spark):
     engine = Engine({"chunks": chunks.select("chunk_id", F.col("doc_id").alias("document_id"), F.lit("x").alias("attachment_id"), F.col("doc_id").alias("chunk_index"), F.lit("t").alias("text"), F.lit(1).alias("snapshot_id"), F.lit(True).alias("active")), "entities": e, "mentions": m, "relations": r})
     assert engine.kg_relations().count() == 1 and engine.kg_neighbors(e.select("id")).count() == 2
     assert engine.passage(spark.createDataFrame([("d1:0",), ("zz",)], "chunk_id string")).orderBy("chunk_id").select("state").collect()[1][0] == "unknown"
+    two = spark.createDataFrame([(f"{g}{i}", 1, "x", i, f"{g}{i}", g, g == "n") for g in "on" for i in range(3)], "chunk_id string, document_id int, attachment_id string, chunk_index int, text string, snapshot_id string, active boolean")
+    sides = Engine({"chunks": two}).passage(spark.createDataFrame([("n1",), ("o1",)], "chunk_id string")).orderBy("chunk_id")
+    assert [(r.state, r.before, r.after) for r in sides.collect()] == [("active", "n0", "n2"), ("superseded", None, None)]
     assert {k: v.count() for k, v in engine.consolidate().items()}["entities"] == 2 and engine.bound_entities().count() == 2
 
 
