@@ -235,3 +235,22 @@ def gate(entities: DataFrame, mentions: DataFrame, relations: DataFrame, gated:
     for end in ("source", "target"):
         edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
     return left, kept.select(*mentions.columns), edges.select(*relations.columns)
+
+
+def evidence_overlaps(relations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``relations`` with at least one of ``chunks`` (chunk_id) in their evidence."""
+    touched = relations.select("id", F.explode("evidence").alias("chunk_id")).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return relations.join(touched.select("id").distinct(), "id", "left_semi")
+
+
+def root_of(ids: DataFrame, roots_: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, root): an id that is a root is its own; else the entity's alias target or itself; null if nothing is known of it."""
+    known = roots_.select(F.col("root").alias("id"), F.col("root").alias("own")).distinct()
+    fallback = entities.groupBy("id").agg(F.min(F.coalesce("alias_of", "id")).alias("alias"))
+    return ids.join(known, "id", "left").join(fallback, "id", "left").select("id", F.coalesce("own", "alias").alias("root"))
+
+
+def superseded_history(archive: DataFrame, survivors: DataFrame) -> DataFrame:
+    """What was merged into each of ``survivors`` (survivor), numbered by archived_at, then loser."""
+    order = W.partitionBy("survivor").orderBy("archived_at", "loser")
+    return archive.join(survivors.select("survivor").distinct(), "survivor", "left_semi").withColumn("place", F.row_number().over(order))

@@ -7,6 +7,7 @@ leads to. A job's log is bounded by its attempts, so one job's events fit in one
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_ATTEMPTS = 3
@@ -90,3 +91,24 @@ def verdict_status(verdict: Column, score: Column, contradictions: Column) -> Co
 def repair_claim(status: Column, attempts: Column) -> Column:
     """State after an attempt to claim: the loop guard blocks after MAX_REPAIRS, else queued cases start."""
     return F.when((attempts >= MAX_REPAIRS) & status.isin("queued", "rejected"), "blocked").when((status == "queued") & (attempts < MAX_REPAIRS), "in_repair").otherwise(status)
+
+
+def job_counts(jobs: DataFrame, source: str = "source_id") -> DataFrame:
+    return jobs.groupBy(source).agg(F.count("*").alias("jobs"))
+
+
+def newest_jobs(jobs: DataFrame, n: int, source: str = "source_id") -> DataFrame:
+    """The ``n`` jobs of each source that were made last, newest first by ``place``; ties go to the larger job_id."""
+    order = W.partitionBy(source).orderBy(F.desc("created_at"), F.desc("job_id"))
+    return jobs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
+def ack_failed(status: Column, pending_at: Column, now: Column) -> Column:
+    """When a completed job's acknowledgement first failed; jobs in other states keep their mark."""
+    return F.when(status == "completed", F.coalesce(pending_at, now)).otherwise(pending_at)
+
+
+def pending_acks(jobs: DataFrame, limit: int = 50) -> DataFrame:
+    """(job_id, snapshot_id): completed jobs that wait for an acknowledgement, oldest mark first, at most ``limit`` (50 if not positive)."""
+    waiting = jobs.filter("status = 'completed' AND ack_pending_at IS NOT NULL").orderBy("ack_pending_at", "job_id").limit(limit if limit > 0 else 50)
+    return waiting.select("job_id", F.coalesce("snapshot_id", F.lit("")).alias("snapshot_id"))

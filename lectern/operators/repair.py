@@ -148,3 +148,13 @@ def retrust(chunks: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
     decision = F.coalesce(held, F.when(start.eqNullSafe(F.col("label_start")) & end.eqNullSafe(F.col("label_end")), "stamp").otherwise("heal"))
     kept = held.isNotNull()
     return joined.filter(F.col("type").isin("epub_cfi", "page_span")).select("chunk_id", decision.alias("decision"), F.when(~kept, source).alias("page_source"), F.when(kept, F.col("label_start")).otherwise(start).alias("label_start"), F.when(kept, F.col("label_end")).otherwise(end).alias("label_end"))
+
+
+def plan_check(plan: DataFrame, verified: DataFrame) -> DataFrame:
+    """(doc, page, label, folio, reason) of plan rows that can't stand. ``plan``: doc, page (text, counts from 1), label;
+    ``verified``: doc, page (from 0), value. A page that isn't a number or wasn't verified is a fault, not a pass."""
+    number = F.when(F.trim("page").rlike("^[+-]?[0-9]{1,9}$"), F.trim("page").cast("int"))
+    proven = verified.select("doc", (F.col("page") + 1).cast("int").alias("_at"), F.trim(F.col("value").cast("string")).alias("folio"))
+    joined = plan.withColumn("_at", number).join(proven, ["doc", "_at"], "left")
+    reason = F.when(F.col("_at").isNull(), "not a page number").when(F.col("folio").isNull(), "page not verified").when(F.trim("label") != F.col("folio"), "contradicts folio")
+    return joined.select("doc", "page", "label", "folio", reason.alias("reason")).filter("reason IS NOT NULL")

@@ -154,3 +154,13 @@ def resolved_view(members: DataFrame, collection_modes: DataFrame) -> DataFrame:
 def active_once(snapshots: DataFrame) -> DataFrame:
     """Attachments that break the rule of at most one active snapshot."""
     return snapshots.filter("active").groupBy("attachment_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def source_view(documents: DataFrame, lists: tuple[str, ...] = ("authors", "tags")) -> DataFrame:
+    """``documents`` as callers see them: lists that are null are empty."""
+    return documents.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
+
+
+def any_dimension(vectors: DataFrame, vector: str) -> DataFrame:
+    """One row: ``dim`` of a vector that isn't null (the largest, so that runs agree), or null."""
+    return vectors.agg(F.max(F.when(F.col(vector).isNotNull(), F.size(vector))).alias("dim"))
