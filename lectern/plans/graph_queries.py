@@ -164,14 +164,13 @@ def kg_entity_tiers(spark, sf_dir):
     return graph.search_entities(graph.roots(e, m), asked, limit=20)
 
 
-@query(f"""WITH {ROOTS}, st AS (SELECT root, mentions FROM roots WHERE mentions >= 2), hub AS (SELECT root FROM st ORDER BY mentions DESC, root LIMIT 5),
+@query(f"""WITH {ROOTS}, st AS (SELECT root, mentions FROM roots WHERE mentions >= 2),
 b AS (SELECT source AS id, target AS other, type, TRUE AS outgoing FROM tri UNION ALL SELECT target, source, type, FALSE FROM tri)
-SELECT id, other, b.type, outgoing, row_number() OVER (PARTITION BY id ORDER BY mentions DESC, other, b.type, outgoing DESC)::INT AS rank FROM b JOIN st ON st.root = other WHERE id IN (SELECT root FROM hub) QUALIFY rank <= 50""")
+SELECT id, other, b.type, outgoing, row_number() OVER (PARTITION BY id ORDER BY mentions DESC, other, b.type, outgoing DESC)::INT AS rank FROM b JOIN st ON st.root = other WHERE id IN (SELECT root FROM st) QUALIFY rank <= 50""")
 def kg_neighbors(spark, sf_dir):
     e, m, r, c = _model(spark, sf_dir)
     rts = graph.roots(e, m)
-    hubs = rts.filter("mentions >= 2").orderBy(F.desc("mentions"), "root").limit(5).select(F.col("root").alias("id"))
-    return graph.neighbors(graph.triples(e, r), rts, hubs)
+    return graph.neighbors(graph.triples(e, r), rts, rts.filter("mentions >= 2").select(F.col("root").alias("id")))
 
 
 @query(f"""WITH {ROOTS}, e2 AS (SELECT *, row_number() OVER (PARTITION BY lo, hi ORDER BY rid) AS x FROM (SELECT edge.*, source || '>' || target || ':' || type || ':' || evidence[1] AS rid FROM edge)),
@@ -196,28 +195,13 @@ def multi_edge_stats(spark, sf_dir):
     return graph.pair_stats(graph.repoint(r, e.select("id", F.coalesce("alias_of", "id").alias("survivor"))))
 
 
-@query(f"""WITH {BASE}, fm AS (SELECT form AS f, chunk_id FROM tok), st AS (SELECT f FROM fm GROUP BY f HAVING count(DISTINCT chunk_id) BETWEEN 2 AND 50),
-held AS (SELECT DISTINCT f, chunk_id FROM fm WHERE f IN (SELECT f FROM st)),
-seed AS (SELECT doc_id AS query_id, min(chunk_id) AS chunk_id FROM tok WHERE doc_id % 100 = 0 GROUP BY doc_id),
-kn AS (SELECT DISTINCT query_id, f FROM seed JOIN held USING (chunk_id)),
-lk AS (SELECT query_id, h.chunk_id AS id, count(*) AS links FROM kn JOIN held h USING (f) WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.query_id = kn.query_id AND s.chunk_id = h.chunk_id) GROUP BY ALL)
-SELECT query_id, id, links, row_number() OVER (PARTITION BY query_id ORDER BY links DESC, id)::INT AS rank FROM lk QUALIFY rank <= 10""")
-def graph_expand(spark, sf_dir):
-    named = extract.entity_mentions(lines(spark, sf_dir))
-    m = named.select(F.col("form").alias("entity_id"), "chunk_id").distinct()
-    stable = m.groupBy("entity_id").agg(F.count("*").alias("n")).filter("n BETWEEN 2 AND 50").select("entity_id")
-    seeds = named.filter("doc_id % 100 = 0").groupBy(F.col("doc_id").alias("query_id")).agg(F.min("chunk_id").alias("chunk_id"))
-    return graph.expand(seeds, m, stable)
-
-
 @query(f"""WITH {BASE}, fm AS (SELECT form AS f, chunk_id FROM tok), st AS (SELECT f FROM fm GROUP BY f HAVING count(DISTINCT chunk_id) >= 2),
 held AS (SELECT DISTINCT f, chunk_id FROM fm WHERE f IN (SELECT f FROM st)),
 seed AS (SELECT doc_id AS query_id, min(chunk_id) AS chunk_id FROM tok WHERE doc_id % 100 = 0 GROUP BY doc_id),
 kn AS (SELECT DISTINCT query_id, f FROM seed JOIN held USING (chunk_id)),
 lk AS (SELECT query_id, h.chunk_id AS id, count(*) AS links FROM kn JOIN held h USING (f) WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.query_id = kn.query_id AND s.chunk_id = h.chunk_id) GROUP BY ALL)
 SELECT query_id, id, links, row_number() OVER (PARTITION BY query_id ORDER BY links DESC, id)::INT AS rank FROM lk QUALIFY rank <= 10""")
-def graph_expand_all(spark, sf_dir):
-    """``graph_expand`` over every stable entity, frequent ones too."""
+def graph_expand(spark, sf_dir):
     named = extract.entity_mentions(lines(spark, sf_dir))
     m = named.select(F.col("form").alias("entity_id"), "chunk_id").distinct()
     stable = m.groupBy("entity_id").agg(F.count("*").alias("n")).filter("n >= 2").select("entity_id")

@@ -296,7 +296,7 @@ def test_seams(spark):
 def test_expansion_follows_frequent_entities(spark, tmp_path):
     docs = [(100, "Alpha rare"), (7, "\n".join(["Alpha"] * 60)), (8, "Other")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = graph_queries.graph_expand_all(spark, str(tmp_path)).orderBy("rank").collect()
+    got = graph_queries.graph_expand(spark, str(tmp_path)).orderBy("rank").collect()
     assert [(r.query_id, r.id, r.links) for r in got] == [(100, i, 1) for i in sorted(f"7:{i}" for i in range(60))[:10]]
 
 
