@@ -96,9 +96,18 @@ def consolidate(entities: DataFrame, mentions: DataFrame, relations: DataFrame)
 
 
 def _union(c: str) -> Column:
+    """All that a few arrays hold, once each."""
     return F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
 
 
+def _by_kind(ends: DataFrame, *more: Column) -> DataFrame:
+    """(lo, hi, fwd, type, n, strength, evidence, more) of the edges of a kind. Evidence is one row a chunk until repeats are gone,
+    so a hub's edges never meet as arrays; null chunks are left out."""
+    each = ends.select("*", F.posexplode_outer("evidence").alias("at", "chunk_id"))
+    n = F.count_if(F.coalesce("at", F.lit(0)) == 0)
+    return each.groupBy("lo", "hi", "fwd", "type").agg(n.alias("n"), F.max("strength").alias("strength"), F.sort_array(F.collect_set("chunk_id")).alias("evidence"), *more)
+
+
 def collapse_relations(relations: DataFrame) -> DataFrame:
     """One edge an unordered pair: (lo, hi, id, source, target, type, strength, evidence, edges, archive).
 
@@ -107,7 +116,7 @@ def collapse_relations(relations: DataFrame) -> DataFrame:
     What loses is archived by (type, direction). Pairs with one edge stay as they are, with an empty archive.
     """
     ends = relations.withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")}).withColumn("fwd", F.col("source") == F.col("lo"))
-    kinds = ends.groupBy("lo", "hi", "fwd", "type").agg(F.count("*").alias("n"), _union("evidence").alias("evidence"), F.min("id").alias("id"), F.max("strength").alias("strength"))
+    kinds = _by_kind(ends, F.min("id").alias("id"))
     sides = kinds.groupBy("lo", "hi", "fwd").agg(F.sum("n").alias("side_n"), F.size(_union("evidence")).alias("side_e"))
     pair = W.partitionBy("lo", "hi")
     best = sides.withColumn("win", F.row_number().over(pair.orderBy(F.desc("side_n"), F.desc("side_e"), F.desc("fwd"))) == 1).select("lo", "hi", "fwd", "win")
@@ -148,8 +157,9 @@ def triples(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(lo, hi, type, source, target, rows, strength, evidence): edges between roots by unordered pair and type."""
     to_root = entities.select("id", F.coalesce("alias_of", "id").alias("survivor"))
     edges = repoint(relations, to_root).withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")}).withColumn("fwd", F.col("source") == F.col("lo"))
-    side = lambda b: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("fwd") == F.lit(b), F.col("evidence"))))))
-    grouped = edges.groupBy("lo", "hi", "type").agg(F.count("*").alias("rows"), F.max("strength").alias("strength"), _union("evidence").alias("evidence"), F.count_if("fwd").alias("f"), F.count_if(~F.col("fwd")).alias("r"), side(True).alias("fe"), side(False).alias("re"))
+    side = lambda b, c: F.coalesce(F.max(F.when(F.col("fwd") == F.lit(b), c)), F.lit(0))
+    sizes = [side(b, c).alias(name) for name, b, c in (("f", True, F.col("n")), ("r", False, F.col("n")), ("fe", True, F.size("evidence")), ("re", False, F.size("evidence")))]
+    grouped = _by_kind(edges).groupBy("lo", "hi", "type").agg(F.sum("n").alias("rows"), F.max("strength").alias("strength"), _union("evidence").alias("evidence"), *sizes)
     swap = (F.col("r") > F.col("f")) | ((F.col("r") == F.col("f")) & (F.col("re") > F.col("fe")))
     return grouped.select("lo", "hi", "type", F.when(swap, F.col("hi")).otherwise(F.col("lo")).alias("source"), F.when(swap, F.col("lo")).otherwise(F.col("hi")).alias("target"), "rows", "strength", "evidence")
 
