@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe_chunks, exact_dedup, kd_shard, langid, license_scan, minhash, packing, quality, token_output, warc
+from lectern.llm import bpe_chunks, exact_dedup, filter_audit, kd_shard, langid, license_scan, minhash, packing, periodic, quality, token_output, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_warc_salvage, op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_kd_sharding, op8_license_scan, op9_bpe_chunks, op10_quality_rules)
+    f.__name__: f for f in (op1_token_output, op2_warc_salvage, op3_language_id, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_kd_sharding, op8_license_scan, op9_bpe_chunks, op10_quality_rules, op11_filter_audit, op12_winnowing, op13_periodic_runs)
 }
-ORACLES: dict[str, str] = {"op2_warc_salvage": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {"op2_warc_salvage": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": quality.oracle(), "op11_filter_audit": filter_audit.ORACLE}
