@@ -129,7 +129,7 @@ def test_quality(spark, odd, none):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     df = queries.QUERIES[name](spark, data)
     columns = sorted(df.columns)
