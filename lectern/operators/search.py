@@ -1,6 +1,7 @@
-"""Ranked recall and fusion: BM25, exact kNN in blocks, learned-sparse, reciprocal rank fusion, reranking, hygiene.
+"""Ranked recall and fusion: BM25, exact kNN, learned-sparse, reciprocal rank fusion, reranking, hygiene.
 
-Hits are rows (query_id, id, rank, score); rank starts at 1 and every order ends in a unique key.
+Arms score in the scan while the queries are few enough to be sent to every task (``recall``); beyond that, BM25 and sparse
+join postings, and vectors meet in blocks. Hits are rows (query_id, id, rank, score); rank starts at 1 and every order ends in a unique key.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import frontmatter
 from lectern.functions.text import jaccard, token_set, words
+from lectern.operators import recall
 
 K1, B = 1.2, 0.75
 RRF = 60
-OVERFETCH, MOST = 3, 64
+OVERFETCH, MOST, TOP_N = 3, 64, 10
 Arm = Callable[[DataFrame], DataFrame]
 
 
@@ -27,16 +29,16 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9\\x{80}-\\x{10FFFF}]+"), lambda x: x != "")
 
 
-def top_k(scored: DataFrame, k: int, places: int = 6) -> DataFrame:
-    """(query_id, id, rank, score): the best k of each query by rounded score, then by id."""
+def top_k(scored: DataFrame, k: int, places: int = 6, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(by, id, rank, score): the best k of each query by rounded score, then by id."""
     scored = scored.withColumn("score", F.round("score", places))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "rank", "score")
+    order = W.partitionBy(*by).orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*by, "id", "rank", "score")
 
 
 def fetch_count(top_n: int) -> int:
     """How many candidates an arm gives for ``top_n`` wanted; 10 if none is given, an error above MOST."""
-    top_n = top_n if top_n > 0 else 10
+    top_n = top_n if top_n > 0 else TOP_N
     if top_n > MOST:
         raise ValueError(f"top_n is at most {MOST}")
     return min(OVERFETCH * top_n, MOST)
@@ -51,10 +53,34 @@ def _postings(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     return asked, held.join(known, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def lexical_arms(queries: DataFrame, docs: DataFrame, k: int, arms: tuple[str, ...] = ("bm25", "sparse"), k1: float = K1, b: float = B, pivot: float = 1.0, most_terms: int = 64) -> DataFrame:
+    """(arm, query_id, id, rank, score) of the named arms, counted from 0, from one scan; ``queries``: query_id, text; ``docs``: id, text.
+
+    A document's terms are made once for both arms. A document without text has no terms and counts as one of length 0.
+    """
+    asked = recall.asked_terms(queries.select("query_id", terms(F.col("text")).alias("bag")), most_terms)
+    if asked is None:
+        joined = {"bm25": lambda: bm25_joined(queries, docs, k, k1, b), "sparse": lambda: sparse_joined(queries, docs, k, pivot, most_terms)}
+        found = [joined[a]().withColumn("arm", F.lit(i)) for i, a in enumerate(arms)]
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    bags = docs.select("id", terms(F.col("text")).alias("bag"))
+    return top_k(recall.lexical(asked, queries, bags, k, k1, b, pivot, arms), k, by=("arm", "query_id"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """``queries``: query_id, text; ``docs``: id, text. Inverse frequency ln(1 + (N - df + 0.5) / (df + 0.5)), saturation tf / (tf + norm)."""
+    """Inverse frequency ln(1 + (N - df + 0.5) / (df + 0.5)), saturation tf / (tf + norm)."""
+    return lexical_arms(queries, docs, k, ("bm25",), k1, b).drop("arm")
+
+
+def sparse_by_counts(queries: DataFrame, docs: DataFrame, k: int, pivot: float = 1.0, most_terms: int = 64) -> DataFrame:
+    """``sparse`` with the stand-in's weights (half a term's count), without a map a document."""
+    return lexical_arms(queries, docs, k, ("sparse",), pivot=pivot, most_terms=most_terms).drop("arm")
+
+
+def bm25_joined(queries: DataFrame, docs: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25`` for queries of any number: their terms join the postings."""
     asked, postings = _postings(queries, docs)
-    corpus = docs.select(F.size(terms(F.col("text"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    corpus = docs.select(F.coalesce(F.size(terms(F.col("text"))), F.lit(0)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = asked.join(frequency, "term").join(postings, "term").crossJoin(F.broadcast(corpus))  # corpus: one row
@@ -77,8 +103,8 @@ def count_weights(c: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(bag), lambda t: F.struct(t, F.size(F.filter(bag, lambda x: x == t)) * 0.5)))
 
 
-def sparse_by_counts(queries: DataFrame, docs: DataFrame, k: int, pivot: float = 1.0, most_terms: int = 64) -> DataFrame:
-    """``sparse`` with the stand-in's weights taken from counted postings, without a map a document."""
+def sparse_joined(queries: DataFrame, docs: DataFrame, k: int, pivot: float = 1.0, most_terms: int = 64) -> DataFrame:
+    """``sparse_by_counts`` for queries of any number: their terms join the postings."""
     counted = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg((F.count("*") * 0.5).alias("w"))
     order = W.partitionBy("query_id").orderBy(F.desc("w"), "term")
     asked = counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most_terms).select("query_id", "term")
@@ -88,10 +114,13 @@ def sparse_by_counts(queries: DataFrame, docs: DataFrame, k: int, pivot: float =
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, query_block: int = 256) -> DataFrame:
-    """Exact cosine top k; ``queries``: query_id, vector; ``rows``: id, vector. Zero vectors match nothing.
+    """Exact cosine top k; ``queries``: query_id, vector; ``rows``: id, vector. Zero vectors match nothing. The blocks are for queries beyond a scan."""
+    found = recall.nearest(queries, rows, k)
+    return top_k(found, k) if found is not None else knn_in_blocks(queries, rows, k, block, query_block)
 
-    Blocks of queries meet blocks of rows; each meeting returns k rows a query, so no pair leaves a task but the best.
-    """
+
+def knn_in_blocks(queries: DataFrame, rows: DataFrame, k: int, block: int, query_block: int) -> DataFrame:
+    """``knn`` for queries of any number: blocks of queries meet blocks of rows, each meeting returns k rows a query."""
     n_rows, n_queries = rows.count(), queries.count()
     packed_rows = _blocks(rows, "id", max(1, -(-n_rows // block)))
     packed_queries = _blocks(queries.withColumnRenamed("query_id", "id"), "id", max(1, -(-n_queries // query_block))).toDF("qblk", "query_ids", "query_vectors")
@@ -134,8 +163,13 @@ def rrf(arms: list[DataFrame], top_n: int | None = None, constant: int = RRF) ->
     all_hits = arms[0].withColumn("arm", F.lit(0))
     for i, arm in enumerate(arms[1:], 1):
         all_hits = all_hits.unionByName(arm.withColumn("arm", F.lit(i)))
+    return fuse(all_hits, top_n, constant)
+
+
+def fuse(hits: DataFrame, top_n: int | None = None, constant: int = RRF) -> DataFrame:
+    """``rrf`` of hits that say their ``arm``."""
     terms_ = F.transform(F.sort_array(F.collect_list(F.struct("arm", "rank"))), lambda x: 1.0 / (constant + x["rank"]))
-    fused = all_hits.groupBy("query_id", "id").agg(F.aggregate(terms_, F.lit(0.0), lambda a, x: a + x).alias("score"), F.min(F.struct("arm", "rank")).alias("seen"))
+    fused = hits.groupBy("query_id", "id").agg(F.aggregate(terms_, F.lit(0.0), lambda a, x: a + x).alias("score"), F.min(F.struct("arm", "rank")).alias("seen"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "seen", "id")
     out = fused.withColumn("rank", F.row_number().over(order))
     if top_n is not None:
@@ -201,25 +235,35 @@ def fold_near_duplicates(hits: DataFrame, docs: DataFrame, threshold: float = 0.
 
 def hybrid(
     queries: DataFrame, docs: DataFrame, top_n: int = 10, cap: int = 2, query_vectors: DataFrame | None = None, row_vectors: DataFrame | None = None,
-    graph_arm: Arm | None = None, rerank_scores: Arm | None = None, fold: bool = True,
+    graph_arm: Arm | None = None, rerank_scores: Arm | None = None, fold: bool = True, arms: tuple[str, ...] = ("bm25", "sparse"),
 ) -> DataFrame:
-    """Dense, BM25, sparse and graph arms, fused; front matter out; reranked; near copies folded; at most ``cap`` hits an owner first; ``top_n`` hits a query.
+    """Dense, BM25, sparse and graph arms, fused and cut to what an arm fetches; front matter out; reranked; near copies folded; at most
+    ``cap`` hits an owner first; ``top_n`` hits a query (10 if it is not positive, an error above MOST).
 
-    ``queries``: query_id, text; ``docs``: id, owner, text. The dense arm needs ``query_vectors`` (query_id, vector) and
-    ``row_vectors`` (id, vector). ``graph_arm`` makes hits from the fused top (query_id, chunk_id), ``rerank_scores`` makes
-    (query_id, id, rerank) from the hits. ``fold`` is off only where a query's SQL has no fold.
+    ``queries``: query_id, text; ``docs``: id, owner, text. A blank query has no hits. ``arms`` names the lexical arms that run, none, one or
+    both. The dense arm needs ``query_vectors`` (query_id, vector) and ``row_vectors`` (id, vector). ``graph_arm`` makes hits
+    from the fused top (query_id, chunk_id), ``rerank_scores`` makes (query_id, id, rerank) from the hits. ``fold`` is off only
+    where a query's SQL has no fold.
     """
+    top_n = top_n if top_n > 0 else TOP_N
     n = fetch_count(top_n)
     if (query_vectors is None) != (row_vectors is None):
         raise ValueError("the dense arm needs vectors of queries and of rows")
-    arms = [bm25(queries, docs, n), sparse_by_counts(queries, docs, n)]
+    if not arms and query_vectors is None:
+        raise ValueError("at least one arm must run")
+    queries = queries.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    found = []
     if query_vectors is not None:
-        arms.insert(0, knn(query_vectors, row_vectors.join(docs.select("id"), "id", "left_semi"), n))
-    fused = rrf(arms)
+        asked = query_vectors.join(queries.select("query_id"), "query_id", "left_semi")
+        found.append(knn(asked, row_vectors.join(docs.select("id"), "id", "left_semi"), n).withColumn("arm", F.lit(0)))
+    if arms:
+        found.append(lexical_arms(queries, docs, n, arms).withColumn("arm", F.col("arm") + 1))
+    hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    fused = fuse(hits, n)
     if graph_arm is not None:
-        seeds = fused.filter(F.col("rank") <= (top_n if top_n > 0 else 10)).select("query_id", F.col("id").alias("chunk_id"))
-        found = graph_arm(seeds).join(docs.select("id"), "id", "left_semi").filter(F.col("rank") <= n)
-        fused = rrf([*arms, found.select("query_id", "id", "rank", F.col("links").cast("double").alias("score"))])
+        seeds = fused.filter(F.col("rank") <= top_n).select("query_id", F.col("id").alias("chunk_id"))
+        linked = graph_arm(seeds).join(docs.select("id"), "id", "left_semi").filter(F.col("rank") <= n)
+        fused = fuse(hits.unionByName(linked.select("query_id", "id", "rank", F.col("links").cast("double").alias("score"), F.lit(9).alias("arm"))), n)
     hits = drop_front_matter(fused, docs)
     if rerank_scores is not None:
         hits = rerank(hits, rerank_scores(hits))

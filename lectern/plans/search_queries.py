@@ -37,6 +37,8 @@ fused AS (SELECT query_id, id, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (a
           min(arm * 1000 + rank) AS seen FROM both_arms GROUP BY query_id, id),
 rrf AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id)::INT AS rank FROM fused),
 capped AS (SELECT query_id, id, score, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 2 AS spare FROM rrf JOIN documents ON doc_id = id),
+cut_capped AS (SELECT query_id, id, score, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 2 AS spare FROM rrf JOIN documents ON doc_id = id WHERE rank <= 30),
+cut_spread AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY spare, rank)::INT AS rank FROM cut_capped),
 spread AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY spare, rank)::INT AS rank FROM capped)"""
 
 
@@ -53,7 +55,7 @@ def sparse_topk(spark, sf_dir):
 def _fused(spark, sf_dir):
     q, d = _queries(spark, sf_dir), _docs(spark, sf_dir)
     n = search.fetch_count(TOP)
-    return search.rrf([search.bm25(q, d, n), search.sparse_by_counts(q, d, n)])
+    return search.fuse(search.lexical_arms(q, d, n))
 
 
 @query(f"WITH {ARMS} SELECT query_id, id, rank, round(score, 9) AS score FROM rrf")
@@ -66,7 +68,7 @@ def diversify(spark, sf_dir):
     return search.cap_with_refill(_fused(spark, sf_dir), _docs(spark, sf_dir).select("id", "owner"), 2).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {ARMS} SELECT query_id, id, rank, round(score, 9) AS score FROM spread WHERE rank <= {TOP}")
+@query(f"WITH {ARMS} SELECT query_id, id, rank, round(score, 9) AS score FROM cut_spread WHERE rank <= {TOP}")
 def hybrid_search(spark, sf_dir):
     """No document of the test tables is front matter, so the filter between fusion and cap leaves all. Its SQL folds no near copies."""
     return search.hybrid(_queries(spark, sf_dir), _docs(spark, sf_dir), TOP, fold=False).withColumn("score", F.round("score", 9))
@@ -117,8 +119,9 @@ def knn_topk(spark, sf_dir):
 @query(f"WITH {KNN} SELECT query_id, id, rank, score FROM knn WHERE rank <= {TOP} AND label = asked")
 def knn_post_filter(spark, sf_dir):
     q, v = _vectors(spark, sf_dir)
-    scope = q.join(v, q["asked"] == v["label"]).select("query_id", "id")
-    return search.keep_scope(knn_topk(spark, sf_dir), scope)
+    hits = knn_topk(spark, sf_dir)
+    scope = hits.join(v.select("id", "label"), "id").join(q.select("query_id", "asked"), "query_id").filter("label = asked").select("query_id", "id")
+    return search.keep_scope(hits, scope)
 
 
 @query(f"""WITH {KNN}, h AS (SELECT * FROM knn WHERE rank <= {TOP}),
