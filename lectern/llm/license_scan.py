@@ -136,28 +136,44 @@ def most_matches(doc: np.ndarray, template: np.ndarray, low: int, high: int, sta
     return int(((windows(part, width) == template[:, None]) & windows(there, width)).any(axis=1).sum())
 
 
+#: Cells of an alignment are one number: score, matches and the first word (counted from the band's first row), 21 bits each.
+_MATCH, _SCORE = 1 << 21, 1 << 42
+#: Rows of a band worked out together.
+ROWS = 1 << 12
+
+
 def align(doc: np.ndarray, template: np.ndarray, low: int, high: int, start: int = 0, stop: int | None = None) -> tuple[int, int, int]:
-    """(matches, first word, end word) of the best local alignment of doc[start:stop] on diagonals low - BAND .. high + BAND (document - template)."""
-    stop = len(doc) if stop is None else stop
-    d, t = doc.tolist(), template.tolist()
-    best = (0, 0, 0, 0)  # score, matches, begin, end
-    none = (0, 0, -1)
-    above: dict[int, tuple[int, int, int]] = {}
-    for i in range(max(start, low - BAND), min(stop, high + BAND + len(t))):
-        row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i - high - BAND), min(len(t), i - low + BAND + 1)):
-            same = d[i] == t[j]
-            score, matches, begin = above.get(j - 1, none)
-            cell = (score + 1, matches + 1, begin if begin >= 0 else i) if same else (score - 1, matches, begin)
-            for other in (above.get(j, none), row.get(j - 1, none)):
-                if other[0] - 1 > cell[0]:
-                    cell = (other[0] - 1, other[1], other[2])
-            if cell[0] > 0:
-                row[j] = cell
-                if cell[0] > best[0]:
-                    best = (cell[0], cell[1], cell[2], i + 1)
-        above = row
-    return best[1:]
+    """(matches, first word, end word) of the best local alignment of doc[start:stop] on diagonals low - BAND .. high + BAND (document - template).
+
+    A match scores 1, anything else -1; of equal scores more matches win, then the later first word, then the earlier end. A row of
+    the band, kept by diagonal, is worked out at once: gaps along it are a running maximum.
+    """
+    stop, n, width = len(doc) if stop is None else stop, len(template), high - low + 2 * BAND + 1
+    begin, end = max(start, low - BAND), min(stop, high + BAND + n)
+    best, best_end = 0, begin
+    cells, other = np.zeros(width, np.int64), np.empty(width, np.int64)
+    slope = np.arange(width) * _SCORE
+    for first in range(begin, end, ROWS):
+        i = np.arange(first, min(first + ROWS, end))
+        j = i[:, None] - (high + BAND) + np.arange(width)
+        same = (j >= 0) & (j < n) & (template[np.clip(j, 0, n - 1)] == doc[i, None])
+        gain = np.where(same, _SCORE + _MATCH, -_SCORE)
+        opened = np.where(same, _SCORE + _MATCH + (i - begin)[:, None], 0)
+        rows = np.zeros((len(i), width), np.int64)
+        for row, more, fresh in zip(rows, gain, opened, strict=True):
+            np.add(cells, more, out=row)
+            np.maximum(row, fresh, out=row)
+            np.subtract(cells, _SCORE, out=other)  # the word of the document left out
+            np.maximum(row[:-1], other[1:], out=row[:-1])
+            row += slope
+            np.maximum.accumulate(row, out=row)  # words of the template left out
+            row -= slope
+            row *= row >= _SCORE
+            cells = row
+        tops = rows.max(axis=1)
+        if (most := int(tops.max())) > best:
+            best, best_end = most, int(i[tops.argmax()]) + 1
+    return best % _SCORE // _MATCH, begin + best % _MATCH, best_end
 
 
 def align_all(doc: np.ndarray, template: np.ndarray, low: int, high: int, percent: int) -> Iterator[tuple[int, int, int]]:

@@ -10,9 +10,10 @@ block digest and payload digest (SHA-1, SHA-256, SHA-512 or MD5, in hex or base3
 checked). After a failed check it searches for the next gzip member or version line from which a whole record can be read, goes
 on there, and returns the bytes in between as a quarantined gap with the reason. Inside a member it does the same over the
 decompressed bytes, those before a cut or a gzip error too; such a gap names them and has the member's place. From a member with
-a gzip error come only records with a good block digest that aren't all of it, as no digest covers headers.
+a gzip error come all records with a good block digest, and no others; as no digest covers headers, they are marked.
 
-The search goes forward once, for members and version lines together, through a window of its own. A member is decompressed
+The search goes forward once, for members and version lines together, through a window of its own that is read again only
+where it ends, so salvage reads at most three times the file's bytes, however many members are damaged. A member is decompressed
 once if it has at most ``HOLD`` bytes, else a second time for its records, so readers hold a window or two and one record (or
 what its header claims to be one, as far as its member or file goes), never a whole archive.
 
@@ -130,11 +131,15 @@ class Source:
     def find(self, offset: int, lines_from: int) -> int:
         """Where the next member, or the next version line from ``lines_from`` on, may begin; the size if nowhere."""
         while offset < self.size:
-            part = self.read(offset, WINDOW, search=True)
-            for m in _START.finditer(part):
-                if m[0][0] == 0x1F or offset + m.start() >= lines_from:
-                    return offset + m.start()
-            offset += max(1, len(part) - _LONGEST_START + 1) if offset + len(part) < self.size else len(part)
+            at, data = self.held[True]
+            end = at + len(data)
+            if not at <= offset < end or (offset + _LONGEST_START > end and end < self.size):
+                self.read(offset, min(WINDOW, self.size - offset), search=True)
+                continue
+            for m in _START.finditer(data, offset - at):
+                if m[0][0] == 0x1F or at + m.start() >= lines_from:
+                    return at + m.start()
+            offset = end if end == self.size else max(offset + 1, end - _LONGEST_START + 1)
         return self.size
 
 
@@ -285,8 +290,8 @@ def _inside(r: Held | Inflated, offset: int, end: int, doubtful: bool) -> Iterat
             told = one.headers.get("warc-block-digest", "")
             if doubtful and _digest_of(told, b"") is None:
                 raise Damaged("no block digest in a damaged member")
-            if doubtful and not at and stop == r.size:
-                raise Damaged("the only record of a damaged member")
+            if doubtful:
+                one.unchecked = ", ".join(filter(None, (one.unchecked, "headers, of a damaged member")))
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
