@@ -113,7 +113,9 @@ def collapse_relations(relations: DataFrame) -> DataFrame:
 
     The direction with more edges wins, then with more distinct evidence, then lo to hi; in it the type with more edges,
     more evidence, the smaller name; of its edges the smallest id survives with all their evidence and the most strength.
-    What loses is archived by (type, direction). Pairs with one edge stay as they are, with an empty archive.
+    What loses is archived by (type, direction). Pairs with one edge stay as they are, with an empty archive. Edges that bring an
+    ``archive`` of an earlier run hand it on, whichever of them survives: entries of equal (type, direction) become one, with the sum of
+    their edges and all their evidence. Collapsing again what was collapsed changes nothing.
     """
     ends = relations.withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")}).withColumn("fwd", F.col("source") == F.col("lo"))
     kinds = _by_kind(ends, F.min("id").alias("id"))
@@ -124,7 +126,20 @@ def collapse_relations(relations: DataFrame) -> DataFrame:
     lost = F.when(F.col("place") > 1, F.struct("type", F.when(F.col("win"), "as_is").otherwise("reversed").alias("direction"), "evidence", F.col("n").alias("edges")))
     first = lambda c: F.max(F.when(F.col("place") == 1, F.col(c)))
     out = ranked.groupBy("lo", "hi").agg(*[first(c).alias(c) for c in ("id", "fwd", "type", "strength", "evidence")], F.sum("n").alias("edges"), F.sort_array(F.collect_list(lost)).alias("archive"))
-    return out.select("lo", "hi", "id", F.when(F.col("fwd"), F.col("lo")).otherwise(F.col("hi")).alias("source"), F.when(F.col("fwd"), F.col("hi")).otherwise(F.col("lo")).alias("target"), "type", "strength", "evidence", "edges", "archive")
+    out = out.select("lo", "hi", "id", F.when(F.col("fwd"), F.col("lo")).otherwise(F.col("hi")).alias("source"), F.when(F.col("fwd"), F.col("hi")).otherwise(F.col("lo")).alias("target"), "type", "strength", "evidence", "edges", "archive")
+    return _with_earlier(out, ends) if "archive" in relations.columns else out
+
+
+def _with_earlier(collapsed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``collapsed`` with the archives of ``edges`` merged into its own. Entries meet one a row, and evidence a chunk a row."""
+    own = collapsed.select("lo", "hi", F.inline("archive"))
+    each = own.unionByName(edges.select("lo", "hi", F.inline("archive")).select(*own.columns))
+    counts = each.groupBy("lo", "hi", "type", "direction").agg(F.sum("edges").alias("edges"))
+    chunks = each.select("lo", "hi", "type", "direction", F.explode("evidence").alias("chunk_id")).groupBy("lo", "hi", "type", "direction").agg(F.sort_array(F.collect_set("chunk_id")).alias("evidence"))
+    met = counts.join(chunks, ["lo", "hi", "type", "direction"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    merged = met.groupBy("lo", "hi").agg(F.sort_array(F.collect_list(F.struct("type", "direction", "evidence", "edges"))).alias("merged"))
+    empty = F.array().cast(collapsed.schema["archive"].dataType)
+    return collapsed.join(merged, ["lo", "hi"], "left").withColumn("archive", F.coalesce("merged", empty)).select(*collapsed.columns)
 
 
 def pair_stats(relations: DataFrame) -> DataFrame:

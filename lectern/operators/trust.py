@@ -159,3 +159,44 @@ def is_raster_scan(pages: Column, chars: Column, raster_pages: Column, bytes_: C
 def trust_level(folio: Column, label: Column, sane: Column) -> Column:
     """Struct (label, source) by priority: verified folio, sane label, else the physical page only."""
     return F.when(folio.isNotNull(), F.struct(folio.cast("string").alias("label"), F.lit("folio_verified").alias("source"))).when(sane & label.isNotNull(), F.struct(label.alias("label"), F.lit("pdf_label_sane").alias("source"))).otherwise(F.struct(F.lit(None).cast("string").alias("label"), F.lit("physical_only").alias("source")))
+
+
+def chapter_restarts(sections: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc, start, ordinal) of the chapters of books that count pages by chapter: all or nothing a book.
+
+    ``sections``: doc, start, value (the first number) of label sections in plain numbers; ``candidates``: doc, page, value. A book counts by
+    chapter if it has two sections, at least one run of printed numbers lies within a section and has its numbers, and none contradicts:
+    by other numbers, by crossing into the next section, or by leading from the front matter into the first. Runs before the first
+    section say nothing. Books without a verdict are left out, and their numbers count through the book.
+    """
+    runs = folio_runs(candidates).groupBy("doc", "run").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.min_by("value", "page").alias("told"))
+    trees = sections.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "value"))).alias("tree")).filter(F.size("tree") >= 2)
+    begun = F.size(F.filter("tree", lambda s: s["start"] <= F.col("first")))
+    own, following = F.get(F.col("tree"), begun - 1), F.get(F.col("tree"), begun)
+    crosses = F.coalesce(F.col("last") >= following["start"], F.lit(False))
+    wrong = crosses | ((begun > 0) & (F.col("told") != own["value"] + F.col("first") - own["start"]))
+    judged = runs.join(trees, "doc").select("doc", "tree", wrong.alias("wrong"), ((begun > 0) & ~wrong).alias("right"))
+    sure = judged.groupBy("doc").agg(F.bool_or("wrong").alias("wrong"), F.bool_or("right").alias("right"), F.first("tree").alias("tree")).filter("right AND NOT wrong")
+    return sure.select("doc", F.posexplode("tree").alias("at", "s")).select("doc", "s.start", (F.col("at") + 1).alias("ordinal"))
+
+
+def build_page_trust(pages: DataFrame, labels: DataFrame, candidates: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc, page, label, source, chapter) of every page. ``pages``: doc, page, has_text; ``labels``: doc, page, label, tier; the others as in ``chapter_restarts``.
+
+    A verified printed number comes first, then a label, if the book's labels are sane and more than half of its pages have one of
+    the publisher (tier 1), else the physical page, counted from 1. Pages without text and number are blind. ``chapter`` is
+    null before the first chapter and in books that don't count by chapter.
+    """
+    counts = pages.groupBy("doc").agg(F.count("*").alias("page_count"))
+    published = labels.groupBy("doc").agg(F.count_if((F.col("tier") == 1) & (F.trim("label") != "")).alias("published"))
+    enough = counts.join(published, "doc").filter(F.col("published") * 2 > F.col("page_count")).select("doc")
+    sane = label_sanity(labels.select("doc", "page", "label"), counts).filter("trust = 'pdf_label_sane'").join(enough, "doc", "left_semi").select("doc", F.lit(True).alias("sane"))
+    chapters = chapter_restarts(sections, candidates)
+    folio = verified_folios(candidates, chapters).select("doc", "page", F.col("value").alias("folio"))
+    starts = chapters.groupBy("doc").agg(F.collect_list("start").alias("starts"))
+    met = pages.join(folio, ["doc", "page"], "left").join(labels.select("doc", "page", F.col("label").alias("told")), ["doc", "page"], "left").join(sane, "doc", "left").join(starts, "doc", "left")
+    physical = (F.col("page") + 1).cast("string")
+    source = F.when(F.col("folio").isNotNull(), "folio_verified").when(~F.col("has_text"), "blind").when(F.col("sane") & F.col("told").isNotNull(), "pdf_label_sane").otherwise("physical_only")
+    label = F.when(F.col("folio").isNotNull(), F.col("folio").cast("string")).when(source == "pdf_label_sane", F.col("told")).otherwise(physical)
+    chapter = F.nullif(F.size(F.filter("starts", lambda s: s <= F.col("page"))), F.lit(0))
+    return met.select("doc", "page", label.alias("label"), source.alias("source"), chapter.alias("chapter"))

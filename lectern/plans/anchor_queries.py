@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import quotes
+from lectern.operators import quotes, trust
 from lectern.plans.registry import LINES, lines, query
 
 
@@ -68,3 +68,46 @@ SELECT q.doc AS doc_id, page, step::INT AS step, proven, core::INT AS core, core
 def quote_pages(spark, sf_dir):
     """Where the altered quotes stand."""
     return quotes.locate_quotes(*_altered(spark, sf_dir)).withColumnRenamed("quote_id", "doc_id")
+
+
+def _books(spark, sf_dir):
+    """Documents as books of lines: (pages, labels, candidates, sections), by id in six ways of numbering and four of labelling."""
+    rows = lines(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("chunk_index").alias("page"), "text")
+    sizes = rows.groupBy("doc").agg(F.floor(F.count("*") / 3).cast("int").alias("third"))
+    b = rows.join(sizes, "doc").withColumns({"way": F.col("doc") % 6, "first": F.when(F.col("doc") % 6 == 5, 5).otherwise(1)})
+    page, third = F.col("page"), F.col("third")
+    by_chapter = F.when(page < third, page + 1).when(page < 2 * third, page - third + F.col("first")).otherwise(page - 2 * third + F.col("first"))
+    value = (
+        F.when((F.length("text") % 7 == 0) | (F.col("way") == 4), None).when(F.col("way") == 2, page - third + 1)
+        .when(F.col("way") == 1, by_chapter + F.when(page >= 2 * third, 1).otherwise(0)).otherwise(by_chapter)
+    )
+    kind = F.col("doc") % 4
+    labels = b.filter((kind != 2) | (page % 2 == 0)).select("doc", "page", F.when(kind == 3, "x").otherwise((page + 3).cast("string")).alias("label"), F.when(kind == 1, 2).otherwise(1).alias("tier"))
+    sections = b.filter((F.col("way") != 3) & (third >= 1) & ((page == third) | (page == 2 * third))).select("doc", page.alias("start"), F.col("first").alias("value"))
+    return b.select("doc", "page", (F.trim("text") != "").alias("has_text")), labels, b.select("doc", "page", value.alias("value")), sections
+
+
+@query(f"""WITH {LINES}, b0 AS (SELECT doc_id AS doc, chunk_index AS page, text, (count(*) OVER (PARTITION BY doc_id) // 3)::INT AS third FROM lines),
+b AS (SELECT *, CASE WHEN doc % 6 = 5 THEN 5 ELSE 1 END AS first, CASE WHEN page < third THEN page + 1 WHEN page < 2 * third THEN page - third + CASE WHEN doc % 6 = 5 THEN 5 ELSE 1 END ELSE page - 2 * third + CASE WHEN doc % 6 = 5 THEN 5 ELSE 1 END END AS byc FROM b0),
+c AS (SELECT doc, page, CASE WHEN length(text) % 7 = 0 OR doc % 6 = 4 THEN NULL WHEN doc % 6 = 2 THEN page - third + 1 WHEN doc % 6 = 1 THEN byc + (page >= 2 * third)::INT ELSE byc END AS value FROM b),
+l AS (SELECT doc, page, CASE WHEN doc % 4 = 3 THEN 'x' ELSE (page + 3)::VARCHAR END AS label, CASE WHEN doc % 4 = 1 THEN 2 ELSE 1 END AS tier FROM b WHERE doc % 4 <> 2 OR page % 2 = 0),
+s AS (SELECT doc, page AS start, first AS value, row_number() OVER (PARTITION BY doc ORDER BY page) AS ordinal, lead(page) OVER (PARTITION BY doc ORDER BY page) AS nxt, count(*) OVER (PARTITION BY doc) AS n FROM b WHERE doc % 6 <> 3 AND third >= 1 AND page IN (third, 2 * third)),
+v AS (SELECT * FROM c WHERE value IS NOT NULL),
+k AS (SELECT *, CASE WHEN page = lag(page) OVER w + 1 AND value = lag(value) OVER w + 1 THEN 0 ELSE 1 END AS brk FROM v WINDOW w AS (PARTITION BY doc ORDER BY page)),
+g AS (SELECT doc, page, value, sum(brk) OVER (PARTITION BY doc ORDER BY page) AS run FROM k),
+r AS (SELECT *, count(*) OVER (PARTITION BY doc, run) AS n FROM g QUALIFY n >= 3),
+h AS (SELECT doc, run, min(page) AS first, max(page) AS last, min(value) AS told FROM r GROUP BY doc, run),
+j AS (SELECT h.*, o.start, o.value, o.nxt, (SELECT min(start) FROM s WHERE s.doc = h.doc) AS head FROM h LEFT JOIN s o ON o.doc = h.doc AND o.start <= h.first AND (o.nxt IS NULL OR o.nxt > h.first) WHERE h.doc IN (SELECT doc FROM s WHERE n >= 2)),
+w AS (SELECT doc, CASE WHEN start IS NULL THEN last >= head ELSE coalesce(last >= nxt, false) OR told <> value + first - start END AS wrong, start IS NOT NULL AS placed FROM j),
+ch AS (SELECT doc FROM w GROUP BY doc HAVING NOT bool_or(wrong) AND bool_or(placed)),
+z AS (SELECT r.*, coalesce((SELECT max(ordinal) FROM s WHERE s.doc = h.doc AND s.start <= h.first AND s.doc IN (SELECT doc FROM ch)), 0) AS chapter FROM r JOIN h USING (doc, run)),
+f AS (SELECT doc, page, value FROM (SELECT *, max(n) OVER (PARTITION BY doc, chapter, value) AS most FROM z) WHERE n = most QUALIFY count(*) OVER (PARTITION BY doc, chapter, value) = 1),
+t AS (SELECT b.doc, count(*) AS pages, count(l.label) AS told, count(DISTINCT l.label) AS uniq, count(*) FILTER (l.tier = 1) AS published FROM b LEFT JOIN l ON l.doc = b.doc AND l.page = b.page GROUP BY b.doc),
+ok AS (SELECT doc FROM t WHERE uniq >= told * 0.8 AND told >= pages * 0.5 AND told > 0 AND published * 2 > pages)
+SELECT b.doc AS doc_id, b.page, CASE WHEN f.value IS NOT NULL THEN f.value::VARCHAR WHEN trim(text) = '' THEN (b.page + 1)::VARCHAR WHEN ok.doc IS NOT NULL AND l.label IS NOT NULL THEN l.label ELSE (b.page + 1)::VARCHAR END AS label,
+CASE WHEN f.value IS NOT NULL THEN 'folio_verified' WHEN trim(text) = '' THEN 'blind' WHEN ok.doc IS NOT NULL AND l.label IS NOT NULL THEN 'pdf_label_sane' ELSE 'physical_only' END AS source,
+CASE WHEN b.doc IN (SELECT doc FROM ch) THEN nullif((SELECT count(*) FROM s WHERE s.doc = b.doc AND s.start <= b.page), 0) END::INT AS chapter
+FROM b LEFT JOIN f ON f.doc = b.doc AND f.page = b.page LEFT JOIN l ON l.doc = b.doc AND l.page = b.page LEFT JOIN ok ON ok.doc = b.doc""")
+def page_trust_build(spark, sf_dir):
+    """Every line's label and its source, with chapters that the printed numbers confirm."""
+    return trust.build_page_trust(*_books(spark, sf_dir)).withColumnRenamed("doc", "doc_id")

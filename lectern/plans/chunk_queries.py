@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lectern.operators import chunk, extract
 from lectern.plans.library_queries import outbox_latest
 from lectern.plans.registry import LINES, ORACLES, query, table
-from lectern.streaming import outbox
+from lectern.streaming import bucket_index
 
 
 def _docs(spark, sf_dir):
@@ -55,10 +52,22 @@ def sentence_counts(spark, sf_dir):
 @query(ORACLES["outbox_latest"])
 def outbox_stream(spark, sf_dir):
     """The outbox drained by a stream gives what the batch gives."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-    run = f"{base.rstrip('/')}/outbox-{uuid.uuid4().hex}"
+    run = bucket_index.shared_dir(spark, "outbox")
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
-    index = outbox.Index(spark, f"{run}/index")
-    outbox.drain(events.withColumn("op", F.lit("upsert")), index, "user_id", ["ts", "event_id"], f"{run}/checkpoint").awaitTermination()
+    index = bucket_index.BucketIndex(spark, f"{run}/index", "user_id", ["ts", "event_id"], 32)
+    bucket_index.drain(events.withColumn("op", F.lit("upsert")), index, f"{run}/checkpoint").awaitTermination()
     return index.read().select(outbox_latest(spark, sf_dir).columns)
+
+
+@query("""WITH b AS (SELECT *, event_id % 3 AS batch, CASE WHEN event_id % 11 = 0 THEN 'delete' WHEN event_id % 7 = 0 THEN 'skip' ELSE 'upsert' END AS op FROM events)
+SELECT user_id, event_id, event_type, value FROM (SELECT * FROM b WHERE op <> 'skip' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch DESC, ts DESC, event_id DESC) = 1) WHERE op = 'upsert'""")
+def bucketed_index(spark, sf_dir):
+    """Three batches with deletes and skips, the last one run twice; what no manifest names is removed."""
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_id") % 11 == 0, "delete").when(F.col("event_id") % 7 == 0, "skip").otherwise("upsert")
+    index = bucket_index.BucketIndex(spark, bucket_index.shared_dir(spark, "index"), "user_id", ["ts", "event_id"], 32)
+    for n in (0, 1, 2, 2):
+        index.apply(e.filter(F.col("event_id") % 3 == n).withColumn("op", op), n)
+    index.clean(1)
+    return index.read().select("user_id", "event_id", "event_type", "value")

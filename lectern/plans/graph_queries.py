@@ -189,6 +189,37 @@ def relation_collapse(spark, sf_dir):
     return out.select("lo", "hi", "id", "type", (F.col("source") == F.col("lo")).alias("forward"), "evidence", "edges", F.size("archive").cast("long").alias("archived"))
 
 
+def _collapse(k: int, edges: str) -> str:
+    """One collapse as SQL: rk{k}, the kinds of the edges' pairs with their place."""
+    return f"""u{k} AS (SELECT lo, hi, source = lo AS fwd, type, unnest(evidence) AS chunk FROM {edges}),
+k{k} AS (SELECT lo, hi, source = lo AS fwd, type, count(*) AS n FROM {edges} GROUP BY ALL),
+ke{k} AS (SELECT lo, hi, fwd, type, list_sort(list(DISTINCT chunk)) AS evidence FROM u{k} GROUP BY ALL),
+sd{k} AS (SELECT lo, hi, fwd, sum(n) AS sn FROM k{k} GROUP BY ALL), se{k} AS (SELECT lo, hi, fwd, count(DISTINCT chunk) AS ne FROM u{k} GROUP BY ALL),
+w{k} AS (SELECT lo, hi, fwd, row_number() OVER (PARTITION BY lo, hi ORDER BY sn DESC, ne DESC, fwd DESC) = 1 AS win FROM sd{k} JOIN se{k} USING (lo, hi, fwd)),
+rk{k} AS (SELECT *, row_number() OVER (PARTITION BY lo, hi ORDER BY win DESC, n DESC, len(evidence) DESC, type) AS place FROM k{k} JOIN ke{k} USING (lo, hi, fwd, type) JOIN w{k} USING (lo, hi, fwd))"""
+
+
+@query(f"""WITH {ROOTS}, one AS (SELECT * FROM edge WHERE split_part(evidence[1], ':', 1)::INT % 2 = 0), {_collapse(1, 'one')},
+two AS (SELECT lo, hi, CASE WHEN fwd THEN lo ELSE hi END AS source, type, evidence FROM rk1 WHERE place = 1
+        UNION ALL SELECT lo, hi, source, type, evidence FROM edge WHERE split_part(evidence[1], ':', 1)::INT % 2 = 1), {_collapse(2, 'two')},
+lost AS (SELECT lo, hi, type, CASE WHEN win THEN 'as_is' ELSE 'reversed' END AS direction, n, evidence FROM rk1 WHERE place > 1
+         UNION ALL SELECT lo, hi, type, CASE WHEN win THEN 'as_is' ELSE 'reversed' END, n, evidence FROM rk2 WHERE place > 1),
+lc AS (SELECT lo, hi, type, direction, list_sort(list(DISTINCT chunk)) AS evidence FROM (SELECT lo, hi, type, direction, unnest(evidence) AS chunk FROM lost) GROUP BY ALL)
+SELECT lo, hi, type, direction, sum(n)::BIGINT AS edges, any_value(lc.evidence) AS evidence FROM lost JOIN lc USING (lo, hi, type, direction) GROUP BY lo, hi, type, direction
+UNION ALL SELECT lo, hi, type, 'kept', 1, evidence FROM rk2 WHERE place = 1""")
+def archive_merge(spark, sf_dir):
+    """Relations collapsed, then again with those of further documents: the second run keeps the first one's archive."""
+    e, _, r, _ = _model(spark, sf_dir)
+    edges = graph.repoint(r, e.select("id", F.coalesce("alias_of", "id").alias("survivor")))
+    edges = edges.withColumn("id", F.concat(F.col("source"), F.lit(">"), F.col("target"), F.lit(":"), F.col("type"), F.lit(":"), F.col("evidence")[0]))
+    odd = F.split(F.col("evidence")[0], ":")[0].cast("int") % 2 == 1
+    first = graph.collapse_relations(edges.filter(~odd)).select(*edges.columns, "archive")
+    further = edges.filter(odd).withColumn("archive", F.array().cast(first.schema["archive"].dataType))
+    out = graph.collapse_relations(first.unionByName(further))
+    kept = out.select("lo", "hi", "type", F.lit("kept").alias("direction"), F.lit(1).cast("long").alias("edges"), "evidence")
+    return out.select("lo", "hi", F.inline("archive")).select(*kept.columns).unionByName(kept)
+
+
 @query(f"WITH {ROOTS}, p AS (SELECT lo, hi, count(*) AS n FROM edge GROUP BY lo, hi) SELECT sum(n)::BIGINT AS edges, count(*) AS pairs, count(*) FILTER (n > 1) AS multi_pairs FROM p")
 def multi_edge_stats(spark, sf_dir):
     e, _, r, _ = _model(spark, sf_dir)
