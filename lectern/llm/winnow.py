@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from lectern.llm.common import named, small_table
+from lectern.llm.common import named
 from lectern.llm.wordhash import mix
 
 K, WINDOW = 12, 48
@@ -120,8 +121,8 @@ def postings(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return found.select(key, F.inline(F.arrays_zip("gram_hashes", "gram_positions"))).toDF(key, "hash", "position")
 
 
-#: Buckets a shuffle partition, and at most in all: so many numbers travel through the driver.
-BUCKETS_EACH, MOST_BUCKETS = 2, 4096
+#: Buckets a shuffle partition, and at most in all: their bounds, as many numbers, are part of the plan, and their first rows are broadcast.
+BUCKETS_EACH, MOST_BUCKETS = 2, 1 << 16
 
 
 def _place(bounds: list[int], key: Column, spread: Column) -> Column:
@@ -151,9 +152,10 @@ def with_successor_order(df: DataFrame, key: str, text: str) -> DataFrame:
     share = F.array(*[F.lit(i / count) for i in range(1, count)])
     bounds = rows.agg(F.percentile_approx(F.coalesce("id", F.lit(-(1 << 63))), share, F.lit(10 * count))).first()[0]
     placed = rows.select("*", *ordered).withColumn("bucket", _place(sorted(bounds or []), F.col("k"), F.col("h")))
-    firsts = placed.groupBy("bucket").agg(F.min(F.struct("k", "h")).alias("first")).orderBy("bucket").collect()  # at most ``count``
-    before = [(r["first"]["k"], r["first"]["h"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
-    lead = F.broadcast(small_table(spark, before, "first_k long, first_h long, into int"))
+    firsts = placed.groupBy("bucket").agg(F.min(F.struct("k", "h")).alias("first"))  # at most ``count`` rows
+    every = W.orderBy("bucket")
+    before = F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    lead = F.broadcast(firsts.select(F.col("first.k").alias("first_k"), F.col("first.h").alias("first_h"), before.alias("into")))
     met = placed.join(lead, (F.col("k") == F.col("first_k")) & (F.col("h") == F.col("first_h")), "left")
     own, extra = F.struct(F.col("bucket"), F.lit(False).alias("extra")), F.struct(F.col("into").alias("bucket"), F.lit(True).alias("extra"))
     dealt = met.select("id", "body", "k", "h", F.inline(F.when(F.col("into").isNull(), F.array(own)).otherwise(F.array(own, extra))))
