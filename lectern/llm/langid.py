@@ -8,8 +8,10 @@ array operations, longest pieces included; words of any length are summed whole,
 The model is fitted on a bounded sample (``sample_per_language`` expected rows a language, by a hash of the id); everything
 else sees all rows and whole texts. Only text is scored.
 
-Null text, empty text and text without a letter give ``und`` and score 0. Ties between languages go to the first in
-alphabetical order. With no labelled row every text is ``und``. Repeated rows get equal results; other columns stay.
+Work arrays have a bounded number of cells whatever the number of labels and the length of a text; the model itself has a number a
+piece and label. Null text, empty text and text without a letter give ``und`` and score 0. Ties between languages go to the first in
+alphabetical order. With no labelled row every text is ``und``. Very long texts and words are scored whole; an empty table to fit or
+to predict gives an empty model or result. Repeated rows get equal results; other columns stay.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words are scored together up to about so many characters, and a longer word in windows of so many; nothing is cut.
-GROUP_CHARS = 1 << 17
+#: Words are scored together up to about so many characters, and a longer word in windows of so many; nothing is cut. Above
+#: FEW languages a group has fewer characters, so that its arrays stay as large.
+GROUP_CHARS, FEW = 1 << 17, 4
 SAMPLE_PER_LANGUAGE = 1500
-#: More labels than this are no languages; the model and the sampling rates stay small.
-MOST_LANGUAGES = 1000
+#: Texts whose words are scored together.
+TEXTS = 500
 SMOOTHING = 0.1
 MARK = "▁"
 
@@ -118,23 +121,30 @@ class Scorer:
             out[live[same]] = self.model.rows[slot[same]]
         return out
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """log P(word | language), [word, language]: forward sums over all segmentations of whole words, however long."""
-        out = np.zeros((len(words), len(self.model.languages)))
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        group, held = [], 0
-        for i in order:
-            if group and held + len(words[i]) > GROUP_CHARS:
-                out[group] = self._forward([words[k] for k in group])
+    def _group_chars(self) -> int:
+        return max(1, GROUP_CHARS * FEW // max(FEW, len(self.model.languages)))
+
+    def _groups(self, words: list[str]) -> Iterator[list[int]]:
+        """Places of words that are scored together, long words first."""
+        group, held, most = [], 0, self._group_chars()
+        for i in sorted(range(len(words)), key=lambda i: -len(words[i])):
+            if group and held + len(words[i]) > most:
+                yield group
                 group, held = [], 0
             group.append(i)
             held += len(words[i])
         if group:
+            yield group
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """log P(word | language), [word, language]: forward sums over all segmentations of whole words, however long."""
+        out = np.zeros((len(words), len(self.model.languages)))
+        for group in self._groups(words):
             out[group] = self._forward([words[i] for i in group])
         return out
 
     def _pieces(self, parts: list[str], low: int) -> tuple[np.ndarray, ...]:
-        """(end, length, word, row) of each piece in ``parts``, by end; ends at or before ``low`` are left out."""
+        """(end, length, word, row) of each piece in ``parts``, by end, then word; ends at or before ``low`` are left out."""
         chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(p) for p in parts], np.int64)
         word = np.repeat(np.arange(len(parts)), sizes)
@@ -151,25 +161,29 @@ class Scorer:
             hit = np.flatnonzero((rows >= 0) & (place[live] + n > low))
             found.append((place[live[hit]] + n, np.full(len(hit), n), word[live[hit]], rows[hit]))
         columns = [np.concatenate([f[k] for f in found]) for k in range(4)] if found else [np.zeros(0, np.int64)] * 4
-        order = np.argsort(columns[0], kind="stable")
+        order = np.lexsort((columns[2], columns[0]))
         return tuple(c[order] for c in columns)
 
     def _forward(self, words: list[str]) -> np.ndarray:
         """``words`` from long to short. Only as many rows of the sums are kept as a piece is long; characters come in windows."""
-        m, ring = self.model, self.model.longest + 1
+        m, ring, window = self.model, self.model.longest + 1, self._group_chars()
         sizes = np.array([len(w) for w in words])
         alpha = np.zeros((ring, len(words), len(m.languages)))
         alpha[0] = 1.0
         scale, out, active = np.zeros(alpha.shape[1:]), np.zeros(alpha.shape[1:]), len(words)
-        for low in range(0, int(sizes[0]), GROUP_CHARS):
-            high = min(int(sizes[0]), low + GROUP_CHARS)
+        for low in range(0, int(sizes[0]), window):
+            high = min(int(sizes[0]), low + window)
             back = max(0, low - m.longest + 1)
             ends, lengths, word, rows = self._pieces([w[back:high] for w in words[:active]], low - back)
             bounds = np.searchsorted(ends, np.arange(low - back + 1, high - back + 2))
+            firsts = np.flatnonzero(np.append(True, (ends[1:] != ends[:-1]) | (word[1:] != word[:-1]))) if len(ends) else np.zeros(0, np.int64)
+            runs = np.searchsorted(firsts, bounds)  # the pieces of one end and word are one run
             for t in range(low + 1, high + 1):
                 a, z = bounds[t - low - 1], bounds[t - low]
                 new = alpha[(t - 1) % ring, :active] * m.unknown
-                np.add.at(new, word[a:z], alpha[(t - lengths[a:z]) % ring, word[a:z]] * m.table[rows[a:z]])
+                if z > a:
+                    own = firsts[runs[t - low - 1] : runs[t - low]]
+                    new[word[own]] += np.add.reduceat(alpha[(t - lengths[a:z]) % ring, word[a:z]] * m.table[rows[a:z]], own - a, axis=0)
                 alpha[t % ring, :active] = new
                 if t % 16 == 0:  # keep the numbers in range
                     scale[:active] += np.log(new)
@@ -194,11 +208,18 @@ class Scorer:
             bounds.append(bounds[-1] + len(words))
         total = np.zeros((len(texts), len(m.languages)))
         if index and m.languages:
-            logs = self.words([MARK + w for w in index])
-            flat = np.concatenate(spans)
-            sums = np.zeros((len(flat) + 1, len(m.languages)))
-            np.cumsum(logs[flat], axis=0, out=sums[1:])
-            total = sums[bounds[1:]] - sums[bounds[:-1]]
+            words = [MARK + w for w in index]
+            flat, owner = np.concatenate(spans), np.repeat(np.arange(len(texts)), np.diff(bounds))
+            cells, counts = np.unique(flat * len(texts) + owner, return_counts=True)  # by word, then text
+            word_of, text_of = cells // len(texts), cells % len(texts)
+            for group in self._groups(words):  # a group's logarithms are added before the next group's are made
+                logs, own = self._forward([words[i] for i in group]), np.array(group)
+                low, high = np.searchsorted(word_of, own), np.searchsorted(word_of, own, "right")
+                each = high - low
+                at = np.repeat(high - np.cumsum(each), each) + np.arange(each.sum())
+                row = np.repeat(np.arange(len(own)), each)
+                for k in range(len(m.languages)):
+                    total[:, k] += np.bincount(text_of[at], logs[row, k] * counts[at], len(texts))
         names, scores = [], np.zeros(len(texts))
         for i, text in enumerate(texts):
             if not m.languages or not text or not any(map(str.isalpha, text)):
@@ -220,12 +241,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     """
     path = path or vocabulary_path()
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("string").alias("lang"), F.col(key).cast("string").alias("id")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().take(MOST_LANGUAGES + 1)}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labels")
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, sample_per_language / n)]), F.col("lang")) if sizes else F.lit(1.0)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "of")
     uniform = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.filter(uniform < share).select("lang", "text")
+    # a row a label: small beside the model, which has a number a label and piece
+    sample = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).filter(uniform * F.col("n") < sample_per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(path)
@@ -243,9 +262,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     pieces = read_pieces(path)
     languages = sorted(counted["lang"].unique())
     counts = np.zeros((len(pieces), len(languages)))
-    for k, lang in enumerate(languages):
-        own = counted[counted["lang"] == lang]
-        counts[own["piece"].to_numpy(), k] = own["n"].to_numpy()
+    counts[counted["piece"].to_numpy(np.int64), np.searchsorted(np.array(languages, object), counted["lang"].to_numpy(object))] = counted["n"].to_numpy()
     return build(pieces, languages, counts)
 
 
@@ -259,8 +276,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                b = whole.slice(a, 500)
+            for a in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(a, TEXTS)
                 found, scores = scorer.batch(b.column(at).to_pylist())
                 yield pa.record_batch([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
 
