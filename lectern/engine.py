@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import frontmatter
 from lectern.functions.text import alias_stem
 from lectern.operators import graph, locate, search
+from lectern.operators.model_store import ModelStore
 
 
 class Engine:
     """Tables by name: chunks (chunk_id, document_id, attachment_id, chunk_index, text, snapshot_id, active), entities, mentions, relations, and vectors (chunk_id, vector) for dense search."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
-        self.tables = tables
+    def __init__(self, tables: dict[str, DataFrame], store: ModelStore | None = None):
+        """``store``: where the graph's read model is kept; without one it is computed at each call."""
+        self.tables, self.store = tables, store
 
     def _active_chunks(self) -> DataFrame:
         return self.tables["chunks"].filter("active")
@@ -51,11 +54,19 @@ class Engine:
         return graph.bind_aliases(exact.filter("alias_of IS NULL"), self.tables["mentions"], alias_stem(F.col("form"))).unionByName(exact.filter("alias_of IS NOT NULL"))
 
     def roots(self) -> DataFrame:
-        return graph.roots(self.tables["entities"], self.tables["mentions"])
+        held = self.store.read("roots") if self.store else None
+        return held if held is not None else graph.roots(self.tables["entities"], self.tables["mentions"])
+
+    def _evidence_chunks(self) -> DataFrame:
+        return self._active_chunks().select("chunk_id", F.col("document_id").alias("doc_id"), (~frontmatter.is_front_matter(F.col("text"))).alias("body"))
 
     def model(self) -> DataFrame:
-        chunks = self._active_chunks().select("chunk_id", F.col("document_id").alias("doc_id"), F.lit(True).alias("body"))
-        return graph.read_model(self.tables["entities"], self.tables["relations"], chunks)
+        held = self.store.read("triples") if self.store else None
+        return held if held is not None else graph.read_model(self.tables["entities"], self.tables["relations"], self._evidence_chunks())
+
+    def refresh_model(self, changed: DataFrame | None = None) -> int:
+        """Bring the stored read model up to date with the tables; ``changed``: id of entities that differ, all if not given."""
+        return self.store.refresh(self.tables["entities"], self.tables["mentions"], self.tables["relations"], self._evidence_chunks(), changed)
 
     def kg_entities(self, queries: DataFrame, **limits) -> DataFrame:
         return graph.search_entities(self.roots(), queries, **limits)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import chunk, extract
 from lectern.plans.library_queries import outbox_latest
 from lectern.plans.registry import LINES, ORACLES, query, table
-from lectern.streaming import bucket_index
+from lectern.streaming import bucket_index, debounce
 
 
 def _docs(spark, sf_dir):
@@ -71,3 +71,18 @@ def bucketed_index(spark, sf_dir):
         index.apply(e.filter(F.col("event_id") % 3 == n).withColumn("op", op), n)
     index.clean(1)
     return index.read().select("user_id", "event_id", "event_type", "value")
+
+
+@query("""WITH e AS (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT event_type, ts, sum(brk) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+b AS (SELECT event_type, min(ts) AS first, max(ts) + INTERVAL 30 MINUTE AS until, count(*) AS events FROM s GROUP BY event_type, k)
+SELECT event_type, strftime(first, '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(until, '%Y-%m-%d %H:%M:%S.%f') AS until, events FROM b WHERE until <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY FROM events)""")
+def debounced_runs(spark, sf_dir):
+    """Bursts of events of a type, each run once when it has been quiet for half an hour; the stream is started twice."""
+    run = bucket_index.shared_dir(spark, "debounce")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*").withColumn("ts", F.col("ts").cast("timestamp"))
+    held = debounce.Debounced(spark, f"{run}/ledger", lambda closed: None)
+    for _ in range(2):
+        held.start(events, "ts", "event_type", "30 minutes", "2 days", f"{run}/checkpoint").awaitTermination()
+    told = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return held.runs().select("event_type", told("first"), told("until"), "events")

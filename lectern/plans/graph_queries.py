@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import alias_stem as stem
 from lectern.operators import extract, graph
+from lectern.operators.model_store import ModelStore
 from lectern.plans.registry import LINES, lines, query, table
 from lectern.plans.text_queries import _suffix
+from lectern.streaming import bucket_index
 
 BASE = f"""
 {LINES},
@@ -142,6 +144,33 @@ def kg_evidence_docs(spark, sf_dir):
     return graph.evidence_docs(graph.triples(e, r), c).select("lo", "hi", "type", "doc_id", "n")
 
 
+@query(f"WITH {ROOTS} SELECT source, target, tri.type, rows, docs, confidence, a.mentions AS source_mentions, b.mentions AS target_mentions, a.members AS source_members FROM tri JOIN roots a ON a.root = source JOIN roots b ON b.root = target")
+def kg_model_refresh(spark, sf_dir):
+    """The stored model of nine tenths of the documents, refreshed by the entities that the last tenth adds or binds anew: a rebuild's rows."""
+    folder = bucket_index.shared_dir(spark, "model")
+
+    def kept(name, df):
+        df.write.parquet(f"{folder}/tables/{name}")
+        return spark.read.parquet(f"{folder}/tables/{name}")
+
+    e, m, r = (kept(n, df) for n, df in zip("emr", _tables(spark, sf_dir), strict=True))
+    chunks = lines(spark, sf_dir).select("chunk_id", "doc_id", F.lit(True).alias("body"))
+    early = e.filter("doc_id % 10 <> 0")
+    own = lambda df, c: df.filter(F.split(c, ":")[0].cast("long") % 10 != 0)
+    before = kept("before", graph.bind_aliases(early, own(m, "entity_id"), F.col("form")))
+    after = kept("after", graph.bind_aliases(e, m, F.col("form")))
+    store = ModelStore(spark, folder, 8)
+    store.refresh(before, own(m, "entity_id"), own(r, "source"), chunks)
+    same = F.col("alias_of").eqNullSafe(F.col("was"))
+    changed = after.join(before.select("id", F.col("alias_of").alias("was"), F.lit(True).alias("known")), "id", "left").filter(F.col("known").isNull() | ~same).select("id")
+    store.refresh(after, m, r, chunks, changed)
+    roots = store.read("roots").select("root", "mentions", "members")
+    a = roots.select(F.col("root").alias("source"), F.col("mentions").alias("source_mentions"), F.col("members").alias("source_members"))
+    b = roots.select(F.col("root").alias("target"), F.col("mentions").alias("target_mentions"))
+    out = store.read("triples").join(a, "source").join(b, "target").withColumn("confidence", F.round("confidence", 6))
+    return out.select("source", "target", "type", "rows", "docs", "confidence", "source_mentions", "target_mentions", "source_members")
+
+
 @query(f"""WITH {ROOTS} SELECT tri.source, tri.target, tri.type, docs, a.mentions + b.mentions AS mentions, confidence FROM tri JOIN roots a ON a.root = tri.source JOIN roots b ON b.root = tri.target
 WHERE a.mentions >= 2 AND b.mentions >= 2 ORDER BY docs DESC, a.mentions + b.mentions DESC, confidence DESC, tri.source, tri.target, tri.type LIMIT 100""")
 def kg_relations_browse(spark, sf_dir):

@@ -54,9 +54,9 @@ class BucketIndex:
         paths = [f"{self.folder}/data/v={v}/bucket={b}" for b, v in sorted(held.items()) if v != GONE]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def read(self) -> DataFrame | None:
-        """All rows of the last committed version; None before the first and if nothing is left."""
-        return self._read(self.manifest())
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """All rows as of a committed version, the last one if none is named; None before the first and if nothing is left."""
+        return self._read(self.manifest(version))
 
     def apply(self, batch: DataFrame, n: int) -> None:
         """Apply ``batch`` (rows with ``op``: upsert, delete or skip) as version ``n``; versions that are there already stay as they are."""
