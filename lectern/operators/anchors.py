@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,8 +67,6 @@ def anchor_candidates(sentences: DataFrame, per_part: int = 5) -> DataFrame:
 
     ``sentences``: doc, page, seq, text (of prose pages).
     """
-    from pyspark.sql import Window as W
-
     once = sentences.withColumn("n", F.count("*").over(W.partitionBy("doc", "text"))).filter("n = 1").drop("n")
     part = F.ntile(3).over(W.partitionBy("doc").orderBy("page", "seq"))
     placed = once.withColumn("part", F.element_at(F.array(F.lit("front"), F.lit("middle"), F.lit("back")), part))
@@ -75,6 +74,65 @@ def anchor_candidates(sentences: DataFrame, per_part: int = 5) -> DataFrame:
     return placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_part)
 
 
+#: Sentences with one of these are no anchors, and none ends in such an abbreviation.
+BOILERPLATE = "(?i)creativecommons|unrestricted reuse|distribution, and reproduction|doi\\.org|https?://|copyright|open access|alle rechte|verlag|impressum|isbn|auflage|gedruckt auf|herstellung"
+ABBREVIATION_END = "(?:^|\\s)[a-zA-ZäöüÄÖÜ]{1,3}\\.$"
+SENTENCE_START = "^[A-ZÄÖÜ0-9]"
+POSITIONS = ("front", "middle", "back")
+SPACES = "[\\x20\\x09-\\x0D]+"
+
+
+def _sentence_facts(sentences: DataFrame, pages: DataFrame) -> DataFrame:
+    """``sentences`` that may be anchors, with words and ``strict``. Probes, the second to fifth and third to sixth word, meet the
+    hashed four-word windows of the document's pages in an equality join; a sentence with a probe on a second page is out."""
+    w = F.filter(F.split("text", SPACES), lambda x: x != "")
+    s = sentences.select("doc", "page", "seq", F.array_join(w, " ").alias("text"), w.alias("w"))
+    n = F.size("w")
+    s = s.filter((n >= 6) & (n <= 45) & ~F.col("text").rlike(BOILERPLATE) & ~F.col("text").rlike(ABBREVIATION_END))
+    window = lambda c, i: F.xxhash64(F.array_join(F.slice(c, i, 4), " "))
+    body = pages.select("doc", "page", F.filter(F.split("text", SPACES), lambda x: x != "").alias("w")).filter(F.size("w") >= 4)
+    spots = body.select("doc", "page", F.explode(F.transform(F.array("w"), lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - 3), lambda i: window(c, i))))[0]).alias("h"))
+    probes = s.select("doc", "page", "seq", F.explode(F.array(window(F.col("w"), 2), window(F.col("w"), 3))).alias("h"))
+    asked = spots.join(probes.select("doc", "h").distinct(), ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.count("*").alias("pages"))
+    seen = probes.join(asked, ["doc", "h"]).groupBy("doc", "page", "seq").agg(F.max("pages").alias("pages")).filter("pages = 1")
+    spaced = pages.select("doc", "page", F.array_join(F.filter(F.split("text", SPACES), lambda x: x != ""), " ").alias("whole"))
+    once = s.join(seen, ["doc", "page", "seq"], "left_semi").join(spaced, ["doc", "page"])
+    once = once.filter(F.length("whole") - F.length(F.replace("whole", F.col("text"), F.lit(""))) == F.length("text"))
+    strict = (n >= 8) & F.col("text").rlike(SENTENCE_START) & ~F.col("text").rlike("[0-9]{3,}") & (F.array_max(F.transform("w", F.length)) >= 8)
+    return once.select("doc", "page", "seq", "text", n.alias("words"), strict.alias("strict"))
+
+
+def sample_anchors(sentences: DataFrame, pages: DataFrame, least_chars: int = 300, least_pages: int = 4) -> DataFrame:
+    """(doc, position, rank, page, seq, text, relaxed): ranked anchors for the front, middle and back third of each document's body pages.
+
+    ``sentences``: doc, page, seq, text, in_column; ``pages``: doc, page, text, prose. Body pages are prose of ``least_chars`` characters; a
+    document with fewer than ``least_pages`` has no anchors. A position takes strict sentences (8 to 45 words, a capital first, no long
+    number, a long word, in one column) of its own third, then of the rest of the body, page by page, longest first; if it has none,
+    relaxed ones (6 words on), longest first. The page of a position's best anchor is no longer taken by later positions.
+    """
+    plain = F.length(F.array_join(F.filter(F.split("text", SPACES), lambda x: x != ""), " "))
+    body = pages.filter(F.col("prose") & (plain >= least_chars)).select("doc", "page")
+    by_page = W.partitionBy("doc").orderBy("page")
+    placed = body.withColumns({"k": F.row_number().over(by_page) - 1, "n": F.count("*").over(W.partitionBy("doc"))}).filter(F.col("n") >= least_pages)
+    third = F.floor(F.col("n") / 3)
+    placed = placed.select("doc", "page", F.when(F.col("k") < third, 0).when(F.col("k") < F.floor(2 * F.col("n") / 3), 1).otherwise(2).alias("third"))
+    columns = sentences.select("doc", "page", "seq", F.coalesce("in_column", F.lit(False)).alias("in_column"))
+    pool = _sentence_facts(sentences, pages).join(placed, ["doc", "page"]).join(columns, ["doc", "page", "seq"]).withColumn("strict", F.col("strict") & F.col("in_column")).drop("in_column")
+    out, used = [], None
+    for at, position in enumerate(POSITIONS):
+        free = pool if used is None else pool.join(used, ["doc", "page"], "left_anti")
+        any_strict = F.bool_or("strict").over(W.partitionBy("doc"))
+        taken = free.withColumn("any", any_strict).filter(F.col("strict") | ~F.col("any"))
+        outside = F.when(F.col("any"), (F.col("third") != at).cast("int")).otherwise(0)
+        first_page = F.when(F.col("any"), F.col("page"))
+        order = W.partitionBy("doc").orderBy(outside, first_page, F.desc("words"), (F.col("third") != at).cast("int"), "page", "seq")
+        ranked = taken.withColumn("rank", F.row_number().over(order)).select("doc", F.lit(position).alias("position"), "rank", "page", "seq", "text", (~F.col("any")).alias("relaxed"))
+        out.append(ranked)
+        best = ranked.filter("rank = 1").select("doc", "page")
+        used = best if used is None else used.unionByName(best)
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def pointers(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """(chunk_id, cfi_start, cfi_end). ``chunks``: chunk_id, doc, text; ``entries``: doc, seq, cfi, text.
 

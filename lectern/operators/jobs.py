@@ -103,6 +103,21 @@ def newest_jobs(jobs: DataFrame, n: int, source: str = "source_id") -> DataFrame
     return jobs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
+def list_jobs(jobs: DataFrame, n: int = 50, attachment_id: object = None) -> DataFrame:
+    """The ``n`` jobs of all sources that were entered last (50 if not positive), newest first; all of one attachment if it is given."""
+    if attachment_id is not None:
+        return jobs.filter(F.col("attachment_id") == attachment_id).orderBy(F.desc("enqueued_at"), F.desc("job_id"))
+    return jobs.orderBy(F.desc("enqueued_at"), F.desc("job_id")).limit(n if n > 0 else 50)
+
+
+def clear_acks(jobs: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """``jobs`` without the mark of those completed ones that are in ``acknowledged`` (job_id); others keep theirs."""
+    told = acknowledged.select("job_id").distinct().withColumn("told", F.lit(True))
+    marked = jobs.join(told, "job_id", "left")
+    clear = F.coalesce("told", F.lit(False)) & (F.col("status") == "completed")
+    return marked.withColumn("ack_pending_at", F.when(~clear, F.col("ack_pending_at"))).select(*jobs.columns)
+
+
 def ack_failed(status: Column, pending_at: Column, now: Column) -> Column:
     """When a completed job's acknowledgement first failed; jobs in other states keep their mark."""
     return F.when(status == "completed", F.coalesce(pending_at, now)).otherwise(pending_at)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import quotes, trust
+from lectern.operators import anchors, quotes, trust
 from lectern.plans.registry import LINES, lines, query
 
 
@@ -111,3 +111,38 @@ FROM b LEFT JOIN f ON f.doc = b.doc AND f.page = b.page LEFT JOIN l ON l.doc = b
 def page_trust_build(spark, sf_dir):
     """Every line's label and its source, with chapters that the printed numbers confirm."""
     return trust.build_page_trust(*_books(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
+
+
+_SP = "[\\x20\\x09-\\x0D]+"
+_POOL = f"""p AS (SELECT doc_id AS doc, chunk_index AS page, text, doc_id % 3 <> 2 OR chunk_index % 2 = 0 AS prose, {_words('text')} AS w FROM lines),
+s0 AS (SELECT doc, page, (i - 1)::INT AS seq, {_words("parts[i] || '.'")} AS w FROM (SELECT doc, page, string_split(text, '. ') AS parts FROM p) d, unnest(range(1, len(parts) + 1)) u(i)),
+s1 AS (SELECT doc, page, seq, w, array_to_string(w, ' ') AS text, len(w) AS n FROM s0 WHERE len(w) BETWEEN 6 AND 45),
+s2 AS (SELECT * FROM s1 WHERE NOT regexp_matches(text, '{anchors.BOILERPLATE}') AND NOT regexp_matches(text, '{anchors.ABBREVIATION_END}')),
+g AS (SELECT DISTINCT doc, page, array_to_string(w[i:i + 3], ' ') AS h FROM p, unnest(range(1, len(w) - 2)) u(i)),
+gp AS (SELECT doc, h, count(*) AS pages FROM g GROUP BY doc, h),
+pr AS (SELECT doc, page, seq, array_to_string(w[2:5], ' ') AS h FROM s2 UNION ALL SELECT doc, page, seq, array_to_string(w[3:6], ' ') FROM s2),
+ok AS (SELECT pr.doc, page, seq FROM pr JOIN gp ON gp.doc = pr.doc AND gp.h = pr.h GROUP BY pr.doc, page, seq HAVING max(pages) = 1),
+b0 AS (SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page) - 1 AS k, count(*) OVER (PARTITION BY doc) AS n FROM p WHERE prose AND length(array_to_string(w, ' ')) >= 100),
+b AS (SELECT doc, page, CASE WHEN k < n // 3 THEN 0 WHEN k < 2 * n // 3 THEN 1 ELSE 2 END AS third FROM b0 WHERE n >= 4),
+pool AS (SELECT s2.doc, s2.page, s2.seq, s2.text, s2.n AS words, third,
+         s2.n >= 8 AND regexp_matches(s2.text, '{anchors.SENTENCE_START}') AND NOT regexp_matches(s2.text, '[0-9]{{3,}}') AND list_max(list_transform(s2.w, lambda x: length(x))) >= 8 AND s2.doc % 4 <> 1 AS strict
+         FROM s2 JOIN ok USING (doc, page, seq) JOIN p ON p.doc = s2.doc AND p.page = s2.page JOIN b ON b.doc = s2.doc AND b.page = s2.page
+         WHERE length(array_to_string(p.w, ' ')) - length(replace(array_to_string(p.w, ' '), s2.text, '')) = length(s2.text))"""
+
+
+def _position(at: int, used: str) -> str:
+    return f"""a{at} AS (SELECT *, bool_or(strict) OVER (PARTITION BY doc) AS have FROM pool {used}),
+r{at} AS (SELECT doc, '{anchors.POSITIONS[at]}' AS position, row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN have THEN (third <> {at})::INT ELSE 0 END, CASE WHEN have THEN page END, words DESC, third <> {at}, page, seq)::INT AS rank, page, seq, text, NOT have AS relaxed
+         FROM a{at} WHERE strict OR NOT have)"""
+
+
+@query(f"""WITH {LINES}, {_POOL}, {_position(0, '')},
+{_position(1, 'WHERE (doc, page) NOT IN (SELECT doc, page FROM r0 WHERE rank = 1)')},
+{_position(2, 'WHERE (doc, page) NOT IN (SELECT doc, page FROM r0 WHERE rank = 1 UNION ALL SELECT doc, page FROM r1 WHERE rank = 1)')}
+SELECT doc AS doc_id, position, rank, page, seq, text, relaxed FROM r0 UNION ALL SELECT doc, position, rank, page, seq, text, relaxed FROM r1 UNION ALL SELECT doc, position, rank, page, seq, text, relaxed FROM r2""")
+def anchor_samples(spark, sf_dir):
+    """Anchors of every document by thirds; a quarter of the documents has no sentence in one column and gets relaxed ones."""
+    pages = lines(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("chunk_index").alias("page"), "text", ((F.col("doc_id") % 3 != 2) | (F.col("chunk_index") % 2 == 0)).alias("prose"))
+    parts = pages.select("doc", "page", F.posexplode(F.split("text", "\\. ")).alias("seq", "text"))
+    sentences = parts.select("doc", "page", "seq", F.concat("text", F.lit(".")).alias("text"), (F.col("doc") % 4 != 1).alias("in_column"))
+    return anchors.sample_anchors(sentences, pages, least_chars=100).withColumnRenamed("doc", "doc_id")

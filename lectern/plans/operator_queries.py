@@ -167,6 +167,19 @@ def ack_ledger(spark, sf_dir):
     return jobs.pending_acks(marked, 0)
 
 
+@query("SELECT o_orderkey AS job_id, o_custkey AS source_id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def listed_jobs(spark, sf_dir):
+    """The 50 jobs of all sources that were entered last."""
+    return jobs.list_jobs(_jobs(spark, sf_dir).withColumn("enqueued_at", F.col("created_at")), 0).select("job_id", "source_id")
+
+
+@query("SELECT o_orderkey AS job_id, o_orderkey % 4 = 3 AND NOT (o_orderkey % 4 = 3 AND o_custkey % 2 = 0) AS pending FROM orders")
+def cleared_acks(spark, sf_dir):
+    """Marks of completed jobs, less those of even sources, which are acknowledged."""
+    marked = _jobs(spark, sf_dir).withColumn("ack_pending_at", jobs.ack_failed(F.col("status"), F.lit(None).cast("int"), F.lit(9)))
+    return jobs.clear_acks(marked, marked.filter("source_id % 2 = 0")).select("job_id", F.col("ack_pending_at").isNotNull().alias("pending"))
+
+
 @query("""SELECT event_id, CASE WHEN event_type <> 'error' AND value > 50 THEN 'upsert' WHEN event_type = 'error' AND value <= 50 THEN 'delete' ELSE 'skip' END AS decision,
 event_id % 12 + 1 AS attempts, CASE WHEN user_id % 2 = 0 THEN 'done' WHEN event_id % 12 + 1 >= 10 THEN 'dead' ELSE 'retry' END AS state FROM events""")
 def outbox_decisions(spark, sf_dir):
