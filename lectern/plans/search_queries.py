@@ -146,3 +146,26 @@ def retrieval_means(spark, sf_dir):
 @query("SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency_pct(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(evaluate.nearest_rank("value", 50).alias("p50"), evaluate.nearest_rank("value", 95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(f"""WITH {ARMS}, cfg(config, arms, hygiene) AS (VALUES ('bm25', [0], false), ('both', [0, 1], false), ('both_hygiene', [0, 1], true), ('sparse', [1], false)),
+f0 AS (SELECT config, hygiene, query_id, id, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (arm = 0), 0.0::DOUBLE) + coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (arm = 1), 0.0::DOUBLE) AS score,
+       min(arm * 1000 + rank) AS seen FROM cfg JOIN both_arms ON list_contains(arms, arm) GROUP BY ALL),
+f1 AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, seen, id) AS place FROM f0),
+f2 AS (SELECT f1.*, source, row_number() OVER (PARTITION BY config, query_id, source ORDER BY place) > 2 AND hygiene AS spare FROM f1 JOIN documents ON doc_id = id WHERE place <= 30),
+f3 AS (SELECT config, query_id, id, row_number() OVER (PARTITION BY config, query_id ORDER BY spare, place) AS rank FROM f2 QUALIFY rank <= 10),
+m AS (SELECT config, query_id, min(rank) FILTER (id % 7 = query_id % 7) AS first FROM f3 GROUP BY config, query_id),
+e AS (SELECT config, item_id, first FROM cfg CROSS JOIN benchmark LEFT JOIN m USING (config) WHERE m.query_id = item_id
+      UNION ALL SELECT config, item_id, NULL FROM cfg CROSS JOIN benchmark WHERE (config, item_id) NOT IN (SELECT config, query_id FROM m))
+SELECT config, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS p1, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS hit5, round(avg(coalesce(1.0::DOUBLE / first, 0.0::DOUBLE)), 6) AS mrr,
+round(avg(coalesce((first <= 10)::INT, 0)), 6) AS hit10, count(*) AS queries FROM e GROUP BY config""")
+def retrieval_matrix(spark, sf_dir):
+    """Four configurations over all benchmark items; documents whose id has an item's remainder by 7 stand for its gold."""
+    q, d = _queries(spark, sf_dir), _docs(spark, sf_dir)
+    n = search.fetch_count(TOP)
+    names = F.array(F.lit("bm25"), F.lit("sparse"))
+    arms = search.lexical_arms(q, d, n).select(names[F.col("arm")].alias("arm"), F.col("arm").alias("place"), "query_id", "id", "rank")
+    configs = spark.sql("SELECT * FROM VALUES ('bm25', array('bm25'), false), ('sparse', array('sparse'), false), ('both', array('bm25', 'sparse'), false), ('both_hygiene', array('bm25', 'sparse'), true) AS t(config, arms, hygiene)")
+    hits = evaluate.matrix_hits(arms, configs, d, n, TOP)
+    pairs = hits.select("query_id", "id").distinct().filter(F.col("id") % 7 == F.col("query_id") % 7)
+    return evaluate.matrix_means(evaluate.query_records(hits, pairs, q, configs))
