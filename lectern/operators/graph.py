@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 from lectern.functions.text import norm_term, squeeze
 
 #: Forms that name a role or a group, never one person or organisation.
-BARE_FORMS = """stakeholder|stakeholders|stakeholdern|primäre stakeholder|sekundäre stakeholder|primären stakeholdern|sekundären stakeholdern
-key stakeholders|interne stakeholder|externe stakeholder|internen stakeholdern|externen stakeholdern|shareholder|shareholders|shareholdern
-anteilseigner|anteilseignern|anspruchsgruppe|anspruchsgruppen|management|das management|managements|top-management|top management|topmanagement
-top managements|top-managements|topmanagements|mittleres management|middle management|mittleres managements|oberes management|upper management
-lower management|managementebene|managementebenen|mitarbeiter|mitarbeitern|mitarbeiterinnen|kunden|kunde|vorstand|führungskräfte|führungskräften
-führungskraft|unternehmer|unternehmern|geschäftsführer|geschäftsführerin|beschäftigte|arbeitnehmer|arbeitnehmerin|arbeitgeber|arbeitgebern
-mitarbeiters|arbeitgebers|vorstands|arbeitnehmers|unternehmers|geschäftsführers""".replace("\n", "|").split("|")
+BARE_FORMS = (
+    "stakeholder", "stakeholders", "stakeholdern", "primäre stakeholder", "sekundäre stakeholder", "primären stakeholdern", "sekundären stakeholdern",
+    "key stakeholders", "interne stakeholder", "externe stakeholder", "internen stakeholdern", "externen stakeholdern", "shareholder", "shareholders",
+    "shareholdern", "anteilseigner", "anteilseignern", "anspruchsgruppe", "anspruchsgruppen", "management", "das management", "managements",
+    "top-management", "top management", "topmanagement", "top managements", "top-managements", "topmanagements", "mittleres management",
+    "middle management", "mittleres managements", "oberes management", "upper management", "lower management", "managementebene", "managementebenen",
+    "mitarbeiter", "mitarbeitern", "mitarbeiterinnen", "kunden", "kunde", "vorstand", "führungskräfte", "führungskräften", "führungskraft",
+    "unternehmer", "unternehmern", "geschäftsführer", "geschäftsführerin", "beschäftigte", "arbeitnehmer", "arbeitnehmerin", "arbeitgeber",
+    "arbeitgebern", "mitarbeiters", "arbeitgebers", "vorstands", "arbeitnehmers", "unternehmers", "geschäftsführers",
+)
 PLURAL_HEADS = "stakeholders stakeholdern shareholders shareholdern anteilseignern anteilseigners anspruchsgruppen managements mitarbeitern mitarbeiterinnen kunden führungskräften arbeitgebern arbeitnehmerinnen".split()
 PLURAL_HEAD = f"^[a-zäöüß][a-zäöüß-]*( [a-zäöüß][a-zäöüß-]*){{0,2}} ({'|'.join(PLURAL_HEADS)})$"
 
 #: Requests of one entity search; they are broadcast.
 MOST_REQUESTS = 1000
+GRAM = 3
 #: Parts of each entity's mentions in ``expand``.
 SALTS = 16
 
@@ -193,18 +197,41 @@ def read_model(entities: DataFrame, relations: DataFrame, chunks: DataFrame) ->
     return joined.withColumn("confidence", confidence(F.col("docs"), F.size("evidence"), F.col("quality")))
 
 
+def _entity_hits(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, root) of requests (query_id, raw, nq) and families (root, nf, listed) of which one holds the other.
+
+    Parts are found by equal grams: a request's first three letters among those of the family's normal form, or of its listed forms,
+    and a family's normal form among the stretches of the request; what the gram promises is then looked at. Only requests too
+    short for a gram, empty ones and those with wildcards meet every family; there are at most MOST_REQUESTS of them.
+    """
+    short = (F.length("nq") < GRAM) | (F.length("raw") < GRAM) | F.col("raw").rlike("[%_\\\\]")
+    every = asked.filter(short)
+    if every.limit(MOST_REQUESTS + 1).count() > MOST_REQUESTS:
+        raise ValueError(f"at most {MOST_REQUESTS} requests under {GRAM} letters at once")
+    like = F.like(F.col("listed"), F.concat(F.lit("%"), F.col("raw"), F.lit("%")))
+    holds = F.col("nq").contains(F.col("nf")) & (F.length("nf") >= 4)
+    whole = held.join(F.broadcast(every), (F.col("nq") == "") | F.col("nf").contains(F.col("nq")) | holds | like)  # checked above
+    asks = asked.filter(~short)
+    gram = lambda c: F.substring(c, 1, GRAM)
+    grams = lambda c: F.when(F.length(c) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM)))))
+    in_form = held.select("root", "nf", F.explode(grams(F.col("nf"))).alias("g")).join(asks.select("query_id", "nq", gram("nq").alias("g")), "g").filter(F.col("nf").contains(F.col("nq")))
+    in_list = held.select("root", "listed", F.explode(grams(F.col("listed"))).alias("g")).join(asks.select("query_id", "raw", gram("raw").alias("g")), "g").filter(like)
+    parts = F.flatten(F.transform(F.sequence(F.lit(4), F.length("nq")), lambda n: F.transform(F.sequence(F.lit(1), F.length("nq") - n + 1), lambda i: F.substring("nq", i, n))))
+    stretches = asks.filter(F.length("nq") >= 4).select("query_id", F.explode(F.array_distinct(parts)).alias("nf"))
+    in_request = held.select("root", "nf").join(stretches, "nf")
+    found = [x.select("query_id", "root") for x in (whole, in_form, in_list, in_request)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()
+
+
 def search_entities(roots_: DataFrame, queries: DataFrame, min_mentions: int = 2, limit: int = 50, exact_first: bool = False) -> DataFrame:
     """(query_id, root, tier, rank): 1 exact form, 2 equal but for inflection, 3 equal by family, 4 a part.
 
-    The pool of 3 * limit is cut by mentions before tiers, unless ``exact_first``. ``queries``: query_id, q.
+    The pool of 3 * limit is cut by mentions before tiers, unless ``exact_first``. ``queries``: query_id, q, of any number.
     """
-    if queries.limit(MOST_REQUESTS + 1).count() > MOST_REQUESTS:
-        raise ValueError(f"at most {MOST_REQUESTS} requests at once")
     asked = queries.select("query_id", F.lower(F.trim("q")).alias("raw"), norm_term(F.col("q")).alias("nq"), norm_term(F.col("q"), families=False).alias("nq0"))
     held = roots_.filter(F.col("mentions") >= min_mentions).withColumn("nf", norm_term(F.col("form")))
-    listed = F.to_json("forms")
-    match = (F.col("nq") == "") | F.col("nf").contains(F.col("nq")) | (F.col("nq").contains(F.col("nf")) & (F.length("nf") >= 4)) | F.like(listed, F.concat(F.lit("%"), F.col("raw"), F.lit("%")))
-    hits = held.join(F.broadcast(asked), match)  # checked above
+    pairs = _entity_hits(asked.select("query_id", "raw", "nq"), held.select("root", "nf", F.to_json("forms").alias("listed")))
+    hits = pairs.join(held, "root").join(asked, "query_id")
     tier = lambda f: F.when(F.lower(F.trim(f)) == F.col("raw"), 1).when((norm_term(f, families=False) == F.col("nq0")) & (F.col("nq0") != ""), 2).when((norm_term(f) == F.col("nq")) & (F.col("nq") != ""), 3).otherwise(4)
     per_query = W.partitionBy("query_id")
     tiered = hits.withColumn("tier", F.array_min(F.transform(F.concat(F.array("form"), "forms"), tier)))
