@@ -3,7 +3,8 @@
 Each language has one probability a vocabulary piece. A text's likelihood is the sum over all segmentations of its words
 into pieces of the product of the pieces' probabilities (a forward algorithm); white space begins a new word, as in the
 vocabulary, so words are scored once each and their logarithms added. Distinct words of a batch are scored together with
-array operations, longest pieces included; words of any length are summed whole, in windows that carry the last sums on. Case is folded. A character that no piece covers costs the same in every language.
+array operations, longest pieces included, and a task remembers a bounded number of them; words of any length are summed
+whole, in windows that carry the last sums on. Case is folded. A character that no piece covers costs the same in every language.
 
 The model is fitted on a bounded sample (``sample_per_language`` expected rows a language, by a hash of the id); everything
 else sees all rows and whole texts. Only text is scored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from pyspark.sql import types as T
 #: FEW languages a group has fewer characters, so that its arrays stay as large.
 GROUP_CHARS, FEW = 1 << 17, 4
 SAMPLE_PER_LANGUAGE = 1500
-#: Texts whose words are scored together.
-TEXTS = 500
+#: Texts whose words are scored together, and numbers (words x languages) that a task remembers of the words it has scored.
+TEXTS, REMEMBERED = 500, 1 << 20
 SMOOTHING = 0.1
 MARK = "▁"
 
@@ -106,6 +108,9 @@ class Scorer:
         bucket = model.keys >> self.shift
         self.first = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.deepest = int(np.diff(self.first).max(initial=0))
+        self.index: dict[str, int] = {}
+        self.most = max(1, REMEMBERED // max(1, len(model.languages)))
+        self.logs = np.zeros((0, len(model.languages)))
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Row of the model's table, or -1."""
@@ -199,8 +204,7 @@ class Scorer:
         A score is the posterior after the log-likelihoods are divided by the square root of the number of words, so that
         long texts don't all score 1.
         """
-        m = self.model
-        index: dict[str, int] = {}
+        m, index, base = self.model, self.index, len(self.index)
         spans, bounds = [], [0]
         for text in texts:
             words = text.lower().split() if text else []
@@ -208,18 +212,30 @@ class Scorer:
             bounds.append(bounds[-1] + len(words))
         total = np.zeros((len(texts), len(m.languages)))
         if index and m.languages:
-            words = [MARK + w for w in index]
             flat, owner = np.concatenate(spans), np.repeat(np.arange(len(texts)), np.diff(bounds))
             cells, counts = np.unique(flat * len(texts) + owner, return_counts=True)  # by word, then text
             word_of, text_of = cells // len(texts), cells % len(texts)
-            for group in self._groups(words):  # a group's logarithms are added before the next group's are made
-                logs, own = self._forward([words[i] for i in group]), np.array(group)
+
+            def add(at: np.ndarray, logs: np.ndarray) -> None:
+                for k in range(len(m.languages)):
+                    total[:, k] += np.bincount(text_of[at], logs[:, k] * counts[at], len(texts))
+
+            old = np.flatnonzero(word_of < base)
+            add(old, self.logs[word_of[old]])
+            fresh = [MARK + w for w in islice(index, base, None)]
+            keep = len(index) <= self.most
+            if keep and len(self.logs) < len(index):
+                held, self.logs = self.logs, np.zeros((min(self.most, 2 * len(index)), len(m.languages)))
+                self.logs[: len(held)] = held
+            for group in self._groups(fresh):  # a group's logarithms are added before the next group's are made
+                logs, own = self._forward([fresh[i] for i in group]), np.array(group) + base
                 low, high = np.searchsorted(word_of, own), np.searchsorted(word_of, own, "right")
                 each = high - low
-                at = np.repeat(high - np.cumsum(each), each) + np.arange(each.sum())
-                row = np.repeat(np.arange(len(own)), each)
-                for k in range(len(m.languages)):
-                    total[:, k] += np.bincount(text_of[at], logs[row, k] * counts[at], len(texts))
+                add(np.repeat(high - np.cumsum(each), each) + np.arange(each.sum()), np.repeat(logs, each, axis=0))
+                if keep:
+                    self.logs[own] = logs
+            if not keep:
+                index.clear()
         names, scores = [], np.zeros(len(texts))
         for i, text in enumerate(texts):
             if not m.languages or not text or not any(map(str.isalpha, text)):

@@ -279,3 +279,27 @@ def test_registered(spark, data, name, brute):
     else:
         short = {i: x for i, x in docs if len(words_of(x)) < 900}
         assert len(got) == len(docs) and sorted(map(str, (r for r in got if r[0] in short))) == sorted(map(str, (brute(i, x) for i, x in short.items())))
+
+
+# language ID
+
+def test_remembered_words_and_many_labels(monkeypatch):
+    """What a task remembers of words doesn't change results, and thousands of labels fit the work arrays."""
+    from lectern.llm import langid
+
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefgh"))
+    pieces = sorted({"".join(rng.choice(letters, rng.integers(1, 4))) for _ in range(300)} | {langid.MARK, langid.MARK + "a"})
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(rng.integers(0, 60))) or None for _ in range(90)]
+    for labels in (3, 2000):
+        model = langid.build(pieces, [f"l{i:04}" for i in range(labels)], rng.integers(0, 9, (len(pieces), labels)))
+        wanted = [langid.Scorer(model).batch([t]) for t in texts]
+        for most in (1, 100 * labels, 1 << 20):
+            monkeypatch.setattr(langid, "REMEMBERED", most)
+            scorer = langid.Scorer(model)
+            names, scores = [], []
+            for k in range(0, len(texts), 20):
+                n, s = scorer.batch(texts[k : k + 20])
+                names, scores = names + n, [*scores, *s]
+                assert len(scorer.index) <= scorer.most
+            assert names == [w[0][0] for w in wanted] and np.allclose(scores, [w[1][0] for w in wanted])
