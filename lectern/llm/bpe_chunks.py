@@ -11,8 +11,10 @@
 
 A chunk that a third of the documents share is no hot key: counts are summed before they shuffle, and the ids of the at most 1,000
 chunks above 1/1000 of all uses (32 KB each at most; ids travel in two bytes where the vocabulary allows it) reach their documents by broadcast. A document's chunks are as many as it has.
+Texts that shuffle travel compressed.
 
-Texts that hold a special token's text are encoded whole. Null and empty texts have no ids. Rows with a null id, and
+Texts that hold a special token's text are encoded whole. Null and empty texts have no ids. Very long texts have as many chunks as
+they need, of at most 8 KB each, and are joined chunk by chunk. Rows with a null id, and
 repeated rows, are encoded like any other; an empty table gives no rows.
 """
 
@@ -25,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import tokens, wordhash
-from lectern.llm.common import cut, free_name, membership_filter, only_ids, with_group_facts, with_probe
+from lectern.llm.common import cut, free_name, membership_filter, with_group_facts, with_probe
 
 MIN_CHUNK, MAX_CHUNK, MASK = 256, 8192, np.uint32(0x3FF << 20)
 _GEAR = np.random.default_rng(61).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -144,6 +147,24 @@ class Digests:
         return len(listed), hashlib.sha256(b",".join([self.decimals[i] for i in listed])).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(id, body) of rows (id, text): each text compressed for its way through a shuffle; a null text is empty."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            bodies = [pack.compress((x.as_py() or "").encode()) for x in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(bodies, pa.binary())], ["id", "body"])
+
+    return rows.select("id", "text").mapInArrow(tasks, T.StructType([rows.schema["id"], T.StructField("body", T.BinaryType())]))
+
+
+def unpacked(bodies: pa.Array) -> pa.Array:
+    """The texts of packed ones."""
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(x.as_py()).decode() for x in bodies], pa.string())
+
+
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row, and its ids (binary, little-endian 32-bit) if asked for."""
     path = path or tokens.vocabulary_path()
@@ -180,7 +201,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                 b = whole.slice(at, 500)
                 wanted = b.column(2)
                 made: dict[bytes, bytes] = {}
-                for i, data, ends in chunks_of(b.column(1)):
+                for i, data, ends in chunks_of(unpacked(b.column(1))):
                     mine = set(wanted[i].as_py())
                     for x, y in itertools.pairwise([0, *ends]):
                         if (h := _digest(data[x:y])) in mine and h not in made:
@@ -188,7 +209,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                 yield pa.record_batch([pa.array(list(made), pa.binary()), pa.array(list(made.values()), pa.binary())], ["h", "ids"])
 
     owned = cut(shared.groupBy(F.col("owner").alias("id")).agg(F.collect_list("h").alias("hs")))
-    table = cut(only_ids(rows, owned, "id").select("id", "text", "hs").mapInArrow(encode_owned, "h binary, ids binary").groupBy("h").agg(F.first("ids").alias("ids")).join(shared.select("h", "n"), "h"))
+    owners = with_probe(rows, F.xxhash64("id"), membership_filter(owned.select(F.xxhash64("id").alias("slot"))), flag).filter(F.col(flag))
+    table = cut(packed(owners).join(owned, "id").select("id", "body", "hs").mapInArrow(encode_owned, "h binary, ids binary").groupBy("h").agg(F.first("ids").alias("ids")).join(shared.select("h", "n"), "h"))
     needed = with_group_facts(uses, table, "h", "n", total, ["id"], inner=True).groupBy("id").agg(F.collect_list("h").alias("hs"), F.collect_list("ids").alias("ids"))
     schema = T.StructType([T.StructField(key, id_field.dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
@@ -209,8 +231,9 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                     for body in b.column(1):
                         done(enc.encode(body.as_py() or ""))
                 else:
-                    for i, data, ends in chunks_of(b.column(1)):
-                        body = b.column(1)[i].as_py() or ""
+                    texts = unpacked(b.column(1))
+                    for i, data, ends in chunks_of(texts):
+                        body = texts[i].as_py()
                         hs, ids = b.column(2)[i].as_py(), b.column(3)[i].as_py()
                         if not hs or any(s in body for s in special):
                             done(enc.encode(body))
@@ -221,5 +244,5 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                 columns = [b.column(0), *(pa.array([r[k] for r in results], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))]
                 yield pa.record_batch([*columns, *([pa.array(packed, pa.binary())] if with_ids else [])], schema.names)
 
-    joined = sharing.join(needed, "id", "left").select("id", "text", "hs", "ids").mapInArrow(assemble, schema)
+    joined = packed(sharing).join(needed, "id", "left").select("id", "body", "hs", "ids").mapInArrow(assemble, schema)
     return marked.filter(~F.col(flag)).select("id", "text").mapInArrow(assemble, schema).unionByName(joined)
