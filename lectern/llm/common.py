@@ -30,9 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new path (not yet made) in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the folders that this application's operators have made so far, once their results are written; returns how many went.
+
+    Results that are still to be read need them, so nothing is removed without this call.
+    """
+    gone = 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return gone
 
 
 def cut(df: DataFrame) -> DataFrame:

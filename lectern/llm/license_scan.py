@@ -11,7 +11,8 @@ the words matched are at least ``percent`` of the template's.
 Names of licenses differ by a word or two, and so do their headers and texts. Of reports of one of these kinds that lie mostly
 in each other the one with more matches stays, then the one that covers more of its template.
 
-Null and empty texts give no rows, like texts without a match; ties between alignments go to the leftmost; of overlapping
+Null and empty texts give no rows, like texts without a match, and an empty table gives none; very long texts are scanned whole, each
+candidate in a band of its own. Of alignments of equal score the one with more matches wins, then the later first word; of overlapping
 reports of one template the one with more matches stays, then the leftmost. Repeated rows are reported as often as they occur.
 """
 

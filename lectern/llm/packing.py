@@ -4,7 +4,8 @@ The plan works on counts, never on documents: lengths from long to short, each i
 hold it, whole runs of sequences at a time. It has a few rows a length, so it is as small at 100 TB as at 1 MB. Documents
 then take the planned places by joining on their rank within their length.
 
-Null text counts as empty (one end id). Repeated rows are packed as often as they occur; an empty table gives no rows.
+Null text counts as empty (one end id). Very long texts are tokenised whole and cut into full pieces, of which the first may be shorter.
+Equal lengths are ties that any order settles. Repeated rows are packed as often as they occur; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one Spark projection, without user functions.
 
 Words are runs of characters other than space and U+0009..U+000D. A null or empty text has no words: every count is 0, it
-fails the base rule and is not kept. Ties don't arise: each row is judged alone, so repeated rows get the same verdict.
+fails the base rule and is not kept. Very long texts are judged whole, in a row of their own; an empty table gives no rows. Ties don't arise: each row is judged alone, so repeated rows get the same verdict.
 Columns of the input never clash with the working columns: those live in a struct with a free name.
 """
 

@@ -303,3 +303,13 @@ def test_remembered_words_and_many_labels(monkeypatch):
                 names, scores = names + n, [*scores, *s]
                 assert len(scorer.index) <= scorer.most
             assert names == [w[0][0] for w in wanted] and np.allclose(scores, [w[1][0] for w in wanted])
+
+
+def test_release_removes_what_was_made(spark):
+    from lectern.llm import common
+
+    common.release(spark)
+    path = common.fresh_dir(spark, "kept")
+    spark.range(5).write.parquet(path)
+    held = common.cut(spark.range(7))
+    assert held.count() == 7 and common.release(spark) == 2 and common.release(spark) == 0
