@@ -2,6 +2,11 @@
 
 Language ID drops documents without a recognisable language, quality rules drop those that break a rule, exact and near
 deduplication keep one document of each group, and best-fit packing places what is left in sequences of 1024 tokens.
+
+Null and empty texts have no language and go in the first stage. Very long texts pass every stage whole. Ties: of equal texts the
+largest doc_id stays, of near ones the smallest. Rows that repeat an id with its text are one document and stay or go together;
+rows without an id stay. An empty table gives an empty result. All columns of documents, and others of any name, reach the
+last stage.
 """
 
 from __future__ import annotations
