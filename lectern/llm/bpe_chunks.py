@@ -210,7 +210,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
 
     owned = cut(shared.groupBy(F.col("owner").alias("id")).agg(F.collect_list("h").alias("hs")))
     owners = with_probe(rows, F.xxhash64("id"), membership_filter(owned.select(F.xxhash64("id").alias("slot"))), flag).filter(F.col(flag))
-    table = cut(packed(owners).join(owned, "id").select("id", "body", "hs").mapInArrow(encode_owned, "h binary, ids binary").groupBy("h").agg(F.first("ids").alias("ids")).join(shared.select("h", "n"), "h"))
+    # a broadcast would put packing and encoding, two Python workers, into one task; "merge" keeps a shuffle between them
+    table = cut(packed(owners).join(owned.hint("merge"), "id").select("id", "body", "hs").mapInArrow(encode_owned, "h binary, ids binary").groupBy("h").agg(F.first("ids").alias("ids")).join(shared.select("h", "n"), "h"))
     needed = with_group_facts(uses, table, "h", "n", total, ["id"], inner=True).groupBy("id").agg(F.collect_list("h").alias("hs"), F.collect_list("ids").alias("ids"))
     schema = T.StructType([T.StructField(key, id_field.dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
@@ -244,5 +245,5 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
                 columns = [b.column(0), *(pa.array([r[k] for r in results], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))]
                 yield pa.record_batch([*columns, *([pa.array(packed, pa.binary())] if with_ids else [])], schema.names)
 
-    joined = packed(sharing).join(needed, "id", "left").select("id", "body", "hs", "ids").mapInArrow(assemble, schema)
+    joined = packed(sharing).join(needed.hint("merge"), "id", "left").select("id", "body", "hs", "ids").mapInArrow(assemble, schema)
     return marked.filter(~F.col(flag)).select("id", "text").mapInArrow(assemble, schema).unionByName(joined)
