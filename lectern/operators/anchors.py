@@ -139,18 +139,20 @@ def pointers(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     A chunk begins at the first entry of its document whose beginning it holds (or that holds its own), and ends at the last
     one, by ends; entries under LEAST_ENTRY characters don't count. Without a match it gets the document's first entry.
     """
-    c = chunks.select("chunk_id", "doc", plain_markup(F.col("text")).alias("body"))
-    e = entries.select("doc", "seq", "cfi", plain_markup(F.col("text")).alias("entry")).filter(F.length("entry") >= LEAST_ENTRY)
     tail = lambda x: F.when(F.length(x) > PROBE, F.substring(x, -PROBE, PROBE)).otherwise(x)
-    pairs = c.join(e, "doc")
-    long = F.length("body") >= 20
-    begins = F.col("body").contains(F.substring("entry", 1, PROBE)) | (long & F.col("entry").contains(F.substring("body", 1, PROBE)))
-    ends = F.col("body").contains(tail(F.col("entry"))) | (long & F.col("entry").contains(tail(F.col("body"))))
-    found = pairs.groupBy("chunk_id").agg(F.min(F.when(begins, F.struct("seq", "cfi"))).alias("a"), F.max(F.when(ends, F.struct("seq", "cfi"))).alias("z"))
-    first = entries.groupBy("doc").agg(F.min_by("cfi", "seq").alias("first"))
-    joined = chunks.select("chunk_id", "doc").join(found, "chunk_id", "left").join(first, "doc", "left")
+    ends = lambda c: [F.substring(c, 1, PROBE).alias("head"), tail(F.col(c)).alias("tail")]
+    c = chunks.select("chunk_id", "doc", plain_markup(F.col("text")).alias("body")).select("*", (F.length("body") >= 20).alias("long"), *ends("body"))
+    e = entries.select("doc", "seq", "cfi", plain_markup(F.col("text")).alias("entry")).select("*", *ends("entry"))
+    # one row a document, so a chunk meets its document's entries where they lie and no pair is made into a row
+    held = F.when(F.length("entry") >= LEAST_ENTRY, F.struct("seq", "cfi", "entry", "head", "tail"))
+    own = e.groupBy("doc").agg(F.min_by("cfi", "seq").alias("first"), F.collect_list(held).alias("entries"))
+    joined = c.join(own, "doc", "left")
+    spot = lambda x: F.struct(x["seq"].alias("seq"), x["cfi"].alias("cfi"))
+    begins = F.filter("entries", lambda x: F.contains("body", x["head"]) | (F.col("long") & F.contains(x["entry"], F.col("head"))))
+    closes = F.filter("entries", lambda x: F.contains("body", x["tail"]) | (F.col("long") & F.contains(x["entry"], F.col("tail"))))
+    found = joined.select("chunk_id", "first", F.array_min(F.transform(begins, spot)).alias("a"), F.array_max(F.transform(closes, spot)).alias("z"))
     start = F.coalesce("a.cfi", "first")
-    return joined.select("chunk_id", start.alias("cfi_start"), F.when(F.col("a.seq") <= F.col("z.seq"), F.col("z.cfi")).otherwise(start).alias("cfi_end"))
+    return found.select("chunk_id", start.alias("cfi_start"), F.when(F.col("a.seq") <= F.col("z.seq"), F.col("z.cfi")).otherwise(start).alias("cfi_end"))
 
 
 def resolve_names(names: DataFrame, known: DataFrame) -> DataFrame:

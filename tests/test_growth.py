@@ -20,3 +20,17 @@ def test_events_too_dense_for_a_session_to_close(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     expected = con.execute(plans.ORACLES["debounced_runs"])
     assert expected.fetchall() == [] and [c[0] for c in expected.description] == found.columns
+
+
+def test_pointers_make_no_row_of_a_pair(spark):
+    from lectern.operators import anchors
+
+    said = [f"line {i} of a long document, told in full" for i in range(30)]
+    entries = spark.createDataFrame([(1, i, str(i), t) for i, t in enumerate(said)] + [(2, 0, "x", "short")], "doc long, seq int, cfi string, text string")
+    rows = [("a", 1, said[3] + " " + said[5]), ("b", 1, "nothing of it"), ("c", 2, "short"), ("d", 3, said[0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc long, text string")
+    found = anchors.pointers(chunks, entries)
+    assert _rows(found)[:3] == [("a", "3", "5"), ("b", "0", "0"), ("c", "x", "x")] and len(_rows(found)) == 4
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[: plan.index("Join")]
+    assert "Aggregate" not in joined  # pairs were grouped above the join
