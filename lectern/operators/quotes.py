@@ -6,8 +6,8 @@ only pages that hold one are read again, to see how many of the quote's long wor
 of them (four at least); the first step with a proven hit wins, else the first step with any. Quotes without a hit are looked up once
 more without word limits, for pages whose words run together, by 14-character grams.
 
-Postings are made for documents that have a quote only, and meet the asked windows in one equality join on (document, hash). A
-quote's hits are bounded by the pages of its document. Quotes without words, or not found, keep a row of nulls; pages without text match nothing.
+A page meets the hashes that its document's quotes ask for and gives postings of these only; they meet the asked windows in an
+equality join on (document, hash). A quote's hits are bounded by the pages of its document. Quotes without words, or not found, keep a row of nulls; pages without text match nothing.
 """
 
 from __future__ import annotations
@@ -87,7 +87,9 @@ def locate_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     steps = asked.select("quote_id", "doc", F.inline("ladder"))
 
     own = pages.join(quotes.select("doc").distinct(), "doc", "left_semi")
-    postings = own.select("doc", "page", F.explode(_windows(forms(F.col("text")))).alias("h"))
+    # explode_outer: before a plain explode the optimizer puts a filter that makes all windows of a page again
+    wanted = steps.groupBy("doc").agg(F.collect_set(F.xxhash64("window")).alias("wanted"))
+    postings = pages.join(wanted, "doc").select("doc", "page", F.explode_outer(F.array_intersect(_windows(forms(F.col("text"))), "wanted")).alias("h")).filter("h IS NOT NULL")
     found = steps.withColumn("h", F.xxhash64("window")).join(postings, ["doc", "h"]).select("quote_id", "doc", "step", "page")
     text = own.select("doc", "page", F.length("text").alias("size"), F.array_join(forms(F.col("text")), "").alias("body"))
     judged = found.join(asked.select("quote_id", "hint", "core"), "quote_id").join(text, ["doc", "page"])
@@ -97,10 +99,12 @@ def locate_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     by_words = _best(judged.withColumn("proven", proven))
 
     left = steps.join(by_words.select("quote_id"), "quote_id", "left_anti").withColumn("window", F.replace("window", F.lit(" "), F.lit(""))).filter(F.length("window") >= LEAST_GRAM)
-    gram = lambda c, i: F.xxhash64(F.substring(c, i, F.lit(LEAST_GRAM)))
+    gram = lambda letters, i: F.xxhash64(F.array_join(F.slice(letters, i, LEAST_GRAM), ""))
     run_on = pages.join(left.select("doc").distinct(), "doc", "left_semi").select("doc", "page", F.length("text").alias("size"), F.array_join(forms(F.col("text")), "").alias("body")).filter(F.length("body") >= LEAST_GRAM)
-    grams = _once(F.col("body"), lambda b: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(b) - LEAST_GRAM + 1), lambda i: gram(b, i))))
-    near = left.withColumn("h", gram(F.col("window"), F.lit(1))).join(run_on.select("doc", "page", F.explode(grams).alias("h")), ["doc", "h"])
+    # letters as an array: to count up to a place in a string costs as much as the string is long
+    grams = _once(F.split("body", ""), lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - LEAST_GRAM + 1), lambda i: gram(b, i)))
+    begun = left.groupBy("doc").agg(F.collect_set(gram(F.split("window", ""), F.lit(1))).alias("wanted"))
+    near = left.withColumn("h", gram(F.split("window", ""), F.lit(1))).join(run_on.join(begun, "doc").select("doc", "page", F.explode_outer(F.array_intersect(grams, "wanted")).alias("h")).filter("h IS NOT NULL"), ["doc", "h"])
     near = near.join(run_on, ["doc", "page"]).filter(F.contains("body", F.col("window"))).join(quotes.select("quote_id", "hint"), "quote_id")
     by_grams = _best(near.select("quote_id", (F.col("step") + len(LADDER)).alias("step"), "page", F.lit(False).alias("proven"), F.lit(0).alias("core"), F.lit(0).alias("core_all"), F.coalesce(F.col("page") == F.col("hint"), F.lit(False)).alias("near"), "size"))
 

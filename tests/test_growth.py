@@ -34,3 +34,16 @@ def test_pointers_make_no_row_of_a_pair(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[: plan.index("Join")]
     assert "Aggregate" not in joined  # pairs were grouped above the join
+
+
+def test_run_together_pages_are_found_by_letters_of_any_plane(spark):
+    from lectern.operators import quotes
+
+    words = [f"𐐨word{i}x" for i in range(3000)]
+    pages = spark.createDataFrame([(1, 0, "other words stand here"), (1, 1, "".join(words))], "doc long, page int, text string")
+    quote = " ".join(words[2000:2010])
+    asked = spark.createDataFrame([(7, 1, quote, None)], "quote_id long, doc long, quote string, hint int")
+    row = quotes.locate_quotes(asked, pages).collect()[0]
+    assert (row["page"], row["step"], row["place"]) == (1, len(quotes.LADDER), len("".join(words[:2002])))
+    plan = quotes.locate_quotes(asked, pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") >= 2  # pages give postings of asked windows only
