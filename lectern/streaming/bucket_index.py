@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once below ``shared_dir`` and read from there, however often it is used after."""
+    path = shared_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class BucketIndex:
     """Rows by ``key`` below ``folder``, in ``buckets`` parts. Of a batch's operations on a key the last in ``order`` counts, of equal ones the greatest row."""
 

@@ -47,3 +47,13 @@ def test_run_together_pages_are_found_by_letters_of_any_plane(spark):
     assert (row["page"], row["step"], row["place"]) == (1, len(quotes.LADDER), len("".join(words[:2002])))
     plan = quotes.locate_quotes(asked, pages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_intersect") >= 2  # pages give postings of asked windows only
+
+
+def test_equal_requests_meet_equal_families_once(spark):
+    from lectern.operators import graph
+
+    families = [(f"{i}:{form}", form, "", [form], 1, 2 + i % 5) for i in range(300) for form in ("Ab", "Abbey")]
+    roots = spark.createDataFrame(families, "root string, form string, type string, forms array<string>, members long, mentions long")
+    queries = spark.createDataFrame([(i, " Ab") for i in range(1200)], "query_id long, q string")  # more than MOST_REQUESTS, all the same
+    got = graph.search_entities(roots, queries, limit=2).collect()
+    assert len(got) == 2400 and {(r.root, r.tier, r.rank) for r in got} == {("104:Ab", 1, 1), ("109:Ab", 1, 2)}
