@@ -85,3 +85,46 @@ def test_expansion_makes_no_row_of_a_query_and_a_chunk(spark, monkeypatch):
     assert _rows(graph.expand(seeds, mentions, stable).select("query_id", "id", "rank", "links")) == sorted(expected)
     monkeypatch.setattr(recall, "MOST_BYTES", 0)
     assert _rows(graph.expand(seeds, mentions, stable).select("query_id", "id", "rank", "links")) == sorted(expected)
+
+
+def _task(monkeypatch, df, make):
+    """What ``make(df)`` would run over a task's Arrow batches."""
+    held = []
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, f, schema: held.append(f) or self)
+        make(df)
+    return held[0]
+
+
+def test_tasks_work_on_bounded_parts_of_a_batch(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from lectern.operators import chunk, recall
+
+    docs = spark.createDataFrame([], "id long, text string, bag array<string>, vector array<double>")
+    out = list(_task(monkeypatch, docs, lambda d: chunk.chunk_table(d, "id", "text"))(iter([pa.RecordBatch.from_pydict({"id": range(2000), "text": ["word " * 400] * 2000})])))
+    assert sum(len(b) for b in out) == 2000 and max(b.nbytes for b in out) < 3 << 20
+
+    seen, counted, add = [], recall._counted, recall.Best.add
+    monkeypatch.setattr(recall, "_counted", lambda bag, known: seen.append(len(bag.flatten())) or counted(bag, known))
+    asked = recall.Asked([1, 2], ["a", "b"], [[0], [0, 1]], [[0], [0, 1]])
+    queries = spark.createDataFrame([], "query_id long")
+    f = _task(monkeypatch, docs, lambda d: recall.lexical(asked, queries, d.select("id", "bag"), 3, 1.2, 0.75, 1.0, ("sparse",)))
+    bags = [["a"] * (i % 7) + ["b"] * (i % 5) + ["x"] * 200 for i in range(4000)]
+    got = [tuple(r.values()) for b in f(iter([pa.RecordBatch.from_pydict({"id": range(4000), "bag": bags})])) for r in b.to_pylist()]
+    assert max(seen) <= 1 << 18 and len(seen) > 1
+    assert [r[:3] for r in got if r[1] == 1] == [(0, 1, i) for i in (6, 13, 20)] and [r[2] for r in got if r[1] == 2] == [34, 69, 104]
+
+    added = []
+    monkeypatch.setattr(recall.Best, "add", lambda self, query, ids, score: added.append(len(query)) or add(self, query, ids, score))
+    rng = np.random.default_rng(1)
+    rows, wanted = rng.normal(size=(4000, 8)), rng.normal(size=(1000, 8))
+    held = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wanted)], "query_id long, vector array<double>")
+    f = _task(monkeypatch, docs, lambda d: recall.nearest(held, d, 3))
+    got = {}
+    for b in f(iter([pa.RecordBatch.from_pydict({"id": range(4000), "vector": rows.tolist()})])):
+        for r in b.to_pylist():
+            got.setdefault(r["query_id"], []).append(r["id"])
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit(wanted) @ unit(rows).T, 6)
+    assert max(added) <= 1 << 18 and [got[q] for q in range(1000)] == [np.lexsort((np.arange(4000), -s))[:3].tolist() for s in scores]
