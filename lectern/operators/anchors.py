@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.text import plain_markup
+from lectern.streaming.bucket_index import stored
 
 LEAST_ENTRY, PROBE = 12, 40
 
@@ -86,20 +87,23 @@ def _sentence_facts(sentences: DataFrame, pages: DataFrame) -> DataFrame:
     """``sentences`` that may be anchors, with words and ``strict``. Probes, the second to fifth and third to sixth word, meet the
     hashed four-word windows of the document's pages in an equality join; a sentence with a probe on a second page is out."""
     w = F.filter(F.split("text", SPACES), lambda x: x != "")
-    s = sentences.select("doc", "page", "seq", F.array_join(w, " ").alias("text"), w.alias("w"))
+    s = sentences.select("doc", "page", "seq", "in_column", F.array_join(w, " ").alias("text"), w.alias("w"))
     n = F.size("w")
     s = s.filter((n >= 6) & (n <= 45) & ~F.col("text").rlike(BOILERPLATE) & ~F.col("text").rlike(ABBREVIATION_END))
-    window = lambda c, i: F.xxhash64(F.array_join(F.slice(c, i, 4), " "))
+    window = lambda c, i: F.xxhash64(*[F.get(c, i + k) for k in range(-1, 3)])
+    strict = (n >= 8) & F.col("text").rlike(SENTENCE_START) & ~F.col("text").rlike("[0-9]{3,}") & (F.array_max(F.transform("w", F.length)) >= 8)
+    strict = strict & F.coalesce("in_column", F.lit(False))
+    probes = F.array(window(F.col("w"), F.lit(2)), window(F.col("w"), F.lit(3)))
+    s = stored(s.select("doc", "page", "seq", "text", n.alias("words"), strict.alias("strict"), probes.alias("probes")), "anchor-sentences")
     body = pages.select("doc", "page", F.filter(F.split("text", SPACES), lambda x: x != "").alias("w")).filter(F.size("w") >= 4)
     spots = body.select("doc", "page", F.explode(F.transform(F.array("w"), lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - 3), lambda i: window(c, i))))[0]).alias("h"))
-    probes = s.select("doc", "page", "seq", F.explode(F.array(window(F.col("w"), 2), window(F.col("w"), 3))).alias("h"))
+    probes = s.select("doc", "page", "seq", F.explode("probes").alias("h"))
     asked = spots.join(probes.select("doc", "h").distinct(), ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.count("*").alias("pages"))
     seen = probes.join(asked, ["doc", "h"]).groupBy("doc", "page", "seq").agg(F.max("pages").alias("pages")).filter("pages = 1")
     spaced = pages.select("doc", "page", F.array_join(F.filter(F.split("text", SPACES), lambda x: x != ""), " ").alias("whole"))
     once = s.join(seen, ["doc", "page", "seq"], "left_semi").join(spaced, ["doc", "page"])
     once = once.filter(F.length("whole") - F.length(F.replace("whole", F.col("text"), F.lit(""))) == F.length("text"))
-    strict = (n >= 8) & F.col("text").rlike(SENTENCE_START) & ~F.col("text").rlike("[0-9]{3,}") & (F.array_max(F.transform("w", F.length)) >= 8)
-    return once.select("doc", "page", "seq", "text", n.alias("words"), strict.alias("strict"))
+    return once.select("doc", "page", "seq", "text", "words", "strict")
 
 
 def sample_anchors(sentences: DataFrame, pages: DataFrame, least_chars: int = 300, least_pages: int = 4) -> DataFrame:
@@ -116,8 +120,7 @@ def sample_anchors(sentences: DataFrame, pages: DataFrame, least_chars: int = 30
     placed = body.withColumns({"k": F.row_number().over(by_page) - 1, "n": F.count("*").over(W.partitionBy("doc"))}).filter(F.col("n") >= least_pages)
     third = F.floor(F.col("n") / 3)
     placed = placed.select("doc", "page", F.when(F.col("k") < third, 0).when(F.col("k") < F.floor(2 * F.col("n") / 3), 1).otherwise(2).alias("third"))
-    columns = sentences.select("doc", "page", "seq", F.coalesce("in_column", F.lit(False)).alias("in_column"))
-    pool = _sentence_facts(sentences, pages).join(placed, ["doc", "page"]).join(columns, ["doc", "page", "seq"]).withColumn("strict", F.col("strict") & F.col("in_column")).drop("in_column")
+    pool = stored(_sentence_facts(sentences, pages).join(placed, ["doc", "page"]), "anchor-pool")  # positions look at it again and again
     out, used = [], None
     for at, position in enumerate(POSITIONS):
         free = pool if used is None else pool.join(used, ["doc", "page"], "left_anti")

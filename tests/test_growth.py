@@ -128,3 +128,15 @@ def test_tasks_work_on_bounded_parts_of_a_batch(spark, monkeypatch):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     scores = np.round(unit(wanted) @ unit(rows).T, 6)
     assert max(added) <= 1 << 18 and [got[q] for q in range(1000)] == [np.lexsort((np.arange(4000), -s))[:3].tolist() for s in scores]
+
+
+def test_anchor_positions_look_at_sentences_that_are_judged_once(spark):
+    from lectern.operators import anchors
+
+    said = [f"The winter{p} market{p} of town{p} number{p} opens its gates quietly." for p in range(6)]
+    pages = spark.createDataFrame([(1, p, t, True) for p, t in enumerate(said)], "doc int, page int, text string, prose boolean")
+    sentences = spark.createDataFrame([(1, p, 0, t, p != 0) for p, t in enumerate(said)], "doc int, page int, seq int, text string, in_column boolean")
+    out = anchors.sample_anchors(sentences, pages, 20)
+    best = {(r.position, r.page, r.relaxed) for r in out.filter("rank = 1").collect()}
+    assert best == {("front", 1, False), ("middle", 2, False), ("back", 4, False)}
+    assert "xxhash64" not in out._jdf.queryExecution().optimizedPlan().toString()  # every position hashed all windows again
