@@ -17,6 +17,17 @@ def entity_mentions(chunks: DataFrame) -> DataFrame:
     return each.filter(F.col("form").rlike(ENTITY))
 
 
+def forms(c: Column) -> Column:
+    """The forms of ``entity_mentions`` in one text, in order."""
+    return F.filter(F.split(c, f"[^{WORD_CHARS}]+"), lambda w: w.rlike(ENTITY))
+
+
+def neighbouring(forms_: Column) -> Column:
+    """Structs (head, tail) of the forms that follow each other in a text; equal ones are among them."""
+    n = F.greatest(F.size(forms_) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(forms_, F.lit(1), n).alias("head"), F.slice(forms_, F.lit(2), n).alias("tail"))
+
+
 def adjacent_pairs(mentions: DataFrame, within: str = "chunk_id") -> DataFrame:
     """(within, head, tail) of neighbouring, different forms in a chunk."""
     before = F.lag("form").over(W.partitionBy(within).orderBy("pos"))

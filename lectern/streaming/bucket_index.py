@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GONE = -1
@@ -65,28 +66,34 @@ class BucketIndex:
         """All rows as of a committed version, the last one if none is named; None before the first and if nothing is left."""
         return self._read(self.manifest(version))
 
+    def _dealt(self) -> dict:
+        """A key's bucket, and a part of it, so that a bucket isn't one task's work where there are more tasks than buckets."""
+        parts = max(1, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets))
+        return {"bucket": F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"), "_part": F.pmod(F.hash(self.key), F.lit(parts))}
+
     def apply(self, batch: DataFrame, n: int) -> None:
         """Apply ``batch`` (rows with ``op``: upsert, delete or skip) as version ``n``; versions that are there already stay as they are."""
         done = self.versions()
         if done and done[-1] >= n:
             return
         held = self.manifest()
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        asked = batch.filter("op IN ('upsert', 'delete')")
+        dealt = self._dealt()
         columns = [c for c in batch.columns if c != "op"]
-        last = asked.groupBy(self.key).agg(F.max_by(F.struct("op", *columns), F.struct(*self.order, F.struct("op", *columns))).alias("row")).select("row.*").withColumn("bucket", bucket)
-        last.write.mode("overwrite").parquet(f"{self.folder}/batch/v={n}")  # reduced once, however often it is read below
-        last = self.spark.read.schema(last.schema).parquet(f"{self.folder}/batch/v={n}")
-        touched = [r["bucket"] for r in last.select("bucket").distinct().collect()]  # at most ``buckets``
-        fresh = last.filter("op = 'upsert'").drop("op")
-        before = self._read({b: held[b] for b in touched if b in held})
-        if before is not None:
-            kept = before.join(last.select(self.key), self.key, "left_anti").withColumn("bucket", bucket)
-            fresh = kept.select(*fresh.columns).unionByName(fresh)
-        path = f"{self.folder}/data/v={n}"
-        fresh.repartition(min(max(1, len(touched)), self.buckets), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        asked = batch.filter("op IN ('upsert', 'delete')").withColumns(dealt).repartition(*dealt)
+        last = asked.groupBy(*dealt, self.key).agg(F.max_by(F.struct("op", *columns), F.struct(*self.order, F.struct("op", *columns))).alias("row")).select("bucket", "row.*")
+        path, touched = f"{self.folder}/data/v={n}", set()
+        if held:
+            last.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/batch/v={n}")  # reduced once, however often it is read below
+            touched = {int(p.getName().split("=")[1]) for p in self._paths(f"batch/v={n}/bucket=*")}
+            last = self.spark.read.schema(last.schema).parquet(f"{self.folder}/batch/v={n}").select("op", *columns, "bucket")
+            before = self._read({b: held[b] for b in touched if b in held})
+            if before is not None:
+                both = last.drop("bucket").unionByName(before.select(F.lit("held").alias("op"), *columns)).withColumns(dealt).repartition(*dealt)
+                named = F.max(F.col("op") != "held").over(W.partitionBy(*dealt, self.key))
+                last = both.withColumn("_named", named).filter("op = 'upsert' OR NOT _named").drop("_named", "_part").withColumn("op", F.lit("upsert"))
+        last.filter("op = 'upsert'").drop("op").write.mode("overwrite").partitionBy("bucket").parquet(path)
         there = {int(p.getName().split("=")[1]) for p in self._paths(f"data/v={n}/bucket=*")}
-        held |= {b: n if b in there else GONE for b in touched}
+        held |= {b: n if b in there else GONE for b in touched | there}
         rows = self.spark.createDataFrame(sorted(held.items()), "bucket int, version long")
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/v={n}")
 

@@ -140,3 +140,29 @@ def test_anchor_positions_look_at_sentences_that_are_judged_once(spark):
     best = {(r.position, r.page, r.relaxed) for r in out.filter("rank = 1").collect()}
     assert best == {("front", 1, False), ("middle", 2, False), ("back", 4, False)}
     assert "xxhash64" not in out._jdf.queryExecution().optimizedPlan().toString()  # every position hashed all windows again
+
+
+def test_a_refresh_shuffles_a_stored_row_once(spark, tmp_path, monkeypatch):
+    from lectern.operators import graph
+    from lectern.streaming import bucket_index
+    from pyspark.sql import functions as F
+
+    index = bucket_index.BucketIndex(spark, f"file://{tmp_path}/index", "k", [], 2)
+    index.apply(spark.range(60).select(F.struct("id").alias("k"), F.lit("a").alias("v"), F.lit("upsert").alias("op")), 0)
+    written = []
+    kind = type(spark.range(1))
+    write = kind.write.fget
+    monkeypatch.setattr(kind, "write", property(lambda df: written.append(df) or write(df)))
+    ops = spark.range(50, 70).select(F.struct("id").alias("k"), F.lit("b").alias("v"), F.when(F.col("id") % 2 == 0, "upsert").otherwise("delete").alias("op"))
+    index.apply(ops.unionByName(ops.withColumn("op", F.lit("delete"))), 1)  # of a key's operations the greatest counts
+    assert {(r.k.id, r.v) for r in index.read().collect()} == {(i, "a") for i in range(50)} | {(i, "b") for i in range(50, 70, 2)}
+    data = next(df for df in written if "held" in df._jdf.queryExecution().optimizedPlan().toString())
+    plan = data._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan  # a bucket's rows met the batch, then moved again, to as many tasks as buckets
+
+    entities = spark.createDataFrame([(f"{d}:{f}", f, d, "X", None, 1) for d in (1, 2) for f in ("Aa", "Bb")], "id string, form string, doc_id long, type string, alias_of string, chunks long")
+    relations = spark.createDataFrame([(f"{d}:Aa", f"{d}:Bb", "t", 0.5, [f"{d}:0"], d) for d in (1, 2)], "source string, target string, type string, strength double, evidence array<string>, doc_id long")
+    chunks = spark.createDataFrame([("1:0", 1, True), ("2:0", 2, False)], "chunk_id string, doc_id long, body boolean")
+    bound = graph.bind_aliases(entities, None, F.col("form"))  # counted already: mentions are not read
+    near = [graph.read_model(*[df.drop("doc_id") for df in (bound, relations)], chunks), graph.read_model(bound, relations, chunks)]
+    assert near[0].collect() == near[1].collect() and [(r.docs, r.quality, r.rows) for r in near[1].collect()] == [(2, 0.5, 2)]
