@@ -143,12 +143,21 @@ def plan_coverage(plan: DataFrame, verified: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("v.doc").alias("doc")).agg(F.count("p.doc").alias("covered"), F.count_if(told != F.col("v.value")).alias("contradictions"), F.count_if(F.col("p.doc").isNull()).alias("outside"))
 
 
+def _batch_step(bytes_: Column, pages: Column, budget: int) -> Column:
+    per_page = F.greatest(F.lit(1), F.floor(bytes_ / F.greatest(pages, F.lit(1))))
+    return F.greatest(F.lit(1), F.floor(F.lit(budget) / per_page)).cast("int")
+
+
+def batch_starts(bytes_: Column, pages: Column, budget: int) -> Column:
+    """The first pages of ``scan_batches``, as long."""
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(pages - 1, F.lit(0)).cast("long"), _batch_step(bytes_, pages, budget).cast("long"))
+    return F.when(pages > 0, starts).otherwise(F.array().cast("array<bigint>"))
+
+
 def scan_batches(bytes_: Column, pages: Column, budget: int) -> Column:
     """[start, end) page intervals of which each decodes to about ``budget`` bytes."""
-    per_page = F.greatest(F.lit(1), F.floor(bytes_ / F.greatest(pages, F.lit(1))))
-    step = F.greatest(F.lit(1), F.floor(F.lit(budget) / per_page)).cast("int")
-    starts = F.sequence(F.lit(0), F.greatest(pages - 1, F.lit(0)).cast("int"), step)
-    return F.when(pages > 0, F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + step, pages.cast("int")).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    step, starts = _batch_step(bytes_, pages, budget), batch_starts(bytes_, pages, budget)
+    return F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"), F.least(s.cast("int") + step, pages.cast("int")).alias("end")))
 
 
 def is_raster_scan(pages: Column, chars: Column, raster_pages: Column, bytes_: Column) -> Column:

@@ -242,5 +242,4 @@ def locator_stats(spark, sf_dir):
 def scan_batches(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     price = F.floor(F.floor(F.round("l_extendedprice").cast("long") / F.col("l_quantity").cast("long")) / 200) * F.col("l_quantity").cast("long")
-    batches = trust.scan_batches(price, F.col("l_quantity").cast("int"), 10)
-    return li.select("l_orderkey", "l_linenumber", F.transform(batches, lambda b: b["start"].cast("long")).alias("starts"))
+    return li.select("l_orderkey", "l_linenumber", trust.batch_starts(price, F.col("l_quantity").cast("int"), 10).alias("starts"))
