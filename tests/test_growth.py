@@ -166,3 +166,57 @@ def test_a_refresh_shuffles_a_stored_row_once(spark, tmp_path, monkeypatch):
     bound = graph.bind_aliases(entities, None, F.col("form"))  # counted already: mentions are not read
     near = [graph.read_model(*[df.drop("doc_id") for df in (bound, relations)], chunks), graph.read_model(bound, relations, chunks)]
     assert near[0].collect() == near[1].collect() and [(r.docs, r.quality, r.rows) for r in near[1].collect()] == [(2, 0.5, 2)]
+
+
+def test_batch_starts_need_no_struct_a_page(spark):
+    from lectern.operators import trust
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(b, p) for b in (0, 7, 30, 1000) for p in (0, 1, 2, 9, 50)] + [(5, None)], "bytes long, pages int")
+    both = rows.select(trust.scan_batches(F.col("bytes"), F.col("pages"), 10).alias("b"), trust.batch_starts(F.col("bytes"), F.col("pages"), 10).alias("s"))
+    assert all(r.s == [x.start for x in r.b] and all(x.end - x.start >= 1 for x in r.b) for r in both.collect())
+    assert "lambda" not in both.select("s")._jdf.queryExecution().optimizedPlan().toString()  # structs were made and taken apart
+
+
+def test_gate_by_document_equals_gate_by_chunk(spark):
+    from lectern.operators import graph
+
+    entities = spark.createDataFrame([(f"{d}:{f}", f, d) for d in (1, 2, 3) for f in ("A", "B", "C", "D")], "id string, form string, doc_id long")
+    mentions = spark.createDataFrame([("1:A", "1:0", 1), ("1:A", "1:1", 1), ("1:B", "1:0", 1), ("2:A", "2:0", 2), ("2:B", "2:1", 2), ("2:C", "2:1", 2), ("3:A", "3:1", 3)], "entity_id string, chunk_id string, doc_id long")
+    edges = [("x", "1:A", "1:C", ["1:1", "1:0", "1:1", None], 1), ("y", "1:A", "1:B", ["1:1"], 1), ("z", "2:B", "2:C", ["2:0"], 2), ("u", "2:B", "2:C", ["2:1", "2:0"], 2), ("v", "3:A", "3:D", [], 3), ("w", "3:A", "3:D", ["3:1"], 3)]
+    relations = spark.createDataFrame(edges, "id string, source string, target string, evidence array<string>, doc_id long")
+    gated = spark.createDataFrame([("1:0", 1), ("2:0", 2), ("9:0", 9)], "chunk_id string, doc_id long")
+    tables = (entities, mentions, relations)
+    by_chunk = graph.gate(*[t.drop("doc_id") for t in tables], gated.drop("doc_id"))
+    by_document = graph.gate(*tables, gated)
+    for a, b in zip(by_chunk, by_document, strict=True):
+        assert _rows(a) == _rows(b.drop("doc_id"))
+    assert [(r.id, r.evidence) for r in by_document[2].orderBy("id").collect()] == [("u", ["2:1"]), ("w", ["3:1"]), ("x", ["1:1", "1:1"])]
+    assert "posexplode" not in by_document[2]._jdf.queryExecution().optimizedPlan().toString()  # evidence was a row a chunk, twice shuffled
+
+
+def test_a_document_s_relations_meet_its_aliases_once(spark):
+    from lectern.operators import graph
+
+    relations = spark.createDataFrame([("a", "1:A", "1:B", 1), ("b", "1:B", "1:C", 1), ("c", "2:A", "2:C", 2)], "id string, source string, target string, doc_id long")
+    pairs = spark.createDataFrame([("1:A", "9:A", 1), ("1:B", "9:A", 1), ("2:C", "9:C", 2), ("2:A", "2:A", 2)], "id string, survivor string, doc_id long")
+    by_id, by_document = graph.repoint(relations, pairs.drop("doc_id")), graph.repoint(relations, pairs)
+    assert _rows(by_id) == _rows(by_document) == [("b", "9:A", "1:C", 1), ("c", "2:A", "9:C", 2)]
+    assert by_document._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # each end was a join
+
+    both = graph.neighbors(spark.createDataFrame([("r", "s", "t")], "source string, target string, type string"), spark.createDataFrame([("r", 2), ("s", 3)], "root string, mentions long"), spark.createDataFrame([("r",), ("s",)], "id string"))
+    assert _rows(both) == [("r", "s", "t", True, 1), ("s", "r", "t", False, 1)]
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()  # the model was computed for each direction
+
+
+def test_collapsed_pairs_carry_earlier_archives_without_a_join(spark):
+    from lectern.operators import graph
+
+    schema = "id string, source string, target string, type string, strength double, evidence array<string>, archive array<struct<type:string,direction:string,evidence:array<string>,edges:bigint>>"
+    old = [("t", "as_is", ["c9"], 2), ("u", "reversed", ["c8"], 1)]
+    edges = spark.createDataFrame([("1", "a", "b", "t", 0.5, ["c1", "c2"], old), ("2", "b", "a", "t", 0.9, ["c3"], None), ("3", "a", "b", "u", 0.1, [], [("t", "as_is", ["c9", "c7"], 1)]), ("4", "a", "b", "t", 0.2, ["c1"], [])], schema)
+    out = graph.collapse_relations(edges)
+    row = out.collect()
+    assert len(row) == 1 and (row[0].id, row[0].source, row[0].type, row[0].strength, row[0].evidence, row[0].edges) == ("1", "a", "t", 0.5, ["c1", "c2"], 4)
+    assert [tuple(x) for x in row[0].archive] == [("t", "as_is", ["c7", "c9"], 3), ("t", "reversed", ["c3"], 1), ("u", "as_is", [], 1), ("u", "reversed", ["c8"], 1)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # the collapse ran once for its rows and again for its archives
