@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import anchors, quotes, trust
-from lectern.plans.registry import LINES, lines, query
+from lectern.plans.registry import LINES, lines, query, table
 
 
 
@@ -27,7 +27,9 @@ _STEPS = [(f"w[{a + 1}:{b}]" if a >= 0 else f"w[len(w) + {a + 1}:len(w) + {b or
 def _altered(spark, sf_dir):
     """A quote of the longest line of each document, altered in one of six ways by id, and the lines; one way runs the lines' words together."""
     pages = lines(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("chunk_index").alias("page"), F.when(F.col("doc_id") % 6 == 5, F.replace("text", F.lit(" "), F.lit("\x02"))).otherwise(F.col("text")).alias("text"))
-    longest = lines(spark, sf_dir).groupBy("doc_id").agg(F.min(F.struct((-F.length("text")).alias("size"), "chunk_index", "text")).alias("top"))
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    own = F.array_min(F.transform(F.split("text", "\n"), lambda x, i: F.struct((-F.length(x)).alias("size"), i.alias("chunk_index"), x.alias("text"))))
+    longest = docs.groupBy("doc_id").agg(F.min(own).alias("top"))
     w = F.slice(F.filter(F.split("top.text", quotes.SPACES), lambda x: x != ""), 2, 24)
     way = F.col("doc_id") % 6
     third = F.get(F.col("w"), F.lit(2))

@@ -220,3 +220,31 @@ def test_collapsed_pairs_carry_earlier_archives_without_a_join(spark):
     assert len(row) == 1 and (row[0].id, row[0].source, row[0].type, row[0].strength, row[0].evidence, row[0].edges) == ("1", "a", "t", 0.5, ["c1", "c2"], 4)
     assert [tuple(x) for x in row[0].archive] == [("t", "as_is", ["c7", "c9"], 3), ("t", "reversed", ["c3"], 1), ("u", "as_is", [], 1), ("u", "reversed", ["c8"], 1)]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # the collapse ran once for its rows and again for its archives
+
+
+def test_pages_meet_their_quotes_once(spark, monkeypatch):
+    import re
+
+    from lectern.operators import quotes
+
+    plain = [f"Größe{i} – des ﬁnsteren Waldes{i % 7}, Zeile\t{i}!" for i in range(60)]
+    books = {1: plain, 2: [" ".join(plain[i : i + 20]).replace(" ", "\x02") for i in range(0, 60, 10)], 3: ["...", "", "one two"], 4: plain[:9] + [" ".join(plain[9:])]}
+    said = [(10 * d + k, d, " ".join(plain[at : at + 3]).upper().replace("SS", "ss"), at if k % 2 else None) for d in (1, 2, 3, 4, 5) for k, at in enumerate((3, 17, 41, 55))]
+    said += [(90, 4, "zeile 5", None), (91, 4, None, None), (92, None, said[0][2], None)]
+    pages = spark.createDataFrame([(d, p, t) for d, texts in books.items() for p, t in enumerate(texts)] + [(2, 99, None), (None, 0, plain[3])], "doc long, page int, text string")
+    asked = spark.createDataFrame(said, "quote_id long, doc long, quote string, hint int")
+    found = quotes.locate_quotes(asked, pages)
+    got = _rows(found.select("quote_id", "page", "step", "proven", "core", "core_all", "hits", "place").fillna(-1))
+    assert [r[0] for r in got] == sorted(q[0] for q in said) and {r[0] for r in got if r[1] >= 0} == {10 * d + k for d in (1, 2, 4) for k in range(4)}
+    spelled = lambda t: "".join(c for c in t.replace("ß", "ss").replace("ﬁ", "fi") if c.isalnum()).lower()
+    for q, page, step, *_, place in [r for r in got if r[1] >= 0]:
+        text = books[q // 10][page]
+        words = [w for w in map(spelled, next(x[2] for x in said if x[0] == q).split()) if w]
+        low, high, _ = quotes.LADDER[step % len(quotes.LADDER)]
+        before = spelled(text).index("".join(words[slice(low, high)]))
+        assert place == max(i for i in range(len(text) + 1) if len(spelled(text[:i])) <= before)
+    assert {r[2] >= len(quotes.LADDER) for r in got if r[1] >= 0} == {True, False}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"LogicalRDD \[[^\]]*page#", plan)) == 1  # texts were read, moved and made into words again and again
+    monkeypatch.setattr(quotes, "FEW_WINDOWS", 0)
+    assert _rows(quotes.locate_quotes(asked, pages).fillna(-1)) == got
